@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The workload is a finite batch over warehouse tables (no streams, watermarks
+or stateful operators), so nothing here is needed; the batch operators
+already run incrementally-friendly plans (pure DataFrame transforms).
+"""
