@@ -91,3 +91,35 @@ def context(spark: SparkSession, sf_dir: str, **kw) -> RunContext:
     if ctx is None:
         ctx = _CONTEXTS[key] = RunContext(spark, sf_dir, **kw)
     return ctx
+
+
+# --- shared deficit tables (attached to RunContext below) --------------------
+STANDARD_WINDOWS = ((1, 1), (3, 3))
+
+
+def _hits_multi(self: RunContext, fi: str = "vafi") -> DataFrame:
+    """Unique-category hits for both standard windows from ONE search pass,
+    materialised (the persisted hit table of the original workflow)."""
+    key = ("hits_multi", fi)
+    cache = self.__dict__.setdefault("_cache", {})
+    if key not in cache:
+        hits = events.find_deficits(self.events(), self.cohort, self.t.concept, self.code_set(fi),
+                                    lookbacks=STANDARD_WINDOWS, unique_categories=True)
+        cache[key] = self._keep(hits, f"hits_{fi}_multi")
+    return cache[key]
+
+
+def _deficits(self: RunContext, fi: str = "vafi", acute: int = 1, chronic: int = 1) -> DataFrame:
+    """C11 deficit rows (person, strata, score, category) for one window."""
+    from pyspark.sql import functions as F
+    if (acute, chronic) in STANDARD_WINDOWS:
+        h = _hits_multi(self, fi).filter((F.col("acute_lookback") == acute)
+                                         & (F.col("chronic_lookback") == chronic))
+    else:
+        h = events.find_deficits(self.events(), self.cohort, self.t.concept, self.code_set(fi),
+                                 acute=acute, chronic=chronic, unique_categories=True)
+    return events.deficit_rows(h)
+
+
+RunContext.hits_multi = _hits_multi
+RunContext.deficits = _deficits
