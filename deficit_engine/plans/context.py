@@ -35,10 +35,10 @@ class RunContext:
     """Inputs and shared intermediates for one input folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, *, seed: int = 42,
-                 materialize_tables: bool = True):
+                 materialize_tables: bool = True, run_id: str | None = None):
         self.spark, self.sf_dir, self.seed = spark, sf_dir, seed
         self.materialize_tables = materialize_tables
-        self.tag = f"{_fingerprint(sf_dir)}-{CODE_VERSION}"
+        self.tag = f"{_fingerprint(sf_dir)}-{CODE_VERSION}" + (f"-{run_id}" if run_id else "")
         self.t = omop_tables(spark, sf_dir, materialize=materialize_tables, tag=self.tag)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -251,11 +252,9 @@ def omop_tables(spark: SparkSession, sf_dir: str, *, materialize: bool = True,
         base["lines"] = spark.read.parquet(lines_path)
     tables = _derived(spark, base)
     if materialize:
-        read = {}
-        for name, df in tables.items():
-            path = f"{root}/{name}"
-            if not table_exists(spark, path):
-                df.write.mode("overwrite").parquet(path)
-            read[name] = spark.read.parquet(path)
-        tables = read
+        todo = [(n, df) for n, df in tables.items() if not table_exists(spark, f"{root}/{n}")]
+        # independent small writes: submit them as concurrent Spark jobs
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            list(pool.map(lambda nd: nd[1].write.mode("overwrite").parquet(f"{root}/{nd[0]}"), todo))
+        tables = {n: spark.read.parquet(f"{root}/{n}") for n in tables}
     return OmopTables(**{f.name: tables[f.name] for f in fields(OmopTables)})
