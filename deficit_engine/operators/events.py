@@ -189,7 +189,8 @@ def deficit_rows(hits: DataFrame, keep: Sequence[str] = ("age_group", "is_female
 
 
 def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
-                       source_codes: DataFrame) -> DataFrame:
+                       source_codes: DataFrame, *, skew_min_rows: int | None = None,
+                       salt_buckets: int = 32, max_hot_keys: int = 256) -> DataFrame:
     """Events whose *source value* is in a source-code list.
 
     ``events`` from ``domain_events(..., with_source=True)``; ``source_codes``
@@ -201,8 +202,14 @@ def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     pid = search_frame(cohort, keep=("age_group", "is_female"))
     ct = bounded_broadcast(source_codes.select(F.col("icd_code").alias("source_value"), "deficit"))
     names = concept.select("concept_id", "concept_name", "vocabulary_id")
-    hits = (events.join(ct, "source_value")
-            .join(pid, "person_id")
+    cand = events.join(ct, "source_value")
+    if skew_min_rows:
+        hot = hot_keys(cand, "person_id", min_rows=skew_min_rows, max_keys=max_hot_keys)
+        joined = salted_join(cand, pid, "person_id", hot=hot, buckets=salt_buckets,
+                             spread_by=["concept_id", "start_date", "domain", "source_value"])
+    else:
+        joined = cand.join(pid, "person_id")
+    hits = (joined
             .filter((F.col("start_date") >= F.col("person_start_date"))
                     & (F.col("start_date") <= F.col("person_end_date")))
             .join(names, "concept_id", "left"))

@@ -41,6 +41,22 @@ class RunContext:
         self.tag = f"{_fingerprint(sf_dir)}-{CODE_VERSION}" + (f"-{run_id}" if run_id else "")
         self.t = omop_tables(spark, sf_dir, materialize=materialize_tables, tag=self.tag)
 
+    @cached_property
+    def skew_min_rows(self) -> int:
+        """Rows per person above which a person's events are salted.
+
+        Read from ``spark.deficit.skewMinRows`` (default one million); heavy
+        persons are detected per run with a capped, partially aggregated
+        count, so the setting is a safety net, not a tuning requirement.
+        """
+        return int(self.spark.conf.get("spark.deficit.skewMinRows", "1000000"))
+
+    def search(self, events_df: DataFrame, fi: str = "vafi", **kw) -> DataFrame:
+        """C1-C11 over the clean cohort with the run defaults (salting, date bound)."""
+        kw.setdefault("skew_min_rows", self.skew_min_rows)
+        kw.setdefault("date_bound", True)
+        return events.find_deficits(events_df, self.cohort, self.t.concept, self.code_set(fi), **kw)
+
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         if not self.materialize_tables:
             return df
@@ -103,8 +119,7 @@ def _hits_multi(self: RunContext, fi: str = "vafi") -> DataFrame:
     key = ("hits_multi", fi)
     cache = self.__dict__.setdefault("_cache", {})
     if key not in cache:
-        hits = events.find_deficits(self.events(), self.cohort, self.t.concept, self.code_set(fi),
-                                    lookbacks=STANDARD_WINDOWS, unique_categories=True)
+        hits = self.search(self.events(), fi, lookbacks=STANDARD_WINDOWS, unique_categories=True)
         cache[key] = self._keep(hits, f"hits_{fi}_multi")
     return cache[key]
 
@@ -116,8 +131,7 @@ def _deficits(self: RunContext, fi: str = "vafi", acute: int = 1, chronic: int =
         h = _hits_multi(self, fi).filter((F.col("acute_lookback") == acute)
                                          & (F.col("chronic_lookback") == chronic))
     else:
-        h = events.find_deficits(self.events(), self.cohort, self.t.concept, self.code_set(fi),
-                                 acute=acute, chronic=chronic, unique_categories=True)
+        h = self.search(self.events(), fi, acute=acute, chronic=chronic, unique_categories=True)
     return events.deficit_rows(h)
 
 

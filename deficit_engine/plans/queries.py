@@ -145,9 +145,14 @@ def _(c: RunContext):
 
 
 # --- event search --------------------------------------------------------------
+def _source_search(c: RunContext) -> DataFrame:
+    return events.source_code_search(c.events(with_source=True), c.cohort, c.t.concept,
+                                     codes.source_code_set(c.t.source_codes),
+                                     skew_min_rows=c.skew_min_rows)
+
+
 def _domain_hits(c: RunContext, domain: str) -> DataFrame:
-    return events.find_deficits(c.events(only=domain), c.cohort, c.t.concept, c.code_set("vafi"),
-                                join_now=False)
+    return c.search(c.events(only=domain), join_now=False)
 
 
 @query("hits_condition")
@@ -177,21 +182,19 @@ def _(c: RunContext):
 @query("hits_all")
 def _(c: RunContext):
     """C8 + C9: all domains, categories attached (multiset)."""
-    return events.find_deficits(c.events(), c.cohort, c.t.concept, c.code_set("vafi"))
+    return c.search(c.events())
 
 
 @query("hits_unique")
 def _(c: RunContext):
     """Unique categories, windows (1,1)."""
-    return events.find_deficits(c.events(), c.cohort, c.t.concept, c.code_set("vafi"),
-                                unique_categories=True)
+    return c.search(c.events(), unique_categories=True)
 
 
 @query("hits_unique_1_3")
 def _(c: RunContext):
     """C10 with acute 1 / chronic 3 years."""
-    return events.find_deficits(c.events(), c.cohort, c.t.concept, c.code_set("vafi"),
-                                acute=1, chronic=3, unique_categories=True)
+    return c.search(c.events(), acute=1, chronic=3, unique_categories=True)
 
 
 @query("deficits_1y")
@@ -209,16 +212,13 @@ def _(c: RunContext):
 @query("source_code_hits")
 def _(c: RunContext):
     """C12 + C13: source-value search to deficit rows."""
-    h = events.source_code_search(c.events(with_source=True), c.cohort, c.t.concept,
-                                  codes.source_code_set(c.t.source_codes))
-    return events.source_deficits(h)
+    return events.source_deficits(_source_search(c))
 
 
 @query("source_code_events")
 def _(c: RunContext):
     """Source-value search rows (per-domain distinct, union-all)."""
-    return events.source_code_search(c.events(with_source=True), c.cohort, c.t.concept,
-                                     codes.source_code_set(c.t.source_codes))
+    return _source_search(c)
 
 
 # --- polypharmacy --------------------------------------------------------------
@@ -229,7 +229,8 @@ def _era(c: RunContext, strict_supply: bool = False) -> DataFrame:
 
 
 def _in_window(c: RunContext, strict_supply: bool = False) -> DataFrame:
-    return drugs.exposures_in_window(_era(c, strict_supply), c.cohort)
+    return drugs.exposures_in_window(_era(c, strict_supply), c.cohort,
+                                     skew_min_rows=c.skew_min_rows)
 
 
 @query("drug_era_rebuilt")
@@ -266,7 +267,8 @@ def _(c: RunContext):
 def _(c: RunContext):
     """From the drug_era table, duration > 1 day, no exclusions."""
     w = drugs.exposures_in_window(c.t.drug_era, c.cohort, item="drug_concept_id",
-                                  start="drug_era_start_date", end="drug_era_end_date", strict=True)
+                                  start="drug_era_start_date", end="drug_era_end_date", strict=True,
+                                  skew_min_rows=c.skew_min_rows)
     return drugs.polypharmacy(w, c.cohort, 10, item="drug_concept_id")
 
 
@@ -379,15 +381,14 @@ def _(c: RunContext):
 @query("posthoc_categories")
 def _(c: RunContext):
     """Concept-level hits with categories attached afterwards."""
-    h = events.find_deficits(c.events(), c.cohort, c.t.concept, c.code_set("vafi"), join_now=False)
+    h = c.search(c.events(), join_now=False)
     return report.attach_categories(h, c.t.code_list)
 
 
 # --- agreement --------------------------------------------------------------------
 def _totals(c: RunContext) -> DataFrame:
     omop = c.deficits("vafi", 1, 1)
-    src = events.source_deficits(events.source_code_search(
-        c.events(with_source=True), c.cohort, c.t.concept, codes.source_code_set(c.t.source_codes)))
+    src = events.source_deficits(_source_search(c))
     return agreement.method_totals(omop, src)
 
 
