@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +48,10 @@ def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ances
 
 
 def _join_cohort(rows: DataFrame, cohort: DataFrame, spread_by: Sequence[str],
-                 skew_min_rows: int | None, salt_buckets: int) -> DataFrame:
+                 skew_min_rows: int | None, salt_buckets: int,
+                 stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    if stage is not None:
+        rows = stage(rows)
     pid = cohort.select("person_id", F.col("visit_lookback_date").alias("person_start_date"),
                         F.col("index_date").alias("person_end_date"))
     if skew_min_rows:
@@ -61,7 +64,8 @@ def _join_cohort(rows: DataFrame, cohort: DataFrame, spread_by: Sequence[str],
 def exposures_in_window(era: DataFrame, cohort: DataFrame, *, item: str = "ingredient_concept_id",
                         start: str = "drug_exposure_start_date", end: str = "drug_exposure_end_date",
                         duration_from: str = "start", min_days: int = 1, strict: bool = False,
-                        skew_min_rows: int | None = None, salt_buckets: int = 32) -> DataFrame:
+                        skew_min_rows: int | None = None, salt_buckets: int = 32,
+                        stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Exposures starting or ending in [index - 1 year, index].
 
     An exposure that only spans the window does not qualify. The duration is
@@ -70,7 +74,7 @@ def exposures_in_window(era: DataFrame, cohort: DataFrame, *, item: str = "ingre
     Output: person_id, ``item``, start, end.
     """
     j = _join_cohort(era.select("person_id", item, start, end), cohort, [item, start],
-                     skew_min_rows, salt_buckets)
+                     skew_min_rows, salt_buckets, stage)
     lo = add_years("person_end_date", -1)
     hi = F.col("person_end_date")
     s, e = F.col(start), F.col(end)

@@ -18,7 +18,7 @@ Plan (one pass, whatever the number of domains or lookback settings):
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +102,7 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                   unique_categories: bool = False, join_now: bool = True,
                   join_to_concept: bool = True, date_bound: bool = False,
                   skew_min_rows: int | None = None, salt_buckets: int = 32,
-                  max_hot_keys: int = 256,
+                  max_hot_keys: int = 256, stage: Callable[[DataFrame], DataFrame] | None = None,
                   chronic_value: int = CHRONIC_LOOKBACK_CODE) -> DataFrame:
     """Code-list hits of cohort members inside their lookback windows.
 
@@ -117,6 +117,10 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     ``unique_categories`` concept_id is dropped and rows deduplicated.
     Without ``join_now``: person_id, keep..., concept_id, concept_name,
     start_date, person_start_date, person_end_date, chronic_category.
+
+    ``stage`` (e.g. a Parquet write + read in the shared checkpoint folder) is
+    applied to the filtered candidate events, so hot-person detection and the
+    cohort join read the candidates instead of scanning the raw events twice.
     """
     keep = list(keep)
     settings = list(lookbacks) if lookbacks else [(acute, chronic)]
@@ -141,6 +145,8 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
             events = events.filter(F.col("start_date").between(F.lit(lo), F.lit(hi)))
 
     cand = events.join(windows, "concept_id")
+    if stage is not None:
+        cand = stage(cand)
     if skew_min_rows:
         hot = hot_keys(cand, "person_id", min_rows=skew_min_rows, max_keys=max_hot_keys)
         joined = salted_join(cand, pid, "person_id", hot=hot, buckets=salt_buckets,
@@ -190,7 +196,8 @@ def deficit_rows(hits: DataFrame, keep: Sequence[str] = ("age_group", "is_female
 
 def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                        source_codes: DataFrame, *, skew_min_rows: int | None = None,
-                       salt_buckets: int = 32, max_hot_keys: int = 256) -> DataFrame:
+                       salt_buckets: int = 32, max_hot_keys: int = 256,
+                       stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Events whose *source value* is in a source-code list.
 
     ``events`` from ``domain_events(..., with_source=True)``; ``source_codes``
@@ -203,6 +210,8 @@ def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     ct = bounded_broadcast(source_codes.select(F.col("icd_code").alias("source_value"), "deficit"))
     names = concept.select("concept_id", "concept_name", "vocabulary_id")
     cand = events.join(ct, "source_value")
+    if stage is not None:
+        cand = stage(cand)
     if skew_min_rows:
         hot = hot_keys(cand, "person_id", min_rows=skew_min_rows, max_keys=max_hot_keys)
         joined = salted_join(cand, pid, "person_id", hot=hot, buckets=salt_buckets,

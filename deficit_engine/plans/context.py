@@ -51,9 +51,18 @@ class RunContext:
         """
         return int(self.spark.conf.get("spark.deficit.skewMinRows", "1000000"))
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """Write filtered candidates once to the shared folder (cuts lineage;
+        hot-key detection and the join then read them, not the raw scans)."""
+        return materialize(df) if self.materialize_tables else df
+
+    def skew_args(self) -> dict:
+        return {"skew_min_rows": self.skew_min_rows, "stage": self.stage}
+
     def search(self, events_df: DataFrame, fi: str = "vafi", **kw) -> DataFrame:
         """C1-C11 over the clean cohort with the run defaults (salting, date bound)."""
-        kw.setdefault("skew_min_rows", self.skew_min_rows)
+        for k, v in self.skew_args().items():
+            kw.setdefault(k, v)
         kw.setdefault("date_bound", True)
         return events.find_deficits(events_df, self.cohort, self.t.concept, self.code_set(fi), **kw)
 

@@ -147,8 +147,7 @@ def _(c: RunContext):
 # --- event search --------------------------------------------------------------
 def _source_search(c: RunContext) -> DataFrame:
     return events.source_code_search(c.events(with_source=True), c.cohort, c.t.concept,
-                                     codes.source_code_set(c.t.source_codes),
-                                     skew_min_rows=c.skew_min_rows)
+                                     codes.source_code_set(c.t.source_codes), **c.skew_args())
 
 
 def _domain_hits(c: RunContext, domain: str) -> DataFrame:
@@ -229,8 +228,7 @@ def _era(c: RunContext, strict_supply: bool = False) -> DataFrame:
 
 
 def _in_window(c: RunContext, strict_supply: bool = False) -> DataFrame:
-    return drugs.exposures_in_window(_era(c, strict_supply), c.cohort,
-                                     skew_min_rows=c.skew_min_rows)
+    return drugs.exposures_in_window(_era(c, strict_supply), c.cohort, **c.skew_args())
 
 
 @query("drug_era_rebuilt")
@@ -268,7 +266,7 @@ def _(c: RunContext):
     """From the drug_era table, duration > 1 day, no exclusions."""
     w = drugs.exposures_in_window(c.t.drug_era, c.cohort, item="drug_concept_id",
                                   start="drug_era_start_date", end="drug_era_end_date", strict=True,
-                                  skew_min_rows=c.skew_min_rows)
+                                  **c.skew_args())
     return drugs.polypharmacy(w, c.cohort, 10, item="drug_concept_id")
 
 
