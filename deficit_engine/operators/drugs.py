@@ -13,12 +13,15 @@ from deficit_engine.constants import (
 from deficit_engine.functions.dates import add_years
 from deficit_engine.functions.expr import if_else
 from deficit_engine.operators.codes import ancestor_exclusion_set, ingredient_descendants
-from deficit_engine.operators.skew import bounded_broadcast, hot_keys, salted_join
+from deficit_engine.operators.skew import (
+    DEFAULT_SKEW_MIN_BYTES, bounded_broadcast, hot_key_values, may_hold_hot_key, salted_join)
 
 
 def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ancestor: DataFrame,
                      *, exclude: bool = True, ancestor_id: int = ANTIBIOTIC_ANCESTOR_ID,
-                     as_of: str = EXCLUSION_AS_OF, strict_supply: bool = False) -> DataFrame:
+                     as_of: str = EXCLUSION_AS_OF, strict_supply: bool = False,
+                     ingredient_map: DataFrame | None = None,
+                     exclusions: DataFrame | None = None) -> DataFrame:
     """D1 (D4 with ``strict_supply``): exposures mapped to ingredients.
 
     Drops concept 0 and negative supply (NULL supply kept unless strict),
@@ -29,14 +32,16 @@ def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ances
     """
     supply = F.col("days_supply")
     keep_supply = (supply >= 0) if strict_supply else ((supply >= 0) | supply.isNull())
-    ing = bounded_broadcast(ingredient_descendants(concept, concept_ancestor))
+    ing = ingredient_map if ingredient_map is not None else \
+        bounded_broadcast(ingredient_descendants(concept, concept_ancestor), 5_000_000)
     era = (drug_exposure.filter((F.col("drug_concept_id") != 0) & keep_supply)
            .join(ing, F.col("drug_concept_id") == F.col("descendant_concept_id"))
            .select("drug_exposure_id", "person_id", "ingredient_concept_id",
                    "drug_exposure_start_date", "drug_exposure_end_date", "days_supply"))
     if exclude:
-        ex = bounded_broadcast(ancestor_exclusion_set(concept, concept_ancestor, ancestor_id, as_of)
-                               .select("ingredient_concept_id"))
+        ex = exclusions if exclusions is not None else bounded_broadcast(
+            ancestor_exclusion_set(concept, concept_ancestor, ancestor_id, as_of)
+            .select("ingredient_concept_id"))
         era = era.join(ex, "ingredient_concept_id", "left_anti")
     start = F.col("drug_exposure_start_date")
     end = (F.when(F.col("drug_exposure_end_date").isNotNull(), F.col("drug_exposure_end_date"))
@@ -49,13 +54,15 @@ def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ances
 
 def _join_cohort(rows: DataFrame, cohort: DataFrame, spread_by: Sequence[str],
                  skew_min_rows: int | None, salt_buckets: int,
-                 stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    if stage is not None:
-        rows = stage(rows)
+                 stage: Callable[[DataFrame], DataFrame] | None = None,
+                 skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES) -> DataFrame:
     pid = cohort.select("person_id", F.col("visit_lookback_date").alias("person_start_date"),
                         F.col("index_date").alias("person_end_date"))
-    if skew_min_rows:
-        hot = hot_keys(rows, "person_id", min_rows=skew_min_rows)
+    salt = bool(skew_min_rows) and may_hold_hot_key(rows, skew_min_bytes)
+    if salt and stage is not None:
+        rows = stage(rows)
+    if salt:
+        hot = hot_key_values(rows, "person_id", min_rows=skew_min_rows)
         return salted_join(rows, pid, "person_id", hot=hot, buckets=salt_buckets,
                            spread_by=list(spread_by))
     return rows.join(pid, "person_id")
@@ -65,7 +72,8 @@ def exposures_in_window(era: DataFrame, cohort: DataFrame, *, item: str = "ingre
                         start: str = "drug_exposure_start_date", end: str = "drug_exposure_end_date",
                         duration_from: str = "start", min_days: int = 1, strict: bool = False,
                         skew_min_rows: int | None = None, salt_buckets: int = 32,
-                        stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                        stage: Callable[[DataFrame], DataFrame] | None = None,
+                        skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES) -> DataFrame:
     """Exposures starting or ending in [index - 1 year, index].
 
     An exposure that only spans the window does not qualify. The duration is
@@ -74,7 +82,7 @@ def exposures_in_window(era: DataFrame, cohort: DataFrame, *, item: str = "ingre
     Output: person_id, ``item``, start, end.
     """
     j = _join_cohort(era.select("person_id", item, start, end), cohort, [item, start],
-                     skew_min_rows, salt_buckets, stage)
+                     skew_min_rows, salt_buckets, stage, skew_min_bytes)
     lo = add_years("person_end_date", -1)
     hi = F.col("person_end_date")
     s, e = F.col(start), F.col(end)

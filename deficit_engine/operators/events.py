@@ -27,7 +27,8 @@ from deficit_engine.constants import CHRONIC_LOOKBACK_CODE
 from deficit_engine.functions.dates import add_years
 from deficit_engine.functions.expr import if_else
 from deficit_engine.operators.codes import resolve_standard, resolve_standard_by_id
-from deficit_engine.operators.skew import bounded_broadcast, hot_keys, salted_join
+from deficit_engine.operators.skew import (
+    DEFAULT_SKEW_MIN_BYTES, bounded_broadcast, hot_key_values, may_hold_hot_key, salted_join)
 
 DOMAIN_COLUMNS = {
     "condition": ("condition_concept_id", "condition_start_date", "condition_source_value"),
@@ -100,9 +101,11 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                   acute: int = 1, chronic: int = 1,
                   lookbacks: Sequence[tuple[int, int]] | None = None,
                   unique_categories: bool = False, join_now: bool = True,
-                  join_to_concept: bool = True, date_bound: bool = False,
-                  skew_min_rows: int | None = None, salt_buckets: int = 32,
-                  max_hot_keys: int = 256, stage: Callable[[DataFrame], DataFrame] | None = None,
+                  join_to_concept: bool = True, date_bound: bool | tuple = False,
+                  skew_min_rows: int | None = None, skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES,
+                  salt_buckets: int = 32, max_hot_keys: int = 256,
+                  stage: Callable[[DataFrame], DataFrame] | None = None,
+                  windows: DataFrame | None = None, categories: DataFrame | None = None,
                   chronic_value: int = CHRONIC_LOOKBACK_CODE) -> DataFrame:
     """Code-list hits of cohort members inside their lookback windows.
 
@@ -118,9 +121,16 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     Without ``join_now``: person_id, keep..., concept_id, concept_name,
     start_date, person_start_date, person_end_date, chronic_category.
 
-    ``stage`` (e.g. a Parquet write + read in the shared checkpoint folder) is
-    applied to the filtered candidate events, so hot-person detection and the
-    cohort join read the candidates instead of scanning the raw events twice.
+    Skew: with ``skew_min_rows`` persons with at least that many candidate
+    events are salted (:func:`salted_join`), unless the optimizer estimates
+    the whole event input below ``skew_min_bytes``. ``stage`` (e.g. a Parquet
+    write + read in the shared checkpoint folder) is applied to the filtered
+    candidates first, so detection and the join do not scan raw events twice.
+
+    ``date_bound`` (True, or precomputed ``(lo, hi)``) restricts events to
+    the cohort's overall window range; the filter reaches the Parquet scans.
+    ``windows`` / ``categories`` may be passed precomputed (B2 output and the
+    (concept_id, category, score) table) to reuse them across searches.
     """
     keep = list(keep)
     settings = list(lookbacks) if lookbacks else [(acute, chronic)]
@@ -129,26 +139,33 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     pid = search_frame(cohort, person_id, start_date, end_date, keep)
 
     need_names = not (join_now and unique_categories)
-    if join_to_concept:
-        windows = resolve_standard(concept, code_set, with_names=need_names)
-    else:  # B3 membership form; lookback re-attached from the code set
-        windows = resolve_standard_by_id(concept, code_set).join(
-            code_set.select("concept_id", "chronic_category").distinct(), "concept_id")
-        if not need_names:
+    if windows is not None:  # precomputed by the caller, broadcast already decided
+        if not need_names and "name" in windows.columns:
             windows = windows.drop("name")
-    windows = bounded_broadcast(windows)
+    else:
+        if join_to_concept:
+            windows = resolve_standard(concept, code_set, with_names=need_names)
+        else:  # B3 membership form; lookback re-attached from the code set
+            windows = resolve_standard_by_id(concept, code_set).join(
+                code_set.select("concept_id", "chronic_category").distinct(), "concept_id")
+            if not need_names:
+                windows = windows.drop("name")
+        windows = bounded_broadcast(windows)
 
     if date_bound:
-        years = max(max(a, c) for a, c in settings)
-        lo, hi = date_bounds(pid, years)
+        if isinstance(date_bound, tuple):
+            lo, hi = date_bound
+        else:
+            lo, hi = date_bounds(pid, max(max(a, c) for a, c in settings))
         if lo is not None:
             events = events.filter(F.col("start_date").between(F.lit(lo), F.lit(hi)))
 
     cand = events.join(windows, "concept_id")
-    if stage is not None:
+    salt = bool(skew_min_rows) and may_hold_hot_key(events, skew_min_bytes)
+    if salt and stage is not None:
         cand = stage(cand)
-    if skew_min_rows:
-        hot = hot_keys(cand, "person_id", min_rows=skew_min_rows, max_keys=max_hot_keys)
+    if salt:
+        hot = hot_key_values(cand, "person_id", min_rows=skew_min_rows, max_keys=max_hot_keys)
         joined = salted_join(cand, pid, "person_id", hot=hot, buckets=salt_buckets,
                              spread_by=["concept_id", "start_date", "domain"])
     else:
@@ -173,7 +190,8 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                             "person_start_date", "person_end_date", "chronic_category", *lb_cols)
                 .distinct().drop("domain"))
 
-    cats = bounded_broadcast(code_set.select("concept_id", "category", "score"))
+    cats = categories if categories is not None else \
+        bounded_broadcast(code_set.select("concept_id", "category", "score"))
     base = ["person_id", *keep, "person_start_date", "person_end_date"]
     if unique_categories:
         # distinct before the category fan-out: many events per (person, concept)
@@ -196,7 +214,8 @@ def deficit_rows(hits: DataFrame, keep: Sequence[str] = ("age_group", "is_female
 
 def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                        source_codes: DataFrame, *, skew_min_rows: int | None = None,
-                       salt_buckets: int = 32, max_hot_keys: int = 256,
+                       skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES, salt_buckets: int = 32,
+                       max_hot_keys: int = 256,
                        stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Events whose *source value* is in a source-code list.
 
@@ -210,10 +229,11 @@ def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     ct = bounded_broadcast(source_codes.select(F.col("icd_code").alias("source_value"), "deficit"))
     names = concept.select("concept_id", "concept_name", "vocabulary_id")
     cand = events.join(ct, "source_value")
-    if stage is not None:
+    salt = bool(skew_min_rows) and may_hold_hot_key(events, skew_min_bytes)
+    if salt and stage is not None:
         cand = stage(cand)
-    if skew_min_rows:
-        hot = hot_keys(cand, "person_id", min_rows=skew_min_rows, max_keys=max_hot_keys)
+    if salt:
+        hot = hot_key_values(cand, "person_id", min_rows=skew_min_rows, max_keys=max_hot_keys)
         joined = salted_join(cand, pid, "person_id", hot=hot, buckets=salt_buckets,
                              spread_by=["concept_id", "start_date", "domain", "source_value"])
     else:

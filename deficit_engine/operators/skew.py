@@ -9,6 +9,8 @@
 * :func:`salted_join` spreads rows of hot keys of the large side over
   ``buckets`` tasks and replicates only the matching rows of the small side,
   so one person holding a third of all events no longer lands in one task.
+* :func:`may_hold_hot_key` skips all of this when the optimizer's size
+  estimate of the whole input is small (no key can overload a task then).
 """
 
 from __future__ import annotations
@@ -19,6 +21,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_SKEW_MIN_BYTES = 128 << 20
+
+
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (file sizes scaled by the
+    projection), without running a job; None if unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - e.g. a connect session
+        return None
+
+
+def may_hold_hot_key(df: DataFrame, min_bytes: int = DEFAULT_SKEW_MIN_BYTES) -> bool:
+    """False only when the *whole* input is estimated below ``min_bytes``:
+    then no single key can overload a task and salting is pure overhead."""
+    size = plan_size_bytes(df)
+    return size is None or size >= min_bytes
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -43,29 +62,32 @@ def hot_keys(df: DataFrame, keys: str | Sequence[str], *, min_rows: int,
             .orderBy(F.col("_n").desc()).limit(max_keys).select(*keys))
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], *,
-                hot: DataFrame, buckets: int, spread_by: Sequence[str | Column],
-                how: str = "inner") -> DataFrame:
-    """Equi-join ``big`` and ``small`` on ``keys`` with hot keys split ``buckets`` ways.
+def hot_key_values(df: DataFrame, key: str, *, min_rows: int, max_keys: int = 256) -> list:
+    """The heaviest keys (at most ``max_keys``, each with >= ``min_rows`` rows).
+
+    One small job; the result is bounded by ``max_keys`` so it is safe to
+    bring to the driver and ship back as an ``isin`` set.
+    """
+    return [r[0] for r in hot_keys(df, key, min_rows=min_rows, max_keys=max_keys).collect()]
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, *, hot: Sequence,
+                buckets: int, spread_by: Sequence[str | Column], how: str = "inner") -> DataFrame:
+    """Equi-join ``big`` and ``small`` on ``key`` with hot keys split ``buckets`` ways.
 
     Rows of ``big`` whose key is in ``hot`` get a salt ``xxhash64(spread_by)
     mod buckets`` (deterministic, so a recomputed task produces the same
     rows); their partners in ``small`` are replicated once per salt. Other
-    keys keep salt 0 and join as usual. ``hot`` is bounded by construction
-    (see :func:`hot_keys`) and is broadcast.
+    keys keep salt 0 and join as usual. With no hot key this is a plain join.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins (big side preserved)")
-    flag = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
+    if not hot:
+        return big.join(small, key, how)
+    is_hot = F.col(key).isin(list(hot))
     spread = [F.col(c) if isinstance(c, str) else c for c in spread_by]
-    big_s = (big.join(flag, keys, "left")
-             .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(buckets)))
-                         .otherwise(F.lit(0)).cast("int"))
-             .drop("_hot"))
-    small_s = (small.join(flag, keys, "left")
-               .withColumn("_salt", F.explode(
-                   F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
-                   .otherwise(F.array(F.lit(0)))))
-               .drop("_hot"))
-    return big_s.join(small_s, keys + ["_salt"], how).drop("_salt")
+    big_s = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(buckets)))
+                           .otherwise(F.lit(0)).cast("int"))
+    small_s = small.withColumn("_salt", F.explode(
+        F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))))
+    return big_s.join(small_s, [key, "_salt"], how).drop("_salt")

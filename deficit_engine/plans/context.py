@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deficit_engine.constants import AGE_BREAKS_CLAIMS, AGE_BREAKS_RESEARCH
 from deficit_engine.operators import codes, cohort, events
+from deficit_engine.operators.skew import bounded_broadcast
 from deficit_engine.sources.fixtures import _fingerprint, omop_tables
 from deficit_engine.sources.io import materialize
 
@@ -41,6 +42,17 @@ class RunContext:
         self.tag = f"{_fingerprint(sf_dir)}-{CODE_VERSION}" + (f"-{run_id}" if run_id else "")
         self.t = omop_tables(spark, sf_dir, materialize=materialize_tables, tag=self.tag)
 
+    def _memo(self, key, build):
+        cache = self.__dict__.setdefault("_cache", {})
+        if key not in cache:
+            cache[key] = build()
+        return cache[key]
+
+    @cached_property
+    def skew_min_bytes(self) -> int:
+        """Event inputs estimated below this size are never salted."""
+        return int(self.spark.conf.get("spark.deficit.skewMinBytes", str(128 << 20)))
+
     @cached_property
     def skew_min_rows(self) -> int:
         """Rows per person above which a person's events are salted.
@@ -57,15 +69,70 @@ class RunContext:
         return materialize(df) if self.materialize_tables else df
 
     def skew_args(self) -> dict:
-        return {"skew_min_rows": self.skew_min_rows, "stage": self.stage}
+        return {"skew_min_rows": self.skew_min_rows, "skew_min_bytes": self.skew_min_bytes,
+                "stage": self.stage}
+
+    # --- small, reused inputs: built once per run, broadcast decision made once
+    def windows(self, fi: str = "vafi") -> DataFrame:
+        """B2 output (concept_id, name, chronic_category), size-checked broadcast."""
+        return self._memo(("windows", fi), lambda: bounded_broadcast(self._keep(
+            codes.resolve_standard(self.t.concept, self.code_set(fi)), f"windows_{fi}")))
+
+    def categories(self, fi: str = "vafi") -> DataFrame:
+        """(concept_id, category, score) of the code set, size-checked broadcast."""
+        return self._memo(("cats", fi), lambda: bounded_broadcast(
+            self.code_set(fi).select("concept_id", "category", "score")))
+
+    def category_names(self) -> list[str]:
+        """Categories of the code list (bounded list; report grid)."""
+        from deficit_engine.operators.report import category_list
+        return self._memo(("category_names",), lambda: category_list(self.t.code_list))
+
+    def date_range(self, years: int) -> tuple:
+        """Overall (earliest window start, latest index) of the cohort."""
+        return self._memo(("date_range", years), lambda: events.date_bounds(
+            events.search_frame(self.cohort), years))
 
     def search(self, events_df: DataFrame, fi: str = "vafi", **kw) -> DataFrame:
-        """C1-C11 over the clean cohort with the run defaults (salting, date bound)."""
+        """C1-C11 over the clean cohort with the run defaults (salting, date bound,
+        reused windows / categories)."""
         for k, v in self.skew_args().items():
             kw.setdefault(k, v)
-        kw.setdefault("date_bound", True)
+        settings = kw.get("lookbacks") or [(kw.get("acute", 1), kw.get("chronic", 1))]
+        kw.setdefault("date_bound", self.date_range(max(max(a, c) for a, c in settings)))
+        if kw.get("join_to_concept", True):
+            kw.setdefault("windows", self.windows(fi))
+        kw.setdefault("categories", self.categories(fi))
         return events.find_deficits(events_df, self.cohort, self.t.concept, self.code_set(fi), **kw)
 
+    # --- drugs ---------------------------------------------------------------
+    def ingredient_map(self) -> DataFrame:
+        return self._memo(("ing",), lambda: bounded_broadcast(self._keep(
+            codes.ingredient_descendants(self.t.concept, self.t.concept_ancestor), "ingredient_map"),
+            5_000_000))
+
+    def exclusions(self) -> DataFrame:
+        return self._memo(("excl",), lambda: bounded_broadcast(
+            codes.ancestor_exclusion_set(self.t.concept, self.t.concept_ancestor)
+            .select("ingredient_concept_id")))
+
+    def drug_era(self, strict_supply: bool = False) -> DataFrame:
+        """D1 rebuilt exposures (map-side: broadcast maps, no shuffle)."""
+        from deficit_engine.operators import drugs
+        t = self.t
+        return drugs.rebuild_drug_era(t.drug_exposure, t.concept, t.concept_ancestor,
+                                      strict_supply=strict_supply,
+                                      ingredient_map=self.ingredient_map(),
+                                      exclusions=self.exclusions())
+
+    def in_window(self, strict_supply: bool = False) -> DataFrame:
+        """D2 exposures in the one-year window, materialised once (the
+        persisted polypharmacy input of the original workflow)."""
+        from deficit_engine.operators import drugs
+        return self._memo(("in_window", strict_supply), lambda: self._keep(
+            drugs.exposures_in_window(self.drug_era(strict_supply), self.cohort, **self.skew_args()),
+            f"drug_in_window_{int(strict_supply)}"))
+
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         if not self.materialize_tables:
             return df
@@ -92,8 +159,9 @@ class RunContext:
 
     # --- code sets ---------------------------------------------------------
     def code_set(self, fi: str = "vafi") -> DataFrame:
-        """Searched code set (B1, lookback renamed chronic_category)."""
-        return codes.as_concept_location(codes.build_code_set(self.t.code_list, self.t.lookbacks, fi))
+        """Searched code set (B1, lookback renamed chronic_category), materialised."""
+        return self._memo(("code_set", fi), lambda: self._keep(codes.as_concept_location(
+            codes.build_code_set(self.t.code_list, self.t.lookbacks, fi)), f"code_set_{fi}"))
 
     # --- events ------------------------------------------------------------
     def events(self, with_source: bool = False, only: str | None = None) -> DataFrame:
@@ -125,12 +193,9 @@ STANDARD_WINDOWS = ((1, 1), (3, 3))
 def _hits_multi(self: RunContext, fi: str = "vafi") -> DataFrame:
     """Unique-category hits for both standard windows from ONE search pass,
     materialised (the persisted hit table of the original workflow)."""
-    key = ("hits_multi", fi)
-    cache = self.__dict__.setdefault("_cache", {})
-    if key not in cache:
-        hits = self.search(self.events(), fi, lookbacks=STANDARD_WINDOWS, unique_categories=True)
-        cache[key] = self._keep(hits, f"hits_{fi}_multi")
-    return cache[key]
+    return self._memo(("hits_multi", fi), lambda: self._keep(
+        self.search(self.events(), fi, lookbacks=STANDARD_WINDOWS, unique_categories=True),
+        f"hits_{fi}_multi"))
 
 
 def _deficits(self: RunContext, fi: str = "vafi", acute: int = 1, chronic: int = 1) -> DataFrame:

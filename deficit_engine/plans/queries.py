@@ -222,13 +222,11 @@ def _(c: RunContext):
 
 # --- polypharmacy --------------------------------------------------------------
 def _era(c: RunContext, strict_supply: bool = False) -> DataFrame:
-    t = c.t
-    return drugs.rebuild_drug_era(t.drug_exposure, t.concept, t.concept_ancestor,
-                                  strict_supply=strict_supply)
+    return c.drug_era(strict_supply)
 
 
 def _in_window(c: RunContext, strict_supply: bool = False) -> DataFrame:
-    return drugs.exposures_in_window(_era(c, strict_supply), c.cohort, **c.skew_args())
+    return c.in_window(strict_supply)
 
 
 @query("drug_era_rebuilt")
@@ -340,21 +338,21 @@ def _(c: RunContext):
 @query("category_summary")
 def _(c: RunContext):
     """E4 + E7: category prevalence (unit scores), ordered, complete rows."""
-    return report.category_report(c.deficits("vafi", 1, 1), c.cohort, c.t.code_list,
+    return report.category_report(c.deficits("vafi", 1, 1), c.cohort, c.category_names(),
                                   unit_score=True, suppress=False)
 
 
 @query("category_summary_suppressed")
 def _(c: RunContext):
     """E4 + E7 + E6: published category table with small cells zeroed."""
-    return report.category_report(c.deficits("vafi", 1, 1), c.cohort, c.t.code_list,
+    return report.category_report(c.deficits("vafi", 1, 1), c.cohort, c.category_names(),
                                   unit_score=True, suppress=True)
 
 
 @query("category_summary_efi")
 def _(c: RunContext):
     """E4 with scores kept (EFI with polypharmacy), suppressed."""
-    return report.category_report(_efi_with_poly(c), c.cohort, c.t.code_list,
+    return report.category_report(_efi_with_poly(c), c.cohort, c.category_names(),
                                   unit_score=False, suppress=True)
 
 

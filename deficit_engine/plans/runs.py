@@ -26,11 +26,9 @@ def run_indices(spark: SparkSession, sf_dir: str, out_dir: str, *, source: str =
     run_date = run_date or _dt.date.today().isoformat()
     c = context(spark, sf_dir)
     cohort = c.cohort
-    t = c.t
-    era = drugs.rebuild_drug_era(t.drug_exposure, t.concept, t.concept_ancestor)
+    cats_list = c.category_names()
     # polypharmacy is always the one-year window, whatever the index window
-    poly = drugs.polypharmacy(drugs.exposures_in_window(era, cohort, **c.skew_args()),
-                              cohort, poly_threshold)
+    poly = drugs.polypharmacy(c.in_window(), cohort, poly_threshold)
     written = []
     for acute, chronic in windows:
         for fi, spec, with_poly, unit in (("vafi", VAFI, False, True), ("efi", EFI, True, False)):
@@ -41,7 +39,7 @@ def run_indices(spark: SparkSession, sf_dir: str, out_dir: str, *, source: str =
             written.append(write_report(report.summarize_bands(scores), out_dir, index=fi,
                                         acute=acute, chronic=chronic, source=source,
                                         run_date=run_date))
-            cats = report.category_report(hits, cohort, t.code_list, unit_score=unit)
+            cats = report.category_report(hits, cohort, cats_list, unit_score=unit)
             written.append(write_report(cats, out_dir, index=fi, acute=acute, chronic=chronic,
                                         source=source, run_date=run_date, kind="categories"))
     return written
