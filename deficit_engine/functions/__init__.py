@@ -2,7 +2,8 @@
 
 from deficit_engine.functions.dates import add_years, completed_years, to_date
 from deficit_engine.functions.expr import (
-    age_band, age_band_lower, band_flags, flag_unless_equal, if_else)
+    age_band, age_band_lower, band_flags, flag_unless_equal, if_else, percent_label,
+    thousands_label)
 
 __all__ = ["add_years", "completed_years", "to_date", "age_band", "age_band_lower",
-           "band_flags", "flag_unless_equal", "if_else"]
+           "band_flags", "flag_unless_equal", "if_else", "percent_label", "thousands_label"]

@@ -70,3 +70,13 @@ def band_flags(fi, lb: float, ub: float, boundary: str = "right_closed") -> dict
                 "frail": if_else(fi >= ub, 1, 0),
                 "robust": if_else(fi < lb, 1, 0)}
     raise ValueError(f"boundary must be right_closed or left_closed, not {boundary!r}")
+
+
+def percent_label(c, digits: int = 0) -> Column:
+    """Display label ``12%`` for a fraction (report text only)."""
+    return F.concat(F.format_number(_col(c) * 100, digits), F.lit("%"))
+
+
+def thousands_label(c) -> Column:
+    """Display label ``34,808,145`` for a count (report text only)."""
+    return F.format_number(_col(c).cast("double"), 0)

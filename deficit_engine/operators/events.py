@@ -206,6 +206,21 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
             .select(*base, "category", "concept_id", "score", *lb_cols))
 
 
+def check_index(index: str) -> str:
+    """Known index names only (case-insensitive); returns the lower-case name."""
+    from deficit_engine.constants import INDEX_NAMES
+    name = index.lower()
+    if name not in INDEX_NAMES:
+        raise ValueError(f"index not found; index must be one of: {', '.join(INDEX_NAMES)}")
+    return name
+
+
+def probe_concept(hits: DataFrame, concept_id: int, n: int = 2) -> DataFrame:
+    """``head(n)`` probe of one concept's hits, deterministic (ordered by all
+    columns; a top-n, where the limit is the feature)."""
+    return hits.filter(F.col("concept_id") == concept_id).orderBy(*hits.columns).limit(n)
+
+
 def deficit_rows(hits: DataFrame, keep: Sequence[str] = ("age_group", "is_female"),
                  extra: Sequence[str] = ()) -> DataFrame:
     """C11: one row per (person, strata, score, category)."""

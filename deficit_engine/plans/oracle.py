@@ -491,6 +491,13 @@ WHERE standard_concept = 'S' AND concept_id IN (SELECT concept_id FROM o_cs_vafi
     "source_code_events": """
 SELECT person_id, age_group, is_female, concept_id, concept_name, start_date, deficit,
        source_value, person_start_date, person_end_date, vocabulary_id FROM o_src_ev""",
+    "probe_concept": """
+SELECT person_id, age_group, is_female, concept_id, concept_name, start_date, deficit,
+       source_value, person_start_date, person_end_date, vocabulary_id FROM o_src_ev
+WHERE concept_id = 1
+ORDER BY person_id, age_group, is_female, concept_id, concept_name, start_date, deficit,
+         source_value, person_start_date, person_end_date, vocabulary_id
+LIMIT 2""",
     "drug_era_rebuilt": "SELECT * FROM o_era",
     "drug_era": "SELECT * FROM o_win",
     "polypharmacy": f"SELECT * FROM {poly('o_win', 10)}",

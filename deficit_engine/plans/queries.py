@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 PERCENT_CATEGORY = "Multi"
+PROBE_CONCEPT = 1
 CORR_EXCLUDE = "Brand#1"
 
 
@@ -220,6 +221,12 @@ def _(c: RunContext):
     return _source_search(c)
 
 
+@query("probe_concept")
+def _(c: RunContext):
+    """head(n) probe: first two source-value hits of one concept (ordered)."""
+    return events.probe_concept(_source_search(c), PROBE_CONCEPT, 2)
+
+
 # --- polypharmacy --------------------------------------------------------------
 def _era(c: RunContext, strict_supply: bool = False) -> DataFrame:
     return c.drug_era(strict_supply)

@@ -50,3 +50,18 @@ def test_integer_cuts(spark):
         ["robust", "prefrail", "prefrail", "frail"]
     assert _bands(spark, [k / 36 for k in (4, 5, 8, 9)], 0.12, 0.24, "right_closed") == \
         ["robust", "prefrail", "prefrail", "frail"]
+
+
+def test_display_labels(spark):
+    from deficit_engine.functions import percent_label, thousands_label
+    r = spark.createDataFrame([(0.1234, 34808145)], "p double, n long").select(
+        percent_label("p").alias("a"), thousands_label("n").alias("b")).first()
+    assert r.a == "12%" and r.b == "34,808,145"
+
+
+def test_index_names():
+    import pytest
+    from deficit_engine.operators.events import check_index
+    assert check_index("VAFI") == "vafi"
+    with pytest.raises(ValueError):
+        check_index("nope")
