@@ -43,3 +43,22 @@ def run_indices(spark: SparkSession, sf_dir: str, out_dir: str, *, source: str =
             written.append(write_report(cats, out_dir, index=fi, acute=acute, chronic=chronic,
                                         source=source, run_date=run_date, kind="categories"))
     return written
+
+
+def main(argv=None) -> None:
+    """``python -m deficit_engine.plans.runs --input DIR --out DIR [--source NAME]``"""
+    import argparse
+    from deficit_engine.session import get_session
+    ap = argparse.ArgumentParser(description="Run VAFI / EFI indices and write the reports")
+    ap.add_argument("--input", required=True, help="folder with the input parquet tables")
+    ap.add_argument("--out", required=True, help="output folder for the CSV reports")
+    ap.add_argument("--source", default="fixture", help="data source label in file names")
+    ap.add_argument("--date", default=None, help="run date in file names (default today)")
+    args = ap.parse_args(argv)
+    spark = get_session()
+    for p in run_indices(spark, args.input, args.out, source=args.source, run_date=args.date):
+        print(p)
+
+
+if __name__ == "__main__":
+    main()

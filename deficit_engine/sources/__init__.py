@@ -2,7 +2,7 @@
 
 from deficit_engine.sources.fixtures import OmopTables, omop_tables
 from deficit_engine.sources.io import (
-    materialize, read_code_list_csv, table_exists, write_report)
+    materialize, read_code_list_csv, table_exists, upload, write_report)
 
 __all__ = ["OmopTables", "omop_tables", "materialize", "read_code_list_csv",
-           "table_exists", "write_report"]
+           "table_exists", "upload", "write_report"]

@@ -60,5 +60,10 @@ def write_report(df: DataFrame, out_dir: str, *, index: str, acute: int, chronic
     """
     stem = f"{run_date}_{index}{'_' + kind if kind else ''}_acute{acute}-chronic{chronic}_{source}"
     path = os.path.join(out_dir, stem)
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
     return path
+
+
+def upload(spark: SparkSession, rows, table: str) -> DataFrame:
+    """Client-side rows (e.g. a code list) as a DataFrame with the declared schema."""
+    return spark.createDataFrame(rows, SCHEMAS[table])

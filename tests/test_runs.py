@@ -17,3 +17,13 @@ def test_run_writes_named_reports(spark):
                           header=True, inferSchema=True)
     assert sum(r.N for r in band.collect()) == 90
     assert all(glob.glob(os.path.join(p, "*.csv")) for p in paths)
+
+
+def test_upload_and_csv_code_list(spark, tmp_path):
+    from deficit_engine.sources import read_code_list_csv, upload
+    df = upload(spark, [(1, "A", 1.0), (2, "B", 0.5)], "code_list")
+    p = str(tmp_path / "codes")
+    df.write.option("header", True).csv(p)
+    back = read_code_list_csv(spark, p)
+    assert dict(back.dtypes)["score"] == "double"
+    assert sorted(map(tuple, back.collect())) == [(1, "A", 1.0), (2, "B", 0.5)]
