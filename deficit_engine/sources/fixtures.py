@@ -209,7 +209,9 @@ def _derived(spark: SparkSession, base: dict[str, DataFrame]) -> dict[str, DataF
         F.col("o_custkey").alias("person_id"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("The Basics"))
         .otherwise(F.lit("Lifestyle")).alias("survey"),
-        F.col("o_orderdate").cast("timestamp").alias("survey_datetime"))
+        # wall-clock timestamp (no zone): dates derived from it never depend
+        # on the session time zone of whoever reads the written table
+        F.col("o_orderdate").cast("timestamp_ntz").alias("survey_datetime"))
 
     k = F.col("c_custkey")
     out["cb_search_person"] = customer.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 L, I, D, S, TS, DB = (T.LongType(), T.IntegerType(), T.DateType(), T.StringType(),
-                      T.TimestampType(), T.DoubleType())
+                      T.TimestampNTZType(), T.DoubleType())
 
 
 def _schema(*fields) -> T.StructType:
