@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "cohort_clean",             # A1-A5, materialised
-    "deficits_1y",              # C1-C11, both windows in one pass, materialised
+    "deficits_1y",              # C1-C11: all indices x both windows in one pass, materialised
     "band_summary_1y",          # E1 + E3
     "band_summary_3y",
     "category_summary_suppressed",  # E4 + E6 + E7

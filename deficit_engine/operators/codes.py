@@ -34,14 +34,16 @@ def _standard(concept: DataFrame) -> DataFrame:
     return concept.filter(F.col("standard_concept") == "S")
 
 
-def resolve_standard(concept: DataFrame, code_set: DataFrame, with_names: bool = True) -> DataFrame:
+def resolve_standard(concept: DataFrame, code_set: DataFrame, with_names: bool = True,
+                     tag: str | None = None) -> DataFrame:
     """B2: standard concepts of the code set with their lookback code.
 
     The (small) code set restricts the concept table with a semi join before
     the distinct, so the large concept table is never shuffled whole.
-    Output: concept_id, [name,] chronic_category.
+    Output: concept_id, [name,] chronic_category[, tag] - ``tag`` names a
+    column of a union of several code sets (e.g. the index name).
     """
-    codes = code_set.select("concept_id", "chronic_category").distinct()
+    codes = code_set.select("concept_id", "chronic_category", *([tag] if tag else [])).distinct()
     ids = bounded_broadcast(codes.select("concept_id").distinct())
     std = _standard(concept).join(ids, "concept_id", "left_semi")
     if with_names:

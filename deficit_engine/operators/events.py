@@ -106,6 +106,7 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                   salt_buckets: int = 32, max_hot_keys: int = 256,
                   stage: Callable[[DataFrame], DataFrame] | None = None,
                   windows: DataFrame | None = None, categories: DataFrame | None = None,
+                  tag: str | None = None,
                   chronic_value: int = CHRONIC_LOOKBACK_CODE) -> DataFrame:
     """Code-list hits of cohort members inside their lookback windows.
 
@@ -131,11 +132,16 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     the cohort's overall window range; the filter reaches the Parquet scans.
     ``windows`` / ``categories`` may be passed precomputed (B2 output and the
     (concept_id, category, score) table) to reuse them across searches.
+
+    ``tag`` names a column of ``code_set`` that tells several code sets
+    apart (a union of index code lists): all indices are then searched in
+    the same pass, categories attach only within their own index, and the
+    output carries the tag.
     """
     keep = list(keep)
     settings = list(lookbacks) if lookbacks else [(acute, chronic)]
     multi = lookbacks is not None
-    lb_cols = ["acute_lookback", "chronic_lookback"] if multi else []
+    lb_cols = (["acute_lookback", "chronic_lookback"] if multi else []) + ([tag] if tag else [])
     pid = search_frame(cohort, person_id, start_date, end_date, keep)
 
     need_names = not (join_now and unique_categories)
@@ -144,10 +150,11 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
             windows = windows.drop("name")
     else:
         if join_to_concept:
-            windows = resolve_standard(concept, code_set, with_names=need_names)
+            windows = resolve_standard(concept, code_set, with_names=need_names, tag=tag)
         else:  # B3 membership form; lookback re-attached from the code set
             windows = resolve_standard_by_id(concept, code_set).join(
-                code_set.select("concept_id", "chronic_category").distinct(), "concept_id")
+                code_set.select("concept_id", "chronic_category", *([tag] if tag else [])).distinct(),
+                "concept_id")
             if not need_names:
                 windows = windows.drop("name")
         windows = bounded_broadcast(windows)
@@ -190,19 +197,20 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                             "person_start_date", "person_end_date", "chronic_category", *lb_cols)
                 .distinct().drop("domain"))
 
+    cat_key = ["concept_id", *([tag] if tag else [])]
     cats = categories if categories is not None else \
-        bounded_broadcast(code_set.select("concept_id", "category", "score"))
+        bounded_broadcast(code_set.select(*cat_key, "category", "score"))
     base = ["person_id", *keep, "person_start_date", "person_end_date"]
     if unique_categories:
         # distinct before the category fan-out: many events per (person, concept)
         slim = hits.select(*base, "concept_id", *lb_cols).distinct()
-        return (slim.join(cats, "concept_id", "left")
+        return (slim.join(cats, cat_key, "left")
                 .select(*base, "category", "score", *lb_cols).distinct())
     # per-domain distinct as in the four separate searches, then union-all
     per_domain = hits.select("domain", "person_id", *keep, "concept_id", "name", "start_date",
                              "person_start_date", "person_end_date", "chronic_category",
                              *lb_cols).distinct()
-    return (per_domain.join(cats, "concept_id", "left")
+    return (per_domain.join(cats, cat_key, "left")
             .select(*base, "category", "concept_id", "score", *lb_cols))
 
 

@@ -107,7 +107,9 @@ class RunContext:
         if kw.get("join_to_concept", True):
             kw.setdefault("windows", self.windows(fi))
         kw.setdefault("categories", self.categories(fi))
-        return events.find_deficits(events_df, self.cohort, self.t.concept, self.code_set(fi), **kw)
+        code_set = kw.pop("code_set", None)
+        code_set = self.code_set(fi) if code_set is None else code_set
+        return events.find_deficits(events_df, self.cohort, self.t.concept, code_set, **kw)
 
     # --- drugs ---------------------------------------------------------------
     def ingredient_map(self) -> DataFrame:
@@ -194,26 +196,48 @@ def context(spark: SparkSession, sf_dir: str, **kw) -> RunContext:
 
 # --- shared deficit tables (attached to RunContext below) --------------------
 STANDARD_WINDOWS = ((1, 1), (3, 3))
+INDICES = ("vafi", "efi")
 
 
-def _hits_multi(self: RunContext, fi: str = "vafi") -> DataFrame:
-    """Unique-category hits for both standard windows from ONE search pass,
-    materialised (the persisted hit table of the original workflow)."""
-    return self._memo(("hits_multi", fi), lambda: self._keep(
-        self.search(self.events(), fi, lookbacks=STANDARD_WINDOWS, unique_categories=True),
-        f"hits_{fi}_multi"))
+def _code_set_all(self: RunContext) -> DataFrame:
+    """Union of the index code sets, tagged with ``index_name``."""
+    from pyspark.sql import functions as F
+
+    def build():
+        out = None
+        for fi in INDICES:
+            one = self.code_set(fi).select("concept_id", "category", "score", "chronic_category",
+                                           F.lit(fi).alias("index_name"))
+            out = one if out is None else out.unionByName(one)
+        return self._keep(out, "code_set_all")
+    return self._memo(("code_set_all",), build)
+
+
+def _hits_all(self: RunContext) -> DataFrame:
+    """Unique-category hits of EVERY index and BOTH standard windows from one
+    pass over the events (one scan, one person shuffle), materialised - the
+    persisted hit tables of the original workflow, built once."""
+    def build():
+        cs = _code_set_all(self)
+        windows = bounded_broadcast(self._keep(
+            codes.resolve_standard(self.t.concept, cs, tag="index_name"), "windows_all"))
+        cats = bounded_broadcast(cs.select("concept_id", "index_name", "category", "score"))
+        hits = self.search(self.events(), "vafi", code_set=cs, tag="index_name", windows=windows,
+                           categories=cats, lookbacks=STANDARD_WINDOWS, unique_categories=True)
+        return self._keep(hits, "hits_all_indices")
+    return self._memo(("hits_all",), build)
 
 
 def _deficits(self: RunContext, fi: str = "vafi", acute: int = 1, chronic: int = 1) -> DataFrame:
     """C11 deficit rows (person, strata, score, category) for one window."""
     from pyspark.sql import functions as F
-    if (acute, chronic) in STANDARD_WINDOWS:
-        h = _hits_multi(self, fi).filter((F.col("acute_lookback") == acute)
-                                         & (F.col("chronic_lookback") == chronic))
+    if (acute, chronic) in STANDARD_WINDOWS and fi in INDICES:
+        h = _hits_all(self).filter((F.col("index_name") == fi) & (F.col("acute_lookback") == acute)
+                                   & (F.col("chronic_lookback") == chronic))
     else:
         h = self.search(self.events(), fi, acute=acute, chronic=chronic, unique_categories=True)
     return events.deficit_rows(h)
 
 
-RunContext.hits_multi = _hits_multi
+RunContext.hits_all = _hits_all
 RunContext.deficits = _deficits

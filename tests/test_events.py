@@ -100,3 +100,15 @@ def test_date_bound_prunes_without_changing_hits(spark):
     a = ev.find_deficits(*args, acute=3, chronic=3, unique_categories=True)
     b = ev.find_deficits(*args, acute=3, chronic=3, unique_categories=True, date_bound=True)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_all_indices_pass_equals_separate_searches(spark):
+    from deficit_engine.plans.context import INDICES, STANDARD_WINDOWS, context
+    c = context(spark, SF_SMALL)
+    for fi in INDICES:
+        for a, ch in STANDARD_WINDOWS:
+            one = ev.deficit_rows(ev.find_deficits(c.events(), c.cohort, c.t.concept,
+                                                   c.code_set(fi), acute=a, chronic=ch,
+                                                   unique_categories=True))
+            assert sorted(map(tuple, c.deficits(fi, a, ch).collect())) == \
+                sorted(map(tuple, one.collect())), (fi, a, ch)
