@@ -131,16 +131,23 @@ def polypharmacy_prevalence(poly: DataFrame, cohort: DataFrame) -> DataFrame:
 
 def ingredient_deciles(in_window: DataFrame, cohort: DataFrame,
                        probs: Sequence[float] = DECILE_PROBS,
-                       item: str = "ingredient_concept_id") -> DataFrame:
+                       item: str = "ingredient_concept_id", approximate: bool = False,
+                       accuracy: int = 10000) -> DataFrame:
     """Quantiles of the 0-filled per-person item count (linear interpolation).
 
     ``percentile`` keeps a value -> frequency map, so memory is bounded by
-    the number of distinct counts, not persons. Output: prob, value.
+    the number of distinct counts, not persons. ``approximate=True`` uses
+    ``percentile_approx`` (a mergeable sketch; returns observed values, no
+    interpolation). Output: prob, value.
     """
     counts = ingredient_counts(in_window, item)
     filled = (cohort.select("person_id").join(counts, "person_id", "left")
               .select(F.coalesce("n", F.lit(0)).alias("n")))
-    q = filled.agg(F.percentile("n", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    if approximate:
+        q = filled.agg(F.percentile_approx("n", arr, accuracy).cast("array<double>").alias("q"))
+    else:
+        q = filled.agg(F.percentile("n", arr).alias("q"))
     return q.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"),
                                            F.col("q").alias("value"))).alias("z")) \
         .select(F.col("z.prob").alias("prob"), F.col("z.value").alias("value"))

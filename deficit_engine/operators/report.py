@@ -90,6 +90,17 @@ def suppress_small_cells(df: DataFrame, min_count: int = SUPPRESS_BELOW,
                                        F.col(count))))
 
 
+def suppress_band_cells(summary: DataFrame, min_count: int = SUPPRESS_BELOW) -> DataFrame:
+    """E6 as an opt-in for band summaries: a band count below ``min_count``
+    and its fraction are set to 0 (N is kept)."""
+    out = summary
+    for band in ("prefrail", "frail", "robust"):
+        small = F.col(f"n_{band}") < min_count
+        out = (out.withColumn(band, if_else(small, F.lit(0.0), F.col(band)))
+               .withColumn(f"n_{band}", if_else(small, F.lit(0).cast("long"), F.col(f"n_{band}"))))
+    return out
+
+
 def age_lower(c: str = "age_group") -> Column:
     """Lower bound of an ``[lo,hi)`` label, for numeric ordering."""
     return F.regexp_extract(F.col(c), r"^\[(\d+)", 1).cast("int")

@@ -372,6 +372,14 @@ WHERE ((e.drug_exposure_start_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DAT
     OR (e.drug_exposure_end_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DATE)
         AND e.drug_exposure_end_date <= c.index_date))
   AND date_diff('day', e.drug_exposure_start_date, e.drug_exposure_end_date) >= 1""")
+cte("o_win_ws", """
+SELECT e.person_id, e.ingredient_concept_id, e.drug_exposure_start_date, e.drug_exposure_end_date
+FROM o_era e JOIN o_clean c ON e.person_id = c.person_id
+WHERE ((e.drug_exposure_start_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DATE)
+        AND e.drug_exposure_start_date <= c.index_date)
+    OR (e.drug_exposure_end_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DATE)
+        AND e.drug_exposure_end_date <= c.index_date))
+  AND date_diff('day', c.visit_lookback_date, e.drug_exposure_end_date) >= 1""")
 cte("o_win_era", """
 SELECT d.person_id, d.drug_concept_id, d.drug_era_start_date, d.drug_era_end_date
 FROM drug_era d JOIN o_clean c ON d.person_id = c.person_id
@@ -485,6 +493,12 @@ WHERE standard_concept = 'S' AND concept_id IN (SELECT concept_id FROM o_cs_vafi
     "hits_all": f"SELECT * FROM {hits_all(V, 1, 1)}",
     "hits_unique": f"SELECT * FROM {hits_unique(V, 1, 1)}",
     "hits_unique_1_3": f"SELECT * FROM {hits_unique(V, 1, 3)}",
+    "hits_by_id_unique": f"""
+SELECT DISTINCT h.person_id, h.age_group, h.is_female, h.person_start_date, h.person_end_date,
+       c.category, c.score
+FROM (SELECT * FROM {search(V, 1, 1)}
+      WHERE concept_id IN (SELECT concept_id FROM concept WHERE standard_concept = 'S')) h
+LEFT JOIN o_cs_vafi c ON h.concept_id = c.concept_id""",
     "deficits_1y": f"SELECT * FROM {deficits(V, 1, 1)}",
     "deficits_3y": f"SELECT * FROM {deficits(V, 3, 3)}",
     "source_code_hits": "SELECT * FROM o_src_def",
@@ -500,6 +514,7 @@ ORDER BY person_id, age_group, is_female, concept_id, concept_name, start_date,
 LIMIT 2""",
     "drug_era_rebuilt": "SELECT * FROM o_era",
     "drug_era": "SELECT * FROM o_win",
+    "drug_era_window_start": "SELECT * FROM o_win_ws",
     "polypharmacy": f"SELECT * FROM {poly('o_win', 10)}",
     "polypharmacy_t5": f"SELECT * FROM {poly('o_win', 5)}",
     "polypharmacy_strict": f"SELECT * FROM {poly('o_win_strict', 5)}",
@@ -525,6 +540,15 @@ FROM (SELECT CAST(coalesce(k.n, 0) AS DOUBLE) AS n FROM o_clean c
     "band_summary_1y": "SELECT * FROM o_bands_1",
     "band_summary_3y": bands(SCORE_3),
     "band_summary_efi": bands(SCORE_EFI),
+    "band_summary_suppressed": """
+SELECT age_group, is_female, N,
+       CASE WHEN n_prefrail < 20 THEN CAST(0 AS BIGINT) ELSE n_prefrail END AS n_prefrail,
+       CASE WHEN n_frail < 20 THEN CAST(0 AS BIGINT) ELSE n_frail END AS n_frail,
+       CASE WHEN n_robust < 20 THEN CAST(0 AS BIGINT) ELSE n_robust END AS n_robust,
+       CASE WHEN n_prefrail < 20 THEN CAST(0 AS DOUBLE) ELSE prefrail END AS prefrail,
+       CASE WHEN n_frail < 20 THEN CAST(0 AS DOUBLE) ELSE frail END AS frail,
+       CASE WHEN n_robust < 20 THEN CAST(0 AS DOUBLE) ELSE robust END AS robust
+FROM o_bands_1""",
     "category_summary": categories(deficits(V, 1, 1), "o_clean", unit=True, suppress=False),
     "category_summary_suppressed": categories(deficits(V, 1, 1), "o_clean", unit=True, suppress=True),
     "category_summary_efi": categories("o_efi_poly", "o_clean", unit=False, suppress=True),

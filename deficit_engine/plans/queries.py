@@ -197,6 +197,12 @@ def _(c: RunContext):
     return c.search(c.events(), acute=1, chronic=3, unique_categories=True)
 
 
+@query("hits_by_id_unique")
+def _(c: RunContext):
+    """C10 through the id-membership concept form (B3), lookback re-attached."""
+    return c.search(c.events(), unique_categories=True, join_to_concept=False)
+
+
 @query("deficits_1y")
 def _(c: RunContext):
     """C11: deficit rows, one-year windows."""
@@ -248,6 +254,13 @@ def _(c: RunContext):
     return _in_window(c)
 
 
+@query("drug_era_window_start")
+def _(c: RunContext):
+    """D2 with duration counted from the window start (second warehouse rule)."""
+    return drugs.exposures_in_window(_era(c), c.cohort, duration_from="window_start",
+                                     **c.skew_args())
+
+
 @query("polypharmacy")
 def _(c: RunContext):
     """D3: >= 10 ingredients."""
@@ -335,6 +348,12 @@ def _(c: RunContext):
     return report.summarize_bands(_scores(c, 3, 3))
 
 
+@query("band_summary_suppressed")
+def _(c: RunContext):
+    """E3 + opt-in E6 on band counts."""
+    return report.suppress_band_cells(report.summarize_bands(_scores(c, 1, 1)))
+
+
 @query("band_summary_efi")
 def _(c: RunContext):
     """E3 for EFI with polypharmacy (36 categories, 0.12 / 0.24)."""

@@ -64,3 +64,12 @@ def test_window_rules_and_threshold(spark):
     salted = drugs.exposures_in_window(era, cohort, skew_min_rows=3, salt_buckets=4,
                                          skew_min_bytes=0)
     assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, win.collect()))
+
+
+def test_approximate_deciles_close_to_exact(spark):
+    cohort = spark.range(0, 200).selectExpr("id AS person_id")
+    win = spark.range(0, 2000).selectExpr("id % 200 AS person_id", "CAST(id % 37 AS INT) AS ingredient_concept_id")
+    exact = {r.prob: r.value for r in drugs.ingredient_deciles(win, cohort).collect()}
+    approx = {r.prob: r.value for r in drugs.ingredient_deciles(win, cohort, approximate=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(exact[p] - approx[p]) <= 1.0 for p in exact)
