@@ -117,8 +117,9 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     pass and the output carries ``acute_lookback`` / ``chronic_lookback``.
 
     Output (``join_now``): person_id, keep..., person_start_date (the window
-    start used), person_end_date, category, [concept_id,] score. With
-    ``unique_categories`` concept_id is dropped and rows deduplicated.
+    start used), person_end_date, category, [concept_id,] score, plus the
+    lookback columns / ``tag`` when given. With ``unique_categories``
+    concept_id is dropped and rows deduplicated.
     Without ``join_now``: person_id, keep..., concept_id, concept_name,
     start_date, person_start_date, person_end_date, chronic_category.
 
@@ -141,7 +142,8 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     keep = list(keep)
     settings = list(lookbacks) if lookbacks else [(acute, chronic)]
     multi = lookbacks is not None
-    lb_cols = (["acute_lookback", "chronic_lookback"] if multi else []) + ([tag] if tag else [])
+    # columns that distinguish result sets computed in the same pass
+    extra_cols = (["acute_lookback", "chronic_lookback"] if multi else []) + ([tag] if tag else [])
     pid = search_frame(cohort, person_id, start_date, end_date, keep)
 
     need_names = not (join_now and unique_categories)
@@ -179,6 +181,11 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
         joined = cand.join(pid, "person_id")
 
     if multi:
+        # widest window of all settings first, so the per-setting explode
+        # only duplicates rows that can still match
+        widest = max(max(a, c) for a, c in settings)
+        joined = joined.filter((F.col("start_date") >= shift_years("person_start_date", widest))
+                               & (F.col("start_date") <= F.col("person_end_date")))
         cfg = F.array(*[F.struct(F.lit(a).alias("acute_lookback"), F.lit(c).alias("chronic_lookback"))
                         for a, c in settings])
         joined = joined.withColumn("_lb", F.explode(cfg)).select("*", "_lb.*").drop("_lb")
@@ -194,7 +201,7 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     if not join_now:
         return (hits.select("domain", "person_id", *keep, "concept_id",
                             F.col("name").alias("concept_name"), "start_date",
-                            "person_start_date", "person_end_date", "chronic_category", *lb_cols)
+                            "person_start_date", "person_end_date", "chronic_category", *extra_cols)
                 .distinct().drop("domain"))
 
     cat_key = ["concept_id", *([tag] if tag else [])]
@@ -203,15 +210,15 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     base = ["person_id", *keep, "person_start_date", "person_end_date"]
     if unique_categories:
         # distinct before the category fan-out: many events per (person, concept)
-        slim = hits.select(*base, "concept_id", *lb_cols).distinct()
+        slim = hits.select(*base, "concept_id", *extra_cols).distinct()
         return (slim.join(cats, cat_key, "left")
-                .select(*base, "category", "score", *lb_cols).distinct())
+                .select(*base, "category", "score", *extra_cols).distinct())
     # per-domain distinct as in the four separate searches, then union-all
     per_domain = hits.select("domain", "person_id", *keep, "concept_id", "name", "start_date",
                              "person_start_date", "person_end_date", "chronic_category",
-                             *lb_cols).distinct()
+                             *extra_cols).distinct()
     return (per_domain.join(cats, cat_key, "left")
-            .select(*base, "category", "concept_id", "score", *lb_cols))
+            .select(*base, "category", "concept_id", "score", *extra_cols))
 
 
 def check_index(index: str) -> str:
