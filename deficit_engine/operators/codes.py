@@ -21,8 +21,8 @@ def build_code_set(codes: DataFrame, lookbacks: DataFrame, fi: str) -> DataFrame
     """
     if "lookback" in codes.columns:
         return codes
-    lb = lookbacks.filter(F.col("fi") == fi).select("fi", "category", "lookback")
-    return codes.select("category", "concept_id", "score").join(F.broadcast(lb), "category", "left")
+    lb = bounded_broadcast(lookbacks.filter(F.col("fi") == fi).select("fi", "category", "lookback"))
+    return codes.select("category", "concept_id", "score").join(lb, "category", "left")
 
 
 def as_concept_location(code_set: DataFrame) -> DataFrame:
