@@ -139,10 +139,10 @@ class RunContext:
             drugs.exposures_in_window(self.drug_era(strict_supply), self.cohort, **self.skew_args()),
             f"drug_in_window_{int(strict_supply)}"))
 
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+    def _keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         if not self.materialize_tables:
             return df
-        return materialize(df, f"{self.tag}/{name}")
+        return materialize(df, f"{self.tag}/{name}", partition_by=partition_by)
 
     # --- cohorts -----------------------------------------------------------
     @property
@@ -224,7 +224,9 @@ def _hits_all(self: RunContext) -> DataFrame:
         cats = bounded_broadcast(cs.select("concept_id", "index_name", "category", "score"))
         hits = self.search(self.events(), "vafi", code_set=cs, tag="index_name", windows=windows,
                            categories=cats, lookbacks=STANDARD_WINDOWS, unique_categories=True)
-        return self._keep(hits, "hits_all_indices")
+        # one folder per (index, window): a report reads only its own slice
+        return self._keep(hits, "hits_all_indices",
+                          partition_by=["index_name", "acute_lookback", "chronic_lookback"])
     return self._memo(("hits_all",), build)
 
 
