@@ -31,7 +31,7 @@ def to_long(totals: DataFrame, cols: tuple[str, ...] = ("sum_score_x", "sum_scor
 
 
 def icc_oneway(long: DataFrame, subject: str = "category", rater: str = "rater",
-               value: str = "value") -> DataFrame:
+               value: str = "value", k: int | None = None) -> DataFrame:
     """One-way single-score ICC(1) with its F statistic.
 
     Subjects with a missing rating are dropped (complete cases). Mean squares
@@ -39,9 +39,14 @@ def icc_oneway(long: DataFrame, subject: str = "category", rater: str = "rater",
     merge, so large totals do not lose precision):
     MSB = k * sum_i (m_i - m)^2 / (n - 1), MSW = sum_i SS_i / (n (k - 1)),
     ICC = (MSB - MSW) / (MSB + (k - 1) MSW), F = MSB / MSW.
-    Output: one row n, k, msb, msw, icc, f_value, df1, df2.
+    Output: one row n, k, msb, msw, icc, f_value, df1, df2. ``k`` (number
+    of raters) is counted from the data unless the caller knows it.
     """
-    k = long.filter(F.col(value).isNotNull()).select(rater).distinct().select(F.count(F.lit(1))).scalar()
+    if k is None:
+        k = long.filter(F.col(value).isNotNull()).select(rater).distinct() \
+            .select(F.count(F.lit(1))).scalar()
+    else:
+        k = F.lit(k)
     per = (long.groupBy(subject)
            .agg(F.count(value).alias("c"), F.count(F.lit(1)).alias("r"), F.avg(value).alias("m"),
                 (F.var_pop(value) * F.count(value)).alias("ss"))

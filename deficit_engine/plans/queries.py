@@ -429,7 +429,7 @@ def _(c: RunContext):
 @query("method_icc")
 def _(c: RunContext):
     """One-way ICC(1) and F between the methods."""
-    r = agreement.icc_oneway(agreement.to_long(_totals(c)))
+    r = agreement.icc_oneway(agreement.to_long(_totals(c)), k=2)   # two methods
     return r.select("n", "k", "df1", "df2", F.round("msb", 4).alias("msb"),
                     F.round("msw", 4).alias("msw"), F.round("icc", 6).alias("icc"),
                     F.round("f_value", 6).alias("f_value"))

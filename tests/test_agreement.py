@@ -38,3 +38,10 @@ def test_icc_drops_incomplete_and_corr(spark):
     c = agreement.method_correlation(totals).first()
     assert c.n == 31 and 0.99 < c.corr < 1.0
     assert agreement.method_correlation(totals, exclude="HTN").first().n == 30
+
+
+def test_icc_with_known_rater_count(spark):
+    totals = spark.createDataFrame(_rows(PUBLISHED_TOTALS), "category string, sum_score_x double, sum_score_y double")
+    a = agreement.icc_oneway(agreement.to_long(totals)).first()
+    b = agreement.icc_oneway(agreement.to_long(totals), k=2).first()
+    assert a.icc == pytest.approx(b.icc) and a.f_value == pytest.approx(b.f_value)
