@@ -44,12 +44,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the launcher to shared storage and is only
-    read here. Only when it is unset (tests, ad-hoc local runs) do we create a
-    private folder, and we register it so ``DataFrame.checkpoint()`` works.
+    read here; an unset value on a non-local master is an error (a driver-local
+    temp folder would silently lose executor output). Only for local masters
+    (tests, ad-hoc runs) is a private folder created when it is unset.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
@@ -59,8 +63,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises in some versions
             path = None
     if not path:
-        path = tempfile.mkdtemp(prefix="deficit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name shared storage on a cluster")
+        path = _LOCAL_DIRS.get(sc.applicationId)
+        if path is None:
+            path = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="deficit-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path.rstrip("/")
