@@ -14,7 +14,7 @@ from deficit_engine.functions.dates import add_years
 from deficit_engine.functions.expr import if_else
 from deficit_engine.operators.codes import ancestor_exclusion_set, ingredient_descendants
 from deficit_engine.operators.skew import (
-    DEFAULT_SKEW_MIN_BYTES, bounded_broadcast, hot_key_values, may_hold_hot_key, salted_join)
+    DEFAULT_SKEW_MIN_BYTES, bounded_broadcast, skew_safe_join)
 
 
 def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ancestor: DataFrame,
@@ -58,14 +58,9 @@ def _join_cohort(rows: DataFrame, cohort: DataFrame, spread_by: Sequence[str],
                  skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES) -> DataFrame:
     pid = cohort.select("person_id", F.col("visit_lookback_date").alias("person_start_date"),
                         F.col("index_date").alias("person_end_date"))
-    salt = bool(skew_min_rows) and may_hold_hot_key(rows, skew_min_bytes)
-    if salt and stage is not None:
-        rows = stage(rows)
-    if salt:
-        hot = hot_key_values(rows, "person_id", min_rows=skew_min_rows)
-        return salted_join(rows, pid, "person_id", hot=hot, buckets=salt_buckets,
-                           spread_by=list(spread_by))
-    return rows.join(pid, "person_id")
+    return skew_safe_join(rows, pid, "person_id", spread_by=list(spread_by),
+                          skew_min_rows=skew_min_rows, skew_min_bytes=skew_min_bytes,
+                          salt_buckets=salt_buckets, stage=stage)
 
 
 def exposures_in_window(era: DataFrame, cohort: DataFrame, *, item: str = "ingredient_concept_id",

@@ -28,7 +28,7 @@ from deficit_engine.functions.dates import add_years
 from deficit_engine.functions.expr import if_else
 from deficit_engine.operators.codes import resolve_standard, resolve_standard_by_id
 from deficit_engine.operators.skew import (
-    DEFAULT_SKEW_MIN_BYTES, bounded_broadcast, hot_key_values, may_hold_hot_key, salted_join)
+    DEFAULT_SKEW_MIN_BYTES, bounded_broadcast, skew_safe_join)
 
 DOMAIN_COLUMNS = {
     "condition": ("condition_concept_id", "condition_start_date", "condition_source_value"),
@@ -170,15 +170,10 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
             events = events.filter(F.col("start_date").between(F.lit(lo), F.lit(hi)))
 
     cand = events.join(windows, "concept_id")
-    salt = bool(skew_min_rows) and may_hold_hot_key(events, skew_min_bytes)
-    if salt and stage is not None:
-        cand = stage(cand)
-    if salt:
-        hot = hot_key_values(cand, "person_id", min_rows=skew_min_rows, max_keys=max_hot_keys)
-        joined = salted_join(cand, pid, "person_id", hot=hot, buckets=salt_buckets,
-                             spread_by=["concept_id", "start_date", "domain"])
-    else:
-        joined = cand.join(pid, "person_id")
+    joined = skew_safe_join(cand, pid, "person_id", spread_by=["concept_id", "start_date", "domain"],
+                            skew_min_rows=skew_min_rows, skew_min_bytes=skew_min_bytes,
+                            salt_buckets=salt_buckets, max_hot_keys=max_hot_keys, stage=stage,
+                            size_probe=events)
 
     if multi:
         # widest window of all settings first, so the per-setting explode
@@ -259,15 +254,11 @@ def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     ct = bounded_broadcast(source_codes.select(F.col("icd_code").alias("source_value"), "deficit"))
     names = concept.select("concept_id", "concept_name", "vocabulary_id")
     cand = events.join(ct, "source_value")
-    salt = bool(skew_min_rows) and may_hold_hot_key(events, skew_min_bytes)
-    if salt and stage is not None:
-        cand = stage(cand)
-    if salt:
-        hot = hot_key_values(cand, "person_id", min_rows=skew_min_rows, max_keys=max_hot_keys)
-        joined = salted_join(cand, pid, "person_id", hot=hot, buckets=salt_buckets,
-                             spread_by=["concept_id", "start_date", "domain", "source_value"])
-    else:
-        joined = cand.join(pid, "person_id")
+    joined = skew_safe_join(cand, pid, "person_id",
+                            spread_by=["concept_id", "start_date", "domain", "source_value"],
+                            skew_min_rows=skew_min_rows, skew_min_bytes=skew_min_bytes,
+                            salt_buckets=salt_buckets, max_hot_keys=max_hot_keys, stage=stage,
+                            size_probe=events)
     hits = (joined
             .filter((F.col("start_date") >= F.col("person_start_date"))
                     & (F.col("start_date") <= F.col("person_end_date")))

@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,3 +91,24 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, *, hot: Sequence,
     small_s = small.withColumn("_salt", F.explode(
         F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))))
     return big_s.join(small_s, [key, "_salt"], how).drop("_salt")
+
+
+def skew_safe_join(big: DataFrame, small: DataFrame, key: str, *, spread_by: Sequence[str],
+                   skew_min_rows: int | None, skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES,
+                   salt_buckets: int = 32, max_hot_keys: int = 256,
+                   stage: Callable[[DataFrame], DataFrame] | None = None,
+                   size_probe: DataFrame | None = None) -> DataFrame:
+    """Inner join of a large, possibly skewed side with a one-row-per-key side.
+
+    Unless salting is off (``skew_min_rows`` falsy) or the optimizer estimates
+    the input (``size_probe``, default ``big``) below ``skew_min_bytes``:
+    ``big`` is staged (e.g. written once to the shared folder), its heaviest
+    keys are detected (capped list) and the join is salted for those keys.
+    """
+    if not skew_min_rows or not may_hold_hot_key(size_probe if size_probe is not None else big,
+                                                 skew_min_bytes):
+        return big.join(small, key)
+    if stage is not None:
+        big = stage(big)
+    hot = hot_key_values(big, key, min_rows=skew_min_rows, max_keys=max_hot_keys)
+    return salted_join(big, small, key, hot=hot, buckets=salt_buckets, spread_by=spread_by)
