@@ -19,15 +19,28 @@ DEFAULT_CONF = {
 }
 
 
+# Cluster defaults for ~100 TB inputs, applied only where the launcher has
+# not set a value: start shuffles wide and let AQE coalesce them to
+# ~256 MB partitions; read files in 256 MB splits.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "deficit_engine", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the defaults above.
 
     ``master`` defaults to ``local[$BENCH_CPUS]`` / ``local[*]`` only when no
-    master is configured; on a cluster the launcher's master wins.
+    master is configured; on a cluster the launcher's master wins and the
+    cluster defaults above fill in what the launcher left unset.
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and "SPARK_MASTER" not in os.environ:
+    launched = "PYSPARK_GATEWAY_PORT" in os.environ or SparkSession.getActiveSession() is not None
+    if master is None and not launched:
         cpus = os.environ.get("BENCH_CPUS")
         master = f"local[{cpus}]" if cpus else "local[*]"
     if master:
@@ -39,7 +52,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = spark.sparkContext
+    sc.setLogLevel("ERROR")
+    if not sc.master.startswith("local"):
+        explicit = sc.getConf()  # only keys the launcher (or builder) set
+        for k, v in CLUSTER_CONF.items():
+            if not explicit.contains(k):
+                spark.conf.set(k, v)
     checkpoint_dir(spark)
     return spark
 
