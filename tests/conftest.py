@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from deficit_engine.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8)
+    s = get_session("local[*]", shuffle_partitions=8)
     yield s
     s.stop()
 
