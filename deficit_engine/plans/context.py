@@ -103,10 +103,13 @@ class RunContext:
         for k, v in self.skew_args().items():
             kw.setdefault(k, v)
         settings = kw.get("lookbacks") or [(kw.get("acute", 1), kw.get("chronic", 1))]
-        kw.setdefault("date_bound", self.date_range(max(max(a, c) for a, c in settings)))
-        if kw.get("join_to_concept", True):
-            kw.setdefault("windows", self.windows(fi))
-        kw.setdefault("categories", self.categories(fi))
+        # defaults are built lazily: each one may run (small) jobs
+        if "date_bound" not in kw:
+            kw["date_bound"] = self.date_range(max(max(a, c) for a, c in settings))
+        if "windows" not in kw and kw.get("join_to_concept", True):
+            kw["windows"] = self.windows(fi)
+        if "categories" not in kw:
+            kw["categories"] = self.categories(fi)
         code_set = kw.pop("code_set", None)
         code_set = self.code_set(fi) if code_set is None else code_set
         return events.find_deficits(events_df, self.cohort, self.t.concept, code_set, **kw)
