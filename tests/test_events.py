@@ -112,3 +112,18 @@ def test_all_indices_pass_equals_separate_searches(spark):
                                                    unique_categories=True))
             assert sorted(map(tuple, c.deficits(fi, a, ch).collect())) == \
                 sorted(map(tuple, one.collect())), (fi, a, ch)
+
+
+def test_scoring_over_unmaterialised_search_plans(spark):
+    """E1's union over a freshly shuffled search (the nested-union shape that
+    can fail in Spark 4.1 with 'Can't zip RDDs with unequal numbers of
+    partitions') runs, and matches the materialised path."""
+    from deficit_engine.operators import report, scoring
+    from deficit_engine.plans.context import context
+    c = context(spark, SF_SMALL)
+    h = ev.find_deficits(c.events(), c.cohort, c.t.concept, c.code_set("vafi"))
+    s = scoring.score_with_robust(ev.deficit_rows(h), c.cohort, 31, 0.10, 0.20)
+    rows = report.summarize_bands(s).collect()
+    assert sum(r.N for r in rows) == 90
+    assert (sum(r.n_robust for r in rows), sum(r.n_prefrail for r in rows),
+            sum(r.n_frail for r in rows)) == (26, 41, 23)
