@@ -241,7 +241,11 @@ def _deficits(self: RunContext, fi: str = "vafi", acute: int = 1, chronic: int =
                                    & (F.col("chronic_lookback") == chronic))
     else:
         h = self.search(self.events(), fi, acute=acute, chronic=chronic, unique_categories=True)
-    return events.deficit_rows(h)
+    # A person has at most (categories x scores) deficit rows, so hashing them
+    # by person is skew-safe; the distinct here and the per-person aggregates
+    # and joins downstream (scores, category table, anti joins) then reuse
+    # this one partitioning instead of each shuffling on its own keys.
+    return events.deficit_rows(h.repartition("person_id"))
 
 
 RunContext.hits_all = _hits_all
