@@ -34,6 +34,10 @@ DOMAINS = {  # domain code of a projected event -> OMOP table / column prefix
 }
 
 
+# projections/filters of the written line-item table: not copied again
+VIEWS_OF_LINES = frozenset(t for t, *_ in DOMAINS.values()) | {"drug_exposure"}
+
+
 @dataclass
 class OmopTables:
     person: DataFrame
@@ -95,7 +99,7 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                            lineitem.l_orderkey == orders.o_orderkey)
              .select(F.col("o_custkey").alias("person_id"), "l_orderkey", "l_partkey",
                      "l_linenumber", _d("l_shipdate").alias("ship_date"), "l_returnflag",
-                     "l_quantity"))
+                     "l_quantity", (F.col("l_linenumber") % 4).alias("domain")))
 
     brand_no = _i(F.substring("p_brand", 7, 1 << 20))
     ingredient = part.select(brand_no.alias("b")).distinct()
@@ -116,7 +120,7 @@ def _derived(spark: SparkSession, base: dict[str, DataFrame]) -> dict[str, DataF
     ev = lines.select("person_id", _i("l_partkey").alias("concept_id"),
                       F.col("ship_date").alias("start_date"),
                       F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("source_value"),
-                      (F.col("l_linenumber") % 4).alias("domain"))
+                      "domain")
     for code, (table, cid, date, src) in DOMAINS.items():
         out[table] = ev.filter(F.col("domain") == code).select(
             "person_id", F.col("concept_id").alias(cid), F.col("start_date").alias(date),
@@ -247,16 +251,20 @@ def omop_tables(spark: SparkSession, sf_dir: str, *, materialize: bool = True,
     base = project(spark, sf_dir)
     if materialize:
         root = f"{checkpoint_dir(spark)}/omop/{tag or _fingerprint(sf_dir)}"
-        # the line-item x order join feeds six tables: write it once first
+        # the line-item x order join feeds six tables: write it once, one
+        # folder per event domain, so the domain tables below are
+        # partition-pruned projections of it rather than separate copies
         lines_path = f"{root}/_lines"
         if not table_exists(spark, lines_path):
-            base["lines"].write.mode("overwrite").parquet(lines_path)
+            base["lines"].write.mode("overwrite").partitionBy("domain").parquet(lines_path)
         base["lines"] = spark.read.parquet(lines_path)
     tables = _derived(spark, base)
     if materialize:
-        todo = [(n, df) for n, df in tables.items() if not table_exists(spark, f"{root}/{n}")]
+        todo = [(n, df) for n, df in tables.items()
+                if n not in VIEWS_OF_LINES and not table_exists(spark, f"{root}/{n}")]
         # independent small writes: submit them as concurrent Spark jobs
         with ThreadPoolExecutor(max_workers=8) as pool:
             list(pool.map(lambda nd: nd[1].write.mode("overwrite").parquet(f"{root}/{nd[0]}"), todo))
-        tables = {n: spark.read.parquet(f"{root}/{n}") for n in tables}
+        tables = {n: (df if n in VIEWS_OF_LINES else spark.read.parquet(f"{root}/{n}"))
+                  for n, df in tables.items()}
     return OmopTables(**{f.name: tables[f.name] for f in fields(OmopTables)})
