@@ -168,9 +168,11 @@ class RunContext:
 
     # --- code sets ---------------------------------------------------------
     def code_set(self, fi: str = "vafi") -> DataFrame:
-        """Searched code set (B1, lookback renamed chronic_category), materialised."""
-        return self._memo(("code_set", fi), lambda: self._keep(codes.as_concept_location(
-            codes.build_code_set(self.t.code_list, self.t.lookbacks, fi)), f"code_set_{fi}"))
+        """Searched code set (B1, lookback renamed chronic_category): a small
+        broadcast join, built once per run (the tagged union of all indices
+        used by the shared search is the materialised one)."""
+        return self._memo(("code_set", fi), lambda: codes.as_concept_location(
+            codes.build_code_set(self.t.code_list, self.t.lookbacks, fi)))
 
     # --- events ------------------------------------------------------------
     def events(self, with_source: bool = False, only: str | None = None) -> DataFrame:
