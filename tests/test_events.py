@@ -127,3 +127,34 @@ def test_scoring_over_unmaterialised_search_plans(spark):
     assert sum(r.N for r in rows) == 90
     assert (sum(r.n_robust for r in rows), sum(r.n_prefrail for r in rows),
             sum(r.n_frail for r in rows)) == (26, 41, 23)
+
+
+def test_at_scale_plan_shape_gives_same_hits(spark):
+    """The all-index, all-window search planned as on a cluster (no automatic
+    broadcasts, staged candidates, salted heavy persons) returns exactly the
+    rows of the default plan."""
+    from deficit_engine.plans.context import INDICES, STANDARD_WINDOWS, _code_set_all, context
+    from deficit_engine.operators.codes import resolve_standard
+    from deficit_engine.operators.skew import bounded_broadcast
+    from deficit_engine.sources.io import materialize
+    c = context(spark, SF_SMALL)
+    cs = _code_set_all(c)
+
+    def run(**kw):
+        return ev.find_deficits(c.events(), c.cohort, c.t.concept, cs, tag="index_name",
+                                lookbacks=STANDARD_WINDOWS, unique_categories=True,
+                                windows=bounded_broadcast(resolve_standard(c.t.concept, cs,
+                                                                           tag="index_name")),
+                                **kw)
+
+    default = sorted(map(tuple, run().collect()))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scaled = run(skew_min_rows=20, skew_min_bytes=0, salt_buckets=8, stage=materialize,
+                     date_bound=True)
+        assert "SortMergeJoin" in scaled._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, scaled.collect())) == default
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert {r[-1] for r in default} == set(INDICES)
