@@ -73,3 +73,22 @@ def test_approximate_deciles_close_to_exact(spark):
     approx = {r.prob: r.value for r in drugs.ingredient_deciles(win, cohort, approximate=True).collect()}
     assert exact.keys() == approx.keys()
     assert all(abs(exact[p] - approx[p]) <= 1.0 for p in exact)
+
+
+def test_polypharmacy_at_scale_plan_shape(spark):
+    from deficit_engine.plans.context import context
+    from deficit_engine.sources.io import materialize
+    from tests.conftest import SF_SMALL
+    c = context(spark, SF_SMALL)
+    era = c.drug_era()
+    default = sorted(map(tuple, drugs.polypharmacy(
+        drugs.exposures_in_window(era, c.cohort), c.cohort, 3).collect()))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        win = drugs.exposures_in_window(era, c.cohort, skew_min_rows=5, skew_min_bytes=0,
+                                        salt_buckets=8, stage=materialize)
+        scaled = drugs.polypharmacy(win, c.cohort, 3)
+        assert sorted(map(tuple, scaled.collect())) == default and default
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)

@@ -27,3 +27,9 @@ def test_upload_and_csv_code_list(spark, tmp_path):
     back = read_code_list_csv(spark, p)
     assert dict(back.dtypes)["score"] == "double"
     assert sorted(map(tuple, back.collect())) == [(1, "A", 1.0), (2, "B", 0.5)]
+
+
+def test_cli(spark, tmp_path):
+    from deficit_engine.plans.runs import main
+    main(["--input", SF_SMALL, "--out", str(tmp_path), "--source", "cli", "--date", "2026-02-02"])
+    assert (tmp_path / "2026-02-02_vafi_acute1-chronic1_cli").is_dir()
