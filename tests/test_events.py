@@ -158,3 +158,20 @@ def test_at_scale_plan_shape_gives_same_hits(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     assert {r[-1] for r in default} == set(INDICES)
+
+
+def test_source_search_at_scale_plan_shape(spark):
+    from deficit_engine.operators.codes import source_code_set
+    from deficit_engine.plans.context import context
+    from deficit_engine.sources.io import materialize
+    c = context(spark, SF_SMALL)
+    args = (c.events(with_source=True), c.cohort, c.t.concept, source_code_set(c.t.source_codes))
+    default = sorted(map(tuple, ev.source_code_search(*args).collect()))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scaled = ev.source_code_search(*args, skew_min_rows=5, skew_min_bytes=0, salt_buckets=8,
+                                       stage=materialize)
+        assert sorted(map(tuple, scaled.collect())) == default and default
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
