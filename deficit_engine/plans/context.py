@@ -188,8 +188,18 @@ _CONTEXTS: dict[tuple, RunContext] = {}
 _LOCK = threading.RLock()
 
 
+_DEFAULTS: dict = {}
+
+
+def default_options(**kw) -> None:
+    """Options applied to every later :func:`context` call (e.g. a fresh
+    ``run_id`` so a benchmark rebuilds every materialised table)."""
+    _DEFAULTS.update(kw)
+
+
 def context(spark: SparkSession, sf_dir: str, **kw) -> RunContext:
     """Cached :class:`RunContext` per (session, folder, options)."""
+    kw = {**_DEFAULTS, **kw}
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"),
            tuple(sorted(kw.items())))
     with _LOCK:
