@@ -8,8 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deficit_engine.llm import chat_format, exact_dedup, mixing
-from deficit_engine.llm.common import table
+from deficit_engine.llm import bpe, chat_format, exact_dedup, mixing, token_files
+from deficit_engine.llm.common import Scratch, table
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of an installed public vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +40,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "token_files").path("blocks")
+    token_files.write_token_blocks(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    back = token_files.read_token_blocks(spark, path)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_chat_format": op8_chat_format,
+    "op10_token_files": op10_token_files,
 }
