@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from deficit_engine.llm.units import UnitEncoder, binary_column, text_slices
 
 MAGIC, VERSION = b"TIDB", 1
-HEADER = struct.Struct("<4sHHIIIIII")   # magic, version, flags, ids, documents, id bound, lanes, crc of ids, crc of the rest
+HEADER = struct.Struct("<4sHHIIIII")    # magic, version, flags, ids, documents, id bound, lanes, crc of the ids
+CHECK = struct.Struct("<I")             # crc of all that stands before and after it
 BLOCK_IDS = 1 << 20
 LANES, LANE_IDS = 16384, 64             # most lanes, and the fewest ids of a lane
 END_ID = 1
@@ -222,19 +223,20 @@ def pack_block(doc_ids: np.ndarray, missing: np.ndarray, counts: np.ndarray, ids
     words, lane_words = encode_ids(ids, bound) if len(ids) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
     body = b"".join([doc_ids.astype("<i8").tobytes(), missing.astype(np.uint8).tobytes(), counts.astype("<u4").tobytes(),
                      lane_words.astype("<u4").tobytes(), words.astype("<u2").tobytes()])
-    return HEADER.pack(MAGIC, VERSION, 0, len(ids), len(doc_ids), bound, len(lane_words),
-                       zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+    header = HEADER.pack(MAGIC, VERSION, 0, len(ids), len(doc_ids), bound, len(lane_words),
+                         zlib.crc32(ids.astype("<u4").tobytes()))
+    return header + CHECK.pack(zlib.crc32(body, zlib.crc32(header))) + body
 
 
 def unpack_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, which are null, ids of each document, and all ids. Raises ValueError on damage."""
-    if len(payload) < HEADER.size:
+    if len(payload) < HEADER.size + CHECK.size:
         raise ValueError("block is cut short")
-    magic, version, _, n, docs, bound, lanes, crc_ids, crc_body = HEADER.unpack_from(payload)
-    body = memoryview(payload)[HEADER.size:]
+    magic, version, _, n, docs, bound, lanes, crc_ids = HEADER.unpack_from(payload)
+    body = memoryview(payload)[HEADER.size + CHECK.size:]
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token-id block")
-    if zlib.crc32(body) != crc_body:
+    if zlib.crc32(body, zlib.crc32(payload[:HEADER.size])) != CHECK.unpack_from(payload, HEADER.size)[0]:
         raise ValueError("block does not match its checksum")
     at = 0
 
