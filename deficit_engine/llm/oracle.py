@@ -11,6 +11,18 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256
 from d join g using (text_sha256)
 """
 
+OP4 = """
+with e as (
+    select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (
+    select q.vec_id as query_id, x.vec_id, list_inner_product(q.v, x.v)::bigint as score
+    from e q join e x on q.vec_id <> x.vec_id where q.vec_id % 20 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+"""
+
 OP8 = r"""
 with recursive m as (
     select conv_id, turn, role, text,
@@ -51,4 +63,4 @@ left join up on up.conv_id = m.conv_id and up.turn = m.turn
 left join root on root.conv_id = m.conv_id and root.turn = m.turn
 """
 
-ORACLE = {"op5_exact_dedup": OP5, "op8_chat_format": OP8}
+ORACLE = {"op4_exact_topk": OP4, "op5_exact_dedup": OP5, "op8_chat_format": OP8}

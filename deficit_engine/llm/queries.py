@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deficit_engine.llm import bpe, chat_format, exact_dedup, mixing, token_files
+from deficit_engine.llm import bpe, chat_format, exact_dedup, exact_topk, mixing, token_files
 from deficit_engine.llm.common import Scratch, table
 
 
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     marked = exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), index)
@@ -49,6 +53,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_exact_topk": op4_exact_topk,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_chat_format": op8_chat_format,
