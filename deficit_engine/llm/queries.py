@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deficit_engine.llm import bpe, chat_format, exact_dedup, exact_topk, mixing, token_files
+from deficit_engine.llm import bpe, chat_format, exact_dedup, exact_topk, mixing, quality, token_files
 from deficit_engine.llm.common import Scratch, table
 
 
@@ -35,6 +35,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("digest").alias("text_sha256"))
 
 
+def held_out() -> Column:
+    """Rows whose labels no model may learn."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -55,6 +66,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_exact_topk": op4_exact_topk,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_chat_format": op8_chat_format,
     "op10_token_files": op10_token_files,
