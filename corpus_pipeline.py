@@ -5,10 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import col as _col
+from pyspark.sql.functions import sha2 as _sha2
 
 from deficit_engine.llm import exact_dedup as _exact
+from deficit_engine.llm import bpe as _bpe
+from deficit_engine.llm import language_id as _language
 from deficit_engine.llm import mixing as _mixing
 from deficit_engine.llm.common import Scratch, table
+from deficit_engine.llm.queries import tokenizer_file as _tokenizer_file
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in an identified language."""
+    return _language.keep_identified(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +31,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _mixing.take(docs)
 
 
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document of the mix, and the text that they give back."""
+    done = _bpe.encode_and_decode(docs, _tokenizer_file("byte_bpe_50k.json"))
+    return done.select("doc_id", "n_tokens", "ids", _sha2(_col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 STAGES: list[tuple[str, Callable]] = [
+    ("language ID", language),
     ("exact dedup", exact_duplicates),
     ("mixing", mix_sources),
+    ("BPE", bpe),
 ]
 
 # Mixing draws by hash, and language ID and BPE are not SQL.

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deficit_engine.llm import bpe, chat_format, exact_dedup, exact_topk, mixing, quality, token_files
+from deficit_engine.llm import bpe, chat_format, exact_dedup, exact_topk, language_id, mixing, quality, token_files
 from deficit_engine.llm.common import Scratch, table
 
 
@@ -24,6 +24,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = language_id.identify(language_id.page_rows(table(spark, sf_dir, "pages")))
+    return judged.withColumnRenamed("id", "page_id")
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -64,6 +69,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_language_id": op3_language_id,
     "op4_exact_topk": op4_exact_topk,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
