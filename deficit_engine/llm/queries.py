@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deficit_engine.llm import bpe, chat_format, exact_dedup, exact_topk, language_id, mixing, quality, token_files
+from deficit_engine.llm import bpe, chat_format, exact_dedup, exact_topk, language_id, mixing, quality, substring_dedup, token_files
 from deficit_engine.llm.common import Scratch, table
 
 
@@ -60,6 +60,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token_files").path("blocks")
     token_files.write_token_blocks(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
@@ -75,5 +80,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_chat_format": op8_chat_format,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
 }
