@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deficit_engine.llm import bpe, chat_format, exact_dedup, exact_topk, language_id, mixing, quality, substring_dedup, token_files
+from deficit_engine.llm import bpe, chat_format, exact_dedup, exact_topk, jaccard_join, language_id, mixing, quality, substring_dedup, token_files
 from deficit_engine.llm.common import Scratch, table
 
 
@@ -24,6 +24,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard_join.link_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = language_id.identify(language_id.page_rows(table(spark, sf_dir, "pages")))
     return judged.withColumnRenamed("id", "page_id")
@@ -74,6 +79,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_exact_topk": op4_exact_topk,
     "op5_exact_dedup": op5_exact_dedup,
