@@ -10,6 +10,7 @@ from pyspark.sql.functions import sha2 as _sha2
 
 from deficit_engine.llm import exact_dedup as _exact
 from deficit_engine.llm import bpe as _bpe
+from deficit_engine.llm import jaccard_join as _jaccard
 from deficit_engine.llm import language_id as _language
 from deficit_engine.llm import mixing as _mixing
 from deficit_engine.llm.common import Scratch, table
@@ -26,6 +27,11 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _exact.keep_one(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
+    return _jaccard.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return _mixing.take(docs)
@@ -40,11 +46,12 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable]] = [
     ("language ID", language),
     ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
     ("mixing", mix_sources),
     ("BPE", bpe),
 ]
 
-# Mixing draws by hash, and language ID and BPE are not SQL.
+# Language ID, BPE and the draws of the mixing can't be said in SQL.
 ORACLE_SQL = None
 
 
