@@ -11,7 +11,6 @@ a capped hot-key list). Sub-packages:
                   reporting, agreement, skew handling
 * ``plans``     - end-to-end runs and the query registry used by
                   ``__spark_entry__``
-* ``streaming`` - intentionally empty: the workload is batch only
 """
 
 from deficit_engine.session import checkpoint_dir, get_session

@@ -73,3 +73,17 @@ def method_correlation(totals: DataFrame, exclude: str | None = None,
     if exclude is not None:
         df = df.filter(F.col("category") != exclude)
     return df.agg(F.corr(x, y).alias("corr"), F.count(F.lit(1)).cast("long").alias("n"))
+
+
+def correlations(totals: DataFrame, exclude: str, x: str = "sum_score_x", y: str = "sum_score_y") -> DataFrame:
+    """E10 twice in one aggregate: over all categories and without one.
+
+    Output: subset ("all", "without <category>"), n, corr.
+    """
+    kept = F.col("category") != exclude
+    one = totals.dropna(subset=[x, y]).agg(
+        F.corr(x, y).alias("a"), F.count(F.lit(1)).alias("n"),
+        F.corr(F.when(kept, F.col(x)), F.when(kept, F.col(y))).alias("b"), F.count_if(kept).alias("m"))
+    rows = F.array(F.struct(F.lit("all").alias("subset"), F.col("n").cast("long").alias("n"), F.col("a").alias("corr")),
+                   F.struct(F.lit(f"without {exclude}").alias("subset"), F.col("m").cast("long").alias("n"), F.col("b").alias("corr")))
+    return one.select(F.inline(rows))

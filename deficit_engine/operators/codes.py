@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deficit_engine.constants import ANTIBIOTIC_ANCESTOR_ID, EXCLUSION_AS_OF
-from deficit_engine.operators.skew import bounded_broadcast
 
 
 def build_code_set(codes: DataFrame, lookbacks: DataFrame, fi: str) -> DataFrame:
@@ -17,11 +16,11 @@ def build_code_set(codes: DataFrame, lookbacks: DataFrame, fi: str) -> DataFrame
 
     Left join: a category without a lookback row gets a NULL lookback (and
     will find no events). A list that already carries ``lookback`` is used
-    as is. Output: category, concept_id, score, fi, lookback.
+    with its own. Output: category, concept_id, score, fi, lookback.
     """
     if "lookback" in codes.columns:
-        return codes
-    lb = bounded_broadcast(lookbacks.filter(F.col("fi") == fi).select("fi", "category", "lookback"))
+        return codes.select("category", "concept_id", "score", F.lit(fi).alias("fi"), "lookback")
+    lb = lookbacks.filter(F.col("fi") == fi).select("fi", "category", "lookback")
     return codes.select("category", "concept_id", "score").join(lb, "category", "left")
 
 
@@ -44,7 +43,7 @@ def resolve_standard(concept: DataFrame, code_set: DataFrame, with_names: bool =
     column of a union of several code sets (e.g. the index name).
     """
     codes = code_set.select("concept_id", "chronic_category", *([tag] if tag else [])).distinct()
-    ids = bounded_broadcast(codes.select("concept_id").distinct())
+    ids = codes.select("concept_id").distinct()
     std = _standard(concept).join(ids, "concept_id", "left_semi")
     if with_names:
         std = std.select("concept_id", F.col("concept_name").alias("name")).distinct()
@@ -59,7 +58,7 @@ def resolve_standard_by_id(concept: DataFrame, code_set: DataFrame) -> DataFrame
     Output: concept_id, name. (The search re-attaches the lookback from the
     code set, which the membership form alone cannot carry.)
     """
-    ids = bounded_broadcast(code_set.select("concept_id").distinct())
+    ids = code_set.select("concept_id").distinct()
     return (_standard(concept).join(ids, "concept_id", "left_semi")
             .select("concept_id", F.col("concept_name").alias("name")).distinct())
 
@@ -74,7 +73,7 @@ def ingredient_descendants(concept: DataFrame, concept_ancestor: DataFrame) -> D
 
     Output: ingredient_concept_id, descendant_concept_id.
     """
-    ing = bounded_broadcast(_ingredients(concept).select(F.col("concept_id").alias("ancestor_concept_id")))
+    ing = _ingredients(concept).select(F.col("concept_id").alias("ancestor_concept_id"))
     return (concept_ancestor.select("ancestor_concept_id", "descendant_concept_id")
             .join(ing, "ancestor_concept_id")
             .select(F.col("ancestor_concept_id").alias("ingredient_concept_id"),

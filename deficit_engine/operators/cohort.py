@@ -17,7 +17,6 @@ from deficit_engine.constants import (
     IMPUTED_AGE, MALE_CONCEPT_ID, MALE_TEXT, MIN_AGE, MIN_HISTORY_DAYS)
 from deficit_engine.functions.dates import add_years
 from deficit_engine.functions.expr import age_band, flag_unless_equal, if_else
-from deficit_engine.operators.skew import bounded_broadcast
 
 
 def random_visit_key(person_id, visit_id, seed) -> F.Column:
@@ -181,21 +180,14 @@ def survey_attrition(ds_survey: DataFrame, cb_search_person: DataFrame,
 def enrich_race_ethnicity(cohort: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
     """Race and ethnicity names for cohort members (left joins).
 
-    race / ethnicity ids take a handful of values, so joining persons to the
-    concept table on them would put most persons in a few tasks. Instead the
-    few concept rows actually referenced are broadcast (size-checked) and
-    the persons are never shuffled on those ids.
+    The ids take a handful of values. The concept names are broadcast by
+    statistics, or AQE splits the members' side of the left joins.
     """
     members = cohort.select("person_id", "is_female", "age_group").join(
         person.select("person_id", "race_concept_id", "ethnicity_concept_id"), "person_id", "left")
-    used = (members.select(F.col("race_concept_id").alias("concept_id"))
-            .unionByName(members.select(F.col("ethnicity_concept_id").alias("concept_id")))
-            .distinct())
-    names = bounded_broadcast(concept.select("concept_id", "concept_name")
-                              .join(bounded_broadcast(used), "concept_id", "left_semi"))
-    race = names.select(F.col("concept_id").alias("race_concept_id"), F.col("concept_name").alias("race"))
-    eth = names.select(F.col("concept_id").alias("ethnicity_concept_id"),
-                       F.col("concept_name").alias("ethnicity"))
+    race = concept.select(F.col("concept_id").alias("race_concept_id"), F.col("concept_name").alias("race"))
+    eth = concept.select(F.col("concept_id").alias("ethnicity_concept_id"),
+                         F.col("concept_name").alias("ethnicity"))
     return (members.join(race, "race_concept_id", "left").join(eth, "ethnicity_concept_id", "left")
             .select("person_id", "is_female", "age_group", "race", "ethnicity"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +13,6 @@ from deficit_engine.constants import (
 from deficit_engine.functions.dates import add_years
 from deficit_engine.functions.expr import if_else
 from deficit_engine.operators.codes import ancestor_exclusion_set, ingredient_descendants
-from deficit_engine.operators.skew import (
-    DEFAULT_SKEW_MIN_BYTES, bounded_broadcast, skew_safe_join)
 
 
 def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ancestor: DataFrame,
@@ -33,16 +31,15 @@ def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ances
     supply = F.col("days_supply")
     keep_supply = (supply >= 0) if strict_supply else ((supply >= 0) | supply.isNull())
     ing = ingredient_map if ingredient_map is not None else \
-        bounded_broadcast(ingredient_descendants(concept, concept_ancestor), 5_000_000)
+        ingredient_descendants(concept, concept_ancestor)
+    if exclude:  # taken out of the map, not out of the exposures
+        ex = exclusions if exclusions is not None else \
+            ancestor_exclusion_set(concept, concept_ancestor, ancestor_id, as_of).select("ingredient_concept_id")
+        ing = ing.join(ex, "ingredient_concept_id", "left_anti")
     era = (drug_exposure.filter((F.col("drug_concept_id") != 0) & keep_supply)
            .join(ing, F.col("drug_concept_id") == F.col("descendant_concept_id"))
            .select("drug_exposure_id", "person_id", "ingredient_concept_id",
                    "drug_exposure_start_date", "drug_exposure_end_date", "days_supply"))
-    if exclude:
-        ex = exclusions if exclusions is not None else bounded_broadcast(
-            ancestor_exclusion_set(concept, concept_ancestor, ancestor_id, as_of)
-            .select("ingredient_concept_id"))
-        era = era.join(ex, "ingredient_concept_id", "left_anti")
     start = F.col("drug_exposure_start_date")
     end = (F.when(F.col("drug_exposure_end_date").isNotNull(), F.col("drug_exposure_end_date"))
            .when(supply.isNotNull() & (supply > 0), F.date_add(start, supply))
@@ -52,32 +49,24 @@ def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ances
         "drug_exposure_end_date", "days_supply")
 
 
-def _join_cohort(rows: DataFrame, cohort: DataFrame, spread_by: Sequence[str],
-                 skew_min_rows: int | None, salt_buckets: int,
-                 stage: Callable[[DataFrame], DataFrame] | None = None,
-                 skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES) -> DataFrame:
-    pid = cohort.select("person_id", F.col("visit_lookback_date").alias("person_start_date"),
-                        F.col("index_date").alias("person_end_date"))
-    return skew_safe_join(rows, pid, "person_id", spread_by=list(spread_by),
-                          skew_min_rows=skew_min_rows, skew_min_bytes=skew_min_bytes,
-                          salt_buckets=salt_buckets, stage=stage)
-
-
 def exposures_in_window(era: DataFrame, cohort: DataFrame, *, item: str = "ingredient_concept_id",
                         start: str = "drug_exposure_start_date", end: str = "drug_exposure_end_date",
                         duration_from: str = "start", min_days: int = 1, strict: bool = False,
-                        skew_min_rows: int | None = None, salt_buckets: int = 32,
-                        stage: Callable[[DataFrame], DataFrame] | None = None,
-                        skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES) -> DataFrame:
+                        latest: object | None = None) -> DataFrame:
     """Exposures starting or ending in [index - 1 year, index].
 
     An exposure that only spans the window does not qualify. The duration is
     end - start (``duration_from="start"``) or end - window start
     (``"window_start"``); it must be >= ``min_days`` (> with ``strict``).
-    Output: person_id, ``item``, start, end.
+    ``latest``: the cohort's last index date. No exposure that starts after it
+    can qualify under a positive duration, so the scan is cut there; its end
+    side stays exact. Output: person_id, ``item``, start, end.
     """
-    j = _join_cohort(era.select("person_id", item, start, end), cohort, [item, start],
-                     skew_min_rows, salt_buckets, stage, skew_min_bytes)
+    if latest is not None and duration_from == "start" and min_days >= 0:
+        era = era.filter(F.col(start) <= F.lit(latest))
+    pid = cohort.select("person_id", F.col("visit_lookback_date").alias("person_start_date"),
+                        F.col("index_date").alias("person_end_date"))
+    j = era.select("person_id", item, start, end).join(pid, "person_id")
     lo = add_years("person_end_date", -1)
     hi = F.col("person_end_date")
     s, e = F.col(start), F.col(end)

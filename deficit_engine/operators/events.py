@@ -6,19 +6,19 @@ Plan (one pass, whatever the number of domains or lookback settings):
    start_date) and unioned - one scan each, no shuffle;
 2. an optional global date bound (from the cohort) is applied to the union;
    Catalyst pushes it into each Parquet scan;
-3. the small table of searched standard concepts is broadcast (after a row
-   count check) and inner-joined: a map-side filter of the events;
+3. the table of searched standard concepts is inner-joined, broadcast by
+   statistics when its bytes allow: a map-side filter of the events;
 4. the surviving events are joined to the cohort on person_id - the only
-   large shuffle. Heavy persons can be salted (``skew_min_rows``);
+   large shuffle, which AQE splits where a person holds many events;
 5. each lookback setting (a per-row array explode, not a join) gets its
    window start; the range filter is a join residual;
-6. hits are deduplicated and categories re-attached from the code set
-   (broadcast), then deduplicated again.
+6. hits are redistributed by (person, concept), deduplicated, categories
+   re-attached from the code set, and deduplicated again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +27,7 @@ from deficit_engine.constants import CHRONIC_LOOKBACK_CODE
 from deficit_engine.functions.dates import add_years
 from deficit_engine.functions.expr import if_else
 from deficit_engine.operators.codes import resolve_standard, resolve_standard_by_id
-from deficit_engine.operators.skew import (
-    DEFAULT_SKEW_MIN_BYTES, bounded_broadcast, skew_safe_join)
+from deficit_engine.operators.skew import redistribute
 
 DOMAIN_COLUMNS = {
     "condition": ("condition_concept_id", "condition_start_date", "condition_source_value"),
@@ -43,17 +42,20 @@ def domain_events(condition: DataFrame | None = None, observation: DataFrame | N
                   with_source: bool = False) -> DataFrame:
     """C8 input: domain tables in one projection.
 
-    Output: domain, person_id, concept_id, start_date[, source_value].
+    Output: domain, person_id, concept_id, start_date[, event_year][, source_value];
+    the year is there when all tables are partitioned by it.
     """
     tables = {"condition": condition, "observation": observation,
               "procedure": procedure, "device": device}
+    given = {name: df for name, df in tables.items() if df is not None}
+    years = all("event_year" in df.columns for df in given.values())
     out = None
-    for name, df in tables.items():
-        if df is None:
-            continue
+    for name, df in given.items():
         cid, date, src = DOMAIN_COLUMNS[name]
         cols = [F.lit(name).alias("domain"), F.col("person_id"),
                 F.col(cid).alias("concept_id"), F.to_date(date).alias("start_date")]
+        if years:
+            cols.append(F.col("event_year"))
         if with_source:
             cols.append(F.col(src).alias("source_value"))
         one = df.select(*cols)
@@ -94,6 +96,16 @@ def date_bounds(pid: DataFrame, max_lookback: int):
     return row["lo"], row["hi"]
 
 
+def within(events: DataFrame, bound: tuple) -> DataFrame:
+    """Events between two dates; the filter reaches the Parquet scans, and the
+    year folders where the tables have them (column ``event_year``)."""
+    lo, hi = bound
+    if lo is None:
+        return events
+    out = events.filter(F.col("start_date").between(F.lit(lo), F.lit(hi)))
+    return out.filter(F.col("event_year").between(lo.year, hi.year)) if "event_year" in events.columns else out
+
+
 def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                   code_set: DataFrame, *, person_id: str = "person_id",
                   start_date: str = "visit_lookback_date", end_date: str = "index_date",
@@ -102,9 +114,6 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                   lookbacks: Sequence[tuple[int, int]] | None = None,
                   unique_categories: bool = False, join_now: bool = True,
                   join_to_concept: bool = True, date_bound: bool | tuple = False,
-                  skew_min_rows: int | None = None, skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES,
-                  salt_buckets: int = 32, max_hot_keys: int = 256,
-                  stage: Callable[[DataFrame], DataFrame] | None = None,
                   windows: DataFrame | None = None, categories: DataFrame | None = None,
                   tag: str | None = None,
                   chronic_value: int = CHRONIC_LOOKBACK_CODE) -> DataFrame:
@@ -123,12 +132,6 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     Without ``join_now``: person_id, keep..., concept_id, concept_name,
     start_date, person_start_date, person_end_date, chronic_category.
 
-    Skew: with ``skew_min_rows`` persons with at least that many candidate
-    events are salted (:func:`salted_join`), unless the optimizer estimates
-    the whole event input below ``skew_min_bytes``. ``stage`` (e.g. a Parquet
-    write + read in the shared checkpoint folder) is applied to the filtered
-    candidates first, so detection and the join do not scan raw events twice.
-
     ``date_bound`` (True, or precomputed ``(lo, hi)``) restricts events to
     the cohort's overall window range; the filter reaches the Parquet scans.
     ``windows`` / ``categories`` may be passed precomputed (B2 output and the
@@ -147,7 +150,7 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     pid = search_frame(cohort, person_id, start_date, end_date, keep)
 
     need_names = not (join_now and unique_categories)
-    if windows is not None:  # precomputed by the caller, broadcast already decided
+    if windows is not None:  # precomputed by the caller
         if not need_names and "name" in windows.columns:
             windows = windows.drop("name")
     else:
@@ -159,21 +162,12 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                 "concept_id")
             if not need_names:
                 windows = windows.drop("name")
-        windows = bounded_broadcast(windows)
 
     if date_bound:
-        if isinstance(date_bound, tuple):
-            lo, hi = date_bound
-        else:
-            lo, hi = date_bounds(pid, max(max(a, c) for a, c in settings))
-        if lo is not None:
-            events = events.filter(F.col("start_date").between(F.lit(lo), F.lit(hi)))
-
-    cand = events.join(windows, "concept_id")
-    joined = skew_safe_join(cand, pid, "person_id", spread_by=["concept_id", "start_date", "domain"],
-                            skew_min_rows=skew_min_rows, skew_min_bytes=skew_min_bytes,
-                            salt_buckets=salt_buckets, max_hot_keys=max_hot_keys, stage=stage,
-                            size_probe=events)
+        events = within(events, date_bound if isinstance(date_bound, tuple) else
+                        date_bounds(pid, max(max(a, c) for a, c in settings)))
+
+    joined = events.join(windows, "concept_id").join(pid, "person_id")
 
     if multi:
         # widest window of all settings first, so the per-setting explode
@@ -192,6 +186,7 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     hits = (joined.withColumn("person_start_date", start)
             .filter((F.col("start_date") >= F.col("person_start_date"))
                     & (F.col("start_date") <= F.col("person_end_date"))))
+    hits = redistribute(hits, ["person_id", "concept_id"])
 
     if not join_now:
         return (hits.select("domain", "person_id", *keep, "concept_id",
@@ -201,7 +196,7 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
 
     cat_key = ["concept_id", *([tag] if tag else [])]
     cats = categories if categories is not None else \
-        bounded_broadcast(code_set.select(*cat_key, "category", "score"))
+        code_set.select(*cat_key, "category", "score")
     base = ["person_id", *keep, "person_start_date", "person_end_date"]
     if unique_categories:
         # distinct before the category fan-out: many events per (person, concept)
@@ -221,7 +216,7 @@ def check_index(index: str) -> str:
     from deficit_engine.constants import INDEX_NAMES
     name = index.lower()
     if name not in INDEX_NAMES:
-        raise ValueError(f"index not found; index must be one of: {', '.join(INDEX_NAMES)}")
+        raise ValueError(f"unknown index {index!r}; known: {', '.join(INDEX_NAMES)}")
     return name
 
 
@@ -238,34 +233,31 @@ def deficit_rows(hits: DataFrame, keep: Sequence[str] = ("age_group", "is_female
 
 
 def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
-                       source_codes: DataFrame, *, skew_min_rows: int | None = None,
-                       skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES, salt_buckets: int = 32,
-                       max_hot_keys: int = 256,
-                       stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                       source_codes: DataFrame, *, date_bound: bool | tuple = False) -> DataFrame:
     """Events whose *source value* is in a source-code list.
 
     ``events`` from ``domain_events(..., with_source=True)``; ``source_codes``
     has (icd_code, deficit, codetype). Output: person_id, age_group,
     is_female, concept_id, concept_name, start_date, deficit, source_value,
     person_start_date, person_end_date, vocabulary_id (per-domain distinct,
-    then union-all).
+    then union-all). Hits are distinct before names are looked up, and only
+    for the concepts that they use.
     """
     pid = search_frame(cohort, keep=("age_group", "is_female"))
-    ct = bounded_broadcast(source_codes.select(F.col("icd_code").alias("source_value"), "deficit"))
-    names = concept.select("concept_id", "concept_name", "vocabulary_id")
-    cand = events.join(ct, "source_value")
-    joined = skew_safe_join(cand, pid, "person_id",
-                            spread_by=["concept_id", "start_date", "domain", "source_value"],
-                            skew_min_rows=skew_min_rows, skew_min_bytes=skew_min_bytes,
-                            salt_buckets=salt_buckets, max_hot_keys=max_hot_keys, stage=stage,
-                            size_probe=events)
-    hits = (joined
+    if date_bound:
+        events = within(events, date_bound if isinstance(date_bound, tuple) else date_bounds(pid, 1))
+    ct = source_codes.select(F.col("icd_code").alias("source_value"), "deficit")
+    hits = (events.join(ct, "source_value").join(pid, "person_id")
             .filter((F.col("start_date") >= F.col("person_start_date"))
-                    & (F.col("start_date") <= F.col("person_end_date")))
-            .join(names, "concept_id", "left"))
-    return (hits.select("domain", "person_id", "age_group", "is_female", "concept_id",
-                        "concept_name", "start_date", "deficit", "source_value",
-                        "person_start_date", "person_end_date", "vocabulary_id")
+                    & (F.col("start_date") <= F.col("person_end_date"))))
+    rows = (redistribute(hits, ["person_id", "concept_id"])
+            .select("domain", "person_id", "age_group", "is_female", "concept_id", "start_date",
+                    "deficit", "source_value", "person_start_date", "person_end_date").distinct())
+    names = concept.select("concept_id", "concept_name", "vocabulary_id")
+    return (rows.join(names, "concept_id", "left")
+            .select("domain", "person_id", "age_group", "is_female", "concept_id",
+                    "concept_name", "start_date", "deficit", "source_value",
+                    "person_start_date", "person_end_date", "vocabulary_id")
             .distinct().drop("domain"))
 
 

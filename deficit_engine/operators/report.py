@@ -16,7 +16,6 @@ from deficit_engine.constants import INDEX_NAMES, SUPPRESS_BELOW
 from deficit_engine.functions.expr import if_else
 
 STRATA = ("age_group", "is_female")
-MAX_CATEGORIES = 10_000
 
 
 def summarize_bands(scores: DataFrame) -> DataFrame:
@@ -32,14 +31,12 @@ def summarize_bands(scores: DataFrame) -> DataFrame:
         (F.sum("robust") / n).alias("robust"))
 
 
-def category_list(categories: Sequence[str] | DataFrame, column: str = "category") -> list[str]:
-    """Category names as a Python list; a DataFrame is read with a size guard."""
+def category_frame(categories: Sequence[str] | DataFrame, like: DataFrame) -> DataFrame:
+    """Distinct categories as a one-column DataFrame (a list is uploaded)."""
     if isinstance(categories, DataFrame):
-        rows = categories.select(column).distinct().limit(MAX_CATEGORIES + 1).collect()
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"more than {MAX_CATEGORIES} categories")
-        return sorted(r[0] for r in rows if r[0] is not None)
-    return list(categories)
+        return categories.select("category").where(F.col("category").isNotNull()).distinct()
+    names = sorted({c for c in categories if c is not None})
+    return like.sparkSession.createDataFrame([(c,) for c in names], "category string")
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
@@ -62,18 +59,19 @@ def summarize_categories(hits: DataFrame, cohort: DataFrame,
     unlisted categories or of persons outside the cohort are ignored.
     Output: age_group, is_female, category, N, count, percent.
     """
-    cats = category_list(categories)
+    cats = category_frame(categories, cohort)
     score = F.lit(1.0) if unit_score else F.col("score").cast("double")
     members = cohort.select("person_id", *STRATA)
-    per_pc = (hits.filter(F.col("category").isin(cats))
-              .select("person_id", "category", score.alias("score"))
+    per_pc = (hits.select("person_id", "category", score.alias("score"))
               .groupBy("person_id", "category")
               .agg(F.count(F.lit(1)).alias("k"), F.sum("score").alias("s")))
     counts = (members.join(per_pc, "person_id")
               .groupBy(*STRATA, "category")
               .agg(F.sum(F.col("k") - 1).alias("extra"), F.sum("s").alias("cnt")))
-    grid = (members.groupBy(*STRATA).agg(F.count(F.lit(1)).alias("n0"))
-            .withColumn("category", F.explode(F.array(*[F.lit(c) for c in cats]))))
+    # the strata are a few counted rows: one array, in a scalar subquery, given to each category
+    strata = (members.groupBy(*STRATA).agg(F.count(F.lit(1)).alias("n0"))
+              .select(F.struct(*STRATA, "n0").alias("s")).agg(F.collect_list("s").alias("all"))).scalar()
+    grid = cats.select("category", F.explode(strata).alias("s")).select("category", "s.*")
     j = grid.join(counts, _null_safe_on(grid, counts, [*STRATA, "category"]), "left")
     n = (grid["n0"] + F.coalesce(counts["extra"], F.lit(0))).cast("long")
     cnt = F.coalesce(counts["cnt"], F.lit(0.0))
@@ -125,9 +123,9 @@ def percent_category(hits: DataFrame, cohort: DataFrame, category: str, index: s
     Output: age_group, is_female, category, n_yes, prop_yes.
     """
     if index is not None and index not in INDEX_NAMES[:4]:
-        raise ValueError(f"index not found. choose from: {', '.join(INDEX_NAMES[:4])}")
+        raise ValueError(f"no category shares for index {index!r}; known: {', '.join(INDEX_NAMES[:4])}")
     if categories is not None and category not in categories:
-        raise ValueError(f"category not found: {category}")
+        raise ValueError(f"no category {category!r} in this index")
     has = hits.filter(F.col("category") == category).select("person_id")
     zero = (cohort.join(has, "person_id", "left_anti")
             .select("person_id", *STRATA, F.lit(0.0).alias("score"),
@@ -157,8 +155,7 @@ def band_long(summary: DataFrame) -> DataFrame:
 def attach_categories(hits: DataFrame, code_list: DataFrame) -> DataFrame:
     """Re-attach categories to concept-level hits (many-to-many), drop
     concept_id, deduplicate, drop rows without an age band."""
-    from deficit_engine.operators.skew import bounded_broadcast
-    cats = bounded_broadcast(code_list.select("concept_id", "category", "score"))
+    cats = code_list.select("concept_id", "category", "score")
     return (hits.select("person_id", *STRATA, "concept_id", "person_start_date", "person_end_date")
             .join(cats, "concept_id", "left").drop("concept_id").distinct()
             .dropna(subset=["age_group"]))

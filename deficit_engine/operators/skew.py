@@ -1,114 +1,21 @@
-"""Join strategies that stay safe when sizes or key frequencies are unknown.
-
-* :func:`bounded_broadcast` broadcasts a side only after counting that it
-  has at most ``max_rows`` rows; otherwise the side is left to a shuffle join
-  (and AQE may still switch to broadcast from runtime sizes).
-* :func:`hot_keys` finds the heaviest keys of a large side. The result is
-  capped by ``max_keys`` (a ``limit`` after ``orderBy``), so it is always
-  safe to broadcast.
-* :func:`salted_join` spreads rows of hot keys of the large side over
-  ``buckets`` tasks and replicates only the matching rows of the small side,
-  so one person holding a third of all events no longer lands in one task.
-* :func:`may_hold_hot_key` skips all of this when the optimizer's size
-  estimate of the whole input is small (no key can overload a task then).
+"""Joins of a large, possibly skewed side with a one-row-per-key side.
+
+There is one plan, whatever the sizes. The join is a plain equi-join: the
+optimizer and AQE broadcast the small side when its bytes allow it, and
+otherwise AQE cuts an oversized shuffle partition of the large side into
+pieces, however many keys are hot. AQE only does so when nothing above the
+join relies on its partitioning, so rows that are aggregated or deduplicated
+per key afterwards are redistributed on a finer key first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_BROADCAST_ROWS = 1_000_000
-DEFAULT_SKEW_MIN_BYTES = 128 << 20
-
-
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (file sizes scaled by the
-    projection), without running a job; None if unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - e.g. a connect session
-        return None
-
-
-def may_hold_hot_key(df: DataFrame, min_bytes: int = DEFAULT_SKEW_MIN_BYTES) -> bool:
-    """False only when the *whole* input is estimated below ``min_bytes``:
-    then no single key can overload a task and salting is pure overhead."""
-    size = plan_size_bytes(df)
-    return size is None or size >= min_bytes
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
-
-    The check reads at most ``max_rows + 1`` rows (a bounded job).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def hot_keys(df: DataFrame, keys: str | Sequence[str], *, min_rows: int,
-             max_keys: int = 256) -> DataFrame:
-    """Keys with at least ``min_rows`` rows in ``df``: the ``max_keys`` heaviest.
-
-    The count is a partial (map-side) aggregation, so even a key with a third
-    of all rows is reduced before the shuffle.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") >= min_rows)
-            .orderBy(F.col("_n").desc()).limit(max_keys).select(*keys))
-
-
-def hot_key_values(df: DataFrame, key: str, *, min_rows: int, max_keys: int = 256) -> list:
-    """The heaviest keys (at most ``max_keys``, each with >= ``min_rows`` rows).
-
-    One small job; the result is bounded by ``max_keys`` so it is safe to
-    bring to the driver and ship back as an ``isin`` set.
-    """
-    return [r[0] for r in hot_keys(df, key, min_rows=min_rows, max_keys=max_keys).collect()]
-
-
-def salted_join(big: DataFrame, small: DataFrame, key: str, *, hot: Sequence,
-                buckets: int, spread_by: Sequence[str | Column], how: str = "inner") -> DataFrame:
-    """Equi-join ``big`` and ``small`` on ``key`` with hot keys split ``buckets`` ways.
-
-    Rows of ``big`` whose key is in ``hot`` get a salt ``xxhash64(spread_by)
-    mod buckets`` (deterministic, so a recomputed task produces the same
-    rows); their partners in ``small`` are replicated once per salt. Other
-    keys keep salt 0 and join as usual. With no hot key this is a plain join.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("salted_join supports inner and left joins (big side preserved)")
-    if not hot:
-        return big.join(small, key, how)
-    is_hot = F.col(key).isin(list(hot))
-    spread = [F.col(c) if isinstance(c, str) else c for c in spread_by]
-    big_s = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(buckets)))
-                           .otherwise(F.lit(0)).cast("int"))
-    small_s = small.withColumn("_salt", F.explode(
-        F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))))
-    return big_s.join(small_s, [key, "_salt"], how).drop("_salt")
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
 
-def skew_safe_join(big: DataFrame, small: DataFrame, key: str, *, spread_by: Sequence[str],
-                   skew_min_rows: int | None, skew_min_bytes: int = DEFAULT_SKEW_MIN_BYTES,
-                   salt_buckets: int = 32, max_hot_keys: int = 256,
-                   stage: Callable[[DataFrame], DataFrame] | None = None,
-                   size_probe: DataFrame | None = None) -> DataFrame:
-    """Inner join of a large, possibly skewed side with a one-row-per-key side.
 
-    Unless salting is off (``skew_min_rows`` falsy) or the optimizer estimates
-    the input (``size_probe``, default ``big``) below ``skew_min_bytes``:
-    ``big`` is staged (e.g. written once to the shared folder), its heaviest
-    keys are detected (capped list) and the join is salted for those keys.
-    """
-    if not skew_min_rows or not may_hold_hot_key(size_probe if size_probe is not None else big,
-                                                 skew_min_bytes):
-        return big.join(small, key)
-    if stage is not None:
-        big = stage(big)
-    hot = hot_key_values(big, key, min_rows=skew_min_rows, max_keys=max_hot_keys)
-    return salted_join(big, small, key, hot=hot, buckets=salt_buckets, spread_by=spread_by)
+def redistribute(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash ``rows`` on ``keys`` (finer than the join key below): lets AQE split
+    that join, and is the partitioning of the aggregates that follow."""
+    return rows.repartition(*keys)

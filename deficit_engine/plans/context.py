@@ -2,8 +2,10 @@
 
 Heavy intermediates (OMOP projections, the clean cohort) are written to the
 shared checkpoint folder and read back - the analogue of the persistent
-tables of the original workflow - under names that include a hash of this
-package's source, so a changed definition never reuses an old table.
+tables of the original workflow. The folder of a context is named by a hash
+of its inputs (every file's path, length and time), of every option that
+changes results, and of the definitions in this package, so neither another
+seed, nor replaced input, nor changed code ever reuses an old table.
 """
 
 from __future__ import annotations
@@ -11,37 +13,63 @@ from __future__ import annotations
 import hashlib
 import pathlib
 import threading
-from functools import cached_property
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deficit_engine.constants import AGE_BREAKS_CLAIMS, AGE_BREAKS_RESEARCH
-from deficit_engine.operators import codes, cohort, events
-from deficit_engine.operators.skew import bounded_broadcast
-from deficit_engine.sources.fixtures import _fingerprint, omop_tables
+from deficit_engine.operators import codes, cohort, drugs, events
+from deficit_engine.operators.events import check_index
+from deficit_engine.sources.fixtures import OmopTables, input_fingerprint, omop_tables
 from deficit_engine.sources.io import materialize
 
+PARTS = ("functions", "operators", "plans", "sources", "constants.py", "session.py")
+
 
 def _code_version() -> str:
     h = hashlib.sha1()
     root = pathlib.Path(__file__).resolve().parents[1]
-    for p in sorted(root.rglob("*.py")):
-        h.update(p.read_bytes())
+    for part in PARTS:
+        for p in sorted([root / part] if part.endswith(".py") else (root / part).rglob("*.py")):
+            h.update(p.read_bytes())
     return h.hexdigest()[:10]
 
 
 CODE_VERSION = _code_version()
+STANDARD_WINDOWS = ((1, 1), (3, 3))
+INDICES = ("vafi", "efi")
+# the cohorts an index is run on, and where a drug exposure's duration is counted from
+COHORTS = {"claims": "start", "survey": "window_start"}
 
 
 class RunContext:
-    """Inputs and shared intermediates for one input folder."""
+    """Inputs and shared intermediates for one input.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, *, seed: int = 42,
-                 materialize_tables: bool = True, run_id: str | None = None):
+    ``tables`` are OMOP tables (:class:`OmopTables`); without them the driver
+    tables in ``sf_dir`` are projected. ``inputs`` names what ``tables`` were
+    read from, for the name of the written tables.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, *, seed: int = 42,
+                 materialize_tables: bool = True, run_id: str | None = None,
+                 tables: OmopTables | None = None, inputs: str | None = None,
+                 code_lists: Mapping[str, DataFrame] | None = None):
         self.spark, self.sf_dir, self.seed = spark, sf_dir, seed
         self.materialize_tables = materialize_tables
-        self.tag = f"{_fingerprint(sf_dir)}-{CODE_VERSION}" + (f"-{run_id}" if run_id else "")
-        self.t = omop_tables(spark, sf_dir, materialize=materialize_tables, tag=self.tag)
+        self.code_lists = dict(code_lists or {})
+        source = inputs if inputs is not None else input_fingerprint(spark, sf_dir)
+        self.input_tag = f"{source}-{CODE_VERSION}" + (f"-{run_id}" if run_id else "")
+        lists = "".join(f"{k}={v.semanticHash()}" for k, v in sorted(self.code_lists.items()))
+        options = hashlib.sha1(f"seed={seed};{lists}".encode()).hexdigest()[:10]
+        self.tag = f"{self.input_tag}/{options}"
+        self.t = tables if tables is not None else \
+            omop_tables(spark, sf_dir, materialize=materialize_tables, tag=self.input_tag)
+
+    @classmethod
+    def from_tables(cls, spark: SparkSession, tables: OmopTables, inputs: str, **kw) -> RunContext:
+        """A context on OMOP tables; see :func:`deficit_engine.sources.omop.load_omop`."""
+        return cls(spark, tables=tables, inputs=inputs, **kw)
 
     def _memo(self, key, build):
         # one builder per key even if queries run from several threads: the
@@ -52,136 +80,166 @@ class RunContext:
                 cache[key] = build()
             return cache[key]
 
-    @cached_property
-    def skew_min_bytes(self) -> int:
-        """Event inputs estimated below this size are never salted."""
-        return int(self.spark.conf.get("spark.deficit.skewMinBytes", str(128 << 20)))
-
-    @cached_property
-    def skew_min_rows(self) -> int:
-        """Rows per person above which a person's events are salted.
-
-        Read from ``spark.deficit.skewMinRows`` (default one million); heavy
-        persons are detected per run with a capped, partially aggregated
-        count, so the setting is a safety net, not a tuning requirement.
-        """
-        return int(self.spark.conf.get("spark.deficit.skewMinRows", "1000000"))
+    def _keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        if not self.materialize_tables:
+            return df
+        return materialize(df, f"{self.tag}/{name}", partition_by=partition_by)
 
-    def stage(self, df: DataFrame) -> DataFrame:
-        """Write filtered candidates once to the shared folder (cuts lineage;
-        hot-key detection and the join then read them, not the raw scans)."""
-        return materialize(df) if self.materialize_tables else df
+    # --- code sets ---------------------------------------------------------
+    def code_list(self, fi: str = "vafi") -> DataFrame:
+        """The index's own code list, or the shared one."""
+        return self.code_lists.get(check_index(fi), self.t.code_list)
 
-    def skew_args(self) -> dict:
-        return {"skew_min_rows": self.skew_min_rows, "skew_min_bytes": self.skew_min_bytes,
-                "stage": self.stage}
+    def code_set(self, fi: str = "vafi") -> DataFrame:
+        """Searched code set (B1, lookback renamed chronic_category)."""
+        return self._memo(("code_set", fi), lambda: codes.as_concept_location(
+            codes.build_code_set(self.code_list(fi), self.t.lookbacks, fi)))
 
-    # --- small, reused inputs: built once per run, broadcast decision made once
     def windows(self, fi: str = "vafi") -> DataFrame:
-        """B2 output (concept_id, name, chronic_category), size-checked broadcast."""
-        return self._memo(("windows", fi), lambda: bounded_broadcast(self._keep(
-            codes.resolve_standard(self.t.concept, self.code_set(fi)), f"windows_{fi}")))
+        """B2 output (concept_id, name, chronic_category)."""
+        return self._memo(("windows", fi), lambda: self._keep(
+            codes.resolve_standard(self.t.concept, self.code_set(fi)), f"windows_{fi}"))
 
     def categories(self, fi: str = "vafi") -> DataFrame:
-        """(concept_id, category, score) of the code set, size-checked broadcast."""
-        return self._memo(("cats", fi), lambda: bounded_broadcast(
-            self.code_set(fi).select("concept_id", "category", "score")))
+        """(concept_id, category, score) of the code set."""
+        return self.code_set(fi).select("concept_id", "category", "score")
+
+    def category_names(self, fi: str = "vafi") -> DataFrame:
+        """Categories that the index reports: its code list's, and the
+        polypharmacy flag where the index has one."""
+        names = self.code_list(fi).select("category")
+        if fi == "efi":
+            from deficit_engine.constants import POLYPHARMACY_CATEGORY
+            names = names.unionByName(self.spark.range(1).select(F.lit(POLYPHARMACY_CATEGORY).alias("category")))
+        return names.distinct()
 
-    def category_names(self) -> list[str]:
-        """Categories of the code list (bounded list; report grid)."""
-        from deficit_engine.operators.report import category_list
-        return self._memo(("category_names",), lambda: category_list(self.t.code_list))
+    # --- cohorts -----------------------------------------------------------
+    @property
+    def raw_cohort(self) -> DataFrame:
+        t = self.t
+        return cohort.build_cohort(t.person, t.visit_occurrence, t.observation_period, self.seed)
 
-    def date_range(self, years: int) -> tuple:
+    @property
+    def cohort(self) -> DataFrame:
+        """Clean claims-style cohort (A1-A5), materialised."""
+        return self.cohort_of("claims")
+
+    @property
+    def research_cohort(self) -> DataFrame:
+        """Survey-anchored cohort (A6), materialised."""
+        return self.cohort_of("survey")
+
+    def cohort_of(self, name: str) -> DataFrame:
+        t = self.t
+        if name == "claims":
+            return self._memo(("cohort",), lambda: self._keep(
+                cohort.clean_cohort(self.raw_cohort, AGE_BREAKS_CLAIMS), "cohort_clean"))
+        if name == "survey":
+            return self._memo(("research_cohort",), lambda: self._keep(
+                cohort.survey_cohort(t.ds_survey, t.cb_search_person, t.observation_period,
+                                     AGE_BREAKS_RESEARCH), "cohort_survey"))
+        raise ValueError(f"no cohort {name!r}; known: {', '.join(COHORTS)}")
+
+    def date_range(self, years: int, of: str = "claims") -> tuple:
         """Overall (earliest window start, latest index) of the cohort."""
-        return self._memo(("date_range", years), lambda: events.date_bounds(
-            events.search_frame(self.cohort), years))
-
-    def search(self, events_df: DataFrame, fi: str = "vafi", **kw) -> DataFrame:
-        """C1-C11 over the clean cohort with the run defaults (salting, date bound,
-        reused windows / categories)."""
-        for k, v in self.skew_args().items():
-            kw.setdefault(k, v)
+        return self._memo(("date_range", years, of), lambda: events.date_bounds(
+            events.search_frame(self.cohort_of(of)), years))
+
+    # --- events ------------------------------------------------------------
+    def events(self, with_source: bool = False, only: str | None = None) -> DataFrame:
+        t = self.t
+        tabs = {"condition": t.condition_occurrence, "observation": t.observation,
+                "procedure": t.procedure_occurrence, "device": t.device_exposure}
+        if only:
+            tabs = {k: (v if k == only else None) for k, v in tabs.items()}
+        return events.domain_events(**tabs, with_source=with_source)
+
+    def search(self, events_df: DataFrame, fi: str = "vafi", of: str = "claims", **kw) -> DataFrame:
+        """C1-C11 over a cohort with the run defaults (date bound, reused
+        windows and categories)."""
         settings = kw.get("lookbacks") or [(kw.get("acute", 1), kw.get("chronic", 1))]
         # defaults are built lazily: each one may run (small) jobs
         if "date_bound" not in kw:
-            kw["date_bound"] = self.date_range(max(max(a, c) for a, c in settings))
+            kw["date_bound"] = self.date_range(max(max(a, c) for a, c in settings), of)
         if "windows" not in kw and kw.get("join_to_concept", True):
             kw["windows"] = self.windows(fi)
         if "categories" not in kw:
             kw["categories"] = self.categories(fi)
         code_set = kw.pop("code_set", None)
         code_set = self.code_set(fi) if code_set is None else code_set
-        return events.find_deficits(events_df, self.cohort, self.t.concept, code_set, **kw)
+        return events.find_deficits(events_df, self.cohort_of(of), self.t.concept, code_set, **kw)
+
+    def code_set_all(self) -> DataFrame:
+        """Union of the index code sets, tagged with ``index_name``."""
+        def build():
+            out = None
+            for fi in INDICES:
+                one = self.code_set(fi).select("concept_id", "category", "score", "chronic_category",
+                                               F.lit(fi).alias("index_name"))
+                out = one if out is None else out.unionByName(one)
+            return self._keep(out, "code_set_all")
+        return self._memo(("code_set_all",), build)
+
+    def hits_all(self, of: str = "claims") -> DataFrame:
+        """Unique-category hits of EVERY index and BOTH standard windows from one
+        pass over the events (one scan, one person shuffle), materialised - the
+        persisted hit tables of the original workflow, built once per cohort."""
+        def build():
+            cs = self.code_set_all()
+            windows = self._keep(codes.resolve_standard(self.t.concept, cs, tag="index_name"), "windows_all")
+            cats = cs.select("concept_id", "index_name", "category", "score")
+            hits = self.search(self.events(), "vafi", of, code_set=cs, tag="index_name", windows=windows,
+                               categories=cats, lookbacks=STANDARD_WINDOWS, unique_categories=True)
+            # one folder per (index, window): a report reads only its own slice
+            return self._keep(hits, f"hits_all_indices_{of}",
+                              partition_by=["index_name", "acute_lookback", "chronic_lookback"])
+        return self._memo(("hits_all", of), build)
+
+    def deficits(self, fi: str = "vafi", acute: int = 1, chronic: int = 1, of: str = "claims") -> DataFrame:
+        """C11 deficit rows (person, strata, score, category) for one window."""
+        if (acute, chronic) in STANDARD_WINDOWS and fi in INDICES:
+            h = self.hits_all(of).filter((F.col("index_name") == fi) & (F.col("acute_lookback") == acute)
+                                         & (F.col("chronic_lookback") == chronic))
+        else:
+            h = self.search(self.events(), fi, of, acute=acute, chronic=chronic, unique_categories=True)
+        # A person has at most (categories x scores) deficit rows, so hashing them
+        # by person is skew-safe; the distinct here and the per-person aggregates
+        # and joins downstream (scores, category table, anti joins) then reuse
+        # this one partitioning instead of each shuffling on its own keys.
+        return events.deficit_rows(h.repartition("person_id"))
+
+    def source_events(self) -> DataFrame:
+        """C12 rows of the claims cohort, searched and written once."""
+        return self._memo(("source_events",), lambda: self._keep(events.source_code_search(
+            self.events(with_source=True), self.cohort, self.t.concept,
+            codes.source_code_set(self.t.source_codes), date_bound=self.date_range(1)), "source_events"))
 
     # --- drugs ---------------------------------------------------------------
     def ingredient_map(self) -> DataFrame:
-        return self._memo(("ing",), lambda: bounded_broadcast(self._keep(
-            codes.ingredient_descendants(self.t.concept, self.t.concept_ancestor), "ingredient_map"),
-            5_000_000))
+        return self._memo(("ing",), lambda: self._keep(
+            codes.ingredient_descendants(self.t.concept, self.t.concept_ancestor), "ingredient_map"))
 
     def exclusions(self) -> DataFrame:
-        return self._memo(("excl",), lambda: bounded_broadcast(
-            codes.ancestor_exclusion_set(self.t.concept, self.t.concept_ancestor)
-            .select("ingredient_concept_id")))
+        return codes.ancestor_exclusion_set(self.t.concept, self.t.concept_ancestor) \
+            .select("ingredient_concept_id")
 
     def drug_era(self, strict_supply: bool = False) -> DataFrame:
-        """D1 rebuilt exposures (map-side: broadcast maps, no shuffle)."""
-        from deficit_engine.operators import drugs
+        """D1 rebuilt exposures."""
         t = self.t
         return drugs.rebuild_drug_era(t.drug_exposure, t.concept, t.concept_ancestor,
                                       strict_supply=strict_supply,
                                       ingredient_map=self.ingredient_map(),
                                       exclusions=self.exclusions())
 
-    def in_window(self, strict_supply: bool = False) -> DataFrame:
+    def in_window(self, strict_supply: bool = False, of: str = "claims") -> DataFrame:
         """D2 exposures in the one-year window, materialised once (the
-        persisted polypharmacy input of the original workflow)."""
-        from deficit_engine.operators import drugs
-        return self._memo(("in_window", strict_supply), lambda: self._keep(
-            drugs.exposures_in_window(self.drug_era(strict_supply), self.cohort, **self.skew_args()),
-            f"drug_in_window_{int(strict_supply)}"))
-
-    def _keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        if not self.materialize_tables:
-            return df
-        return materialize(df, f"{self.tag}/{name}", partition_by=partition_by)
-
-    # --- cohorts -----------------------------------------------------------
-    @property
-    def raw_cohort(self) -> DataFrame:
-        t = self.t
-        return cohort.build_cohort(t.person, t.visit_occurrence, t.observation_period, self.seed)
-
-    @property
-    def cohort(self) -> DataFrame:
-        """Clean claims-style cohort (A1-A5), materialised."""
-        return self._memo(("cohort",), lambda: self._keep(
-            cohort.clean_cohort(self.raw_cohort, AGE_BREAKS_CLAIMS), f"cohort_clean_s{self.seed}"))
-
-    @property
-    def research_cohort(self) -> DataFrame:
-        t = self.t
-        return self._memo(("research_cohort",), lambda: self._keep(
-            cohort.survey_cohort(t.ds_survey, t.cb_search_person, t.observation_period,
-                                 AGE_BREAKS_RESEARCH), "cohort_survey"))
-
-    # --- code sets ---------------------------------------------------------
-    def code_set(self, fi: str = "vafi") -> DataFrame:
-        """Searched code set (B1, lookback renamed chronic_category): a small
-        broadcast join, built once per run (the tagged union of all indices
-        used by the shared search is the materialised one)."""
-        return self._memo(("code_set", fi), lambda: codes.as_concept_location(
-            codes.build_code_set(self.t.code_list, self.t.lookbacks, fi)))
-
-    # --- events ------------------------------------------------------------
-    def events(self, with_source: bool = False, only: str | None = None) -> DataFrame:
-        t = self.t
-        tabs = {"condition": t.condition_occurrence, "observation": t.observation,
-                "procedure": t.procedure_occurrence, "device": t.device_exposure}
-        if only:
-            tabs = {k: (v if k == only else None) for k, v in tabs.items()}
-        return events.domain_events(**tabs, with_source=with_source)
+        persisted polypharmacy input of the original workflow). The survey
+        cohort counts durations from the window start."""
+        rule = COHORTS[of]
+        return self._memo(("in_window", strict_supply, of), lambda: self._keep(
+            drugs.exposures_in_window(self.drug_era(strict_supply), self.cohort_of(of), duration_from=rule,
+                                      latest=self.date_range(1, of)[1]),
+            f"drug_in_window_{of}_{int(strict_supply)}"))
 
 
 _CONTEXTS: dict[tuple, RunContext] = {}
@@ -198,67 +256,12 @@ def default_options(**kw) -> None:
 
 
 def context(spark: SparkSession, sf_dir: str, **kw) -> RunContext:
-    """Cached :class:`RunContext` per (session, folder, options)."""
+    """Cached :class:`RunContext` per (session, input files, options)."""
     kw = {**_DEFAULTS, **kw}
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"),
-           tuple(sorted(kw.items())))
+    inputs = input_fingerprint(spark, sf_dir)
+    key = (id(spark), spark.sparkContext.applicationId, inputs, tuple(sorted(kw.items())))
     with _LOCK:
         ctx = _CONTEXTS.get(key)
         if ctx is None:
-            ctx = _CONTEXTS[key] = RunContext(spark, sf_dir, **kw)
+            ctx = _CONTEXTS[key] = RunContext(spark, sf_dir, inputs=inputs, **kw)
         return ctx
-
-
-# --- shared deficit tables (attached to RunContext below) --------------------
-STANDARD_WINDOWS = ((1, 1), (3, 3))
-INDICES = ("vafi", "efi")
-
-
-def _code_set_all(self: RunContext) -> DataFrame:
-    """Union of the index code sets, tagged with ``index_name``."""
-    from pyspark.sql import functions as F
-
-    def build():
-        out = None
-        for fi in INDICES:
-            one = self.code_set(fi).select("concept_id", "category", "score", "chronic_category",
-                                           F.lit(fi).alias("index_name"))
-            out = one if out is None else out.unionByName(one)
-        return self._keep(out, "code_set_all")
-    return self._memo(("code_set_all",), build)
-
-
-def _hits_all(self: RunContext) -> DataFrame:
-    """Unique-category hits of EVERY index and BOTH standard windows from one
-    pass over the events (one scan, one person shuffle), materialised - the
-    persisted hit tables of the original workflow, built once."""
-    def build():
-        cs = _code_set_all(self)
-        windows = bounded_broadcast(self._keep(
-            codes.resolve_standard(self.t.concept, cs, tag="index_name"), "windows_all"))
-        cats = bounded_broadcast(cs.select("concept_id", "index_name", "category", "score"))
-        hits = self.search(self.events(), "vafi", code_set=cs, tag="index_name", windows=windows,
-                           categories=cats, lookbacks=STANDARD_WINDOWS, unique_categories=True)
-        # one folder per (index, window): a report reads only its own slice
-        return self._keep(hits, "hits_all_indices",
-                          partition_by=["index_name", "acute_lookback", "chronic_lookback"])
-    return self._memo(("hits_all",), build)
-
-
-def _deficits(self: RunContext, fi: str = "vafi", acute: int = 1, chronic: int = 1) -> DataFrame:
-    """C11 deficit rows (person, strata, score, category) for one window."""
-    from pyspark.sql import functions as F
-    if (acute, chronic) in STANDARD_WINDOWS and fi in INDICES:
-        h = _hits_all(self).filter((F.col("index_name") == fi) & (F.col("acute_lookback") == acute)
-                                   & (F.col("chronic_lookback") == chronic))
-    else:
-        h = self.search(self.events(), fi, acute=acute, chronic=chronic, unique_categories=True)
-    # A person has at most (categories x scores) deficit rows, so hashing them
-    # by person is skew-safe; the distinct here and the per-person aggregates
-    # and joins downstream (scores, category table, anti joins) then reuse
-    # this one partitioning instead of each shuffling on its own keys.
-    return events.deficit_rows(h.repartition("person_id"))
-
-
-RunContext.hits_all = _hits_all
-RunContext.deficits = _deficits

@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import re
 
-from deficit_engine.constants import AGE_BREAKS_CLAIMS, AGE_BREAKS_RESEARCH, DECILE_PROBS
+# stated here too, so that a wrong constant in the library shows
+AGE_BREAKS_CLAIMS = (40, 45, 50, 55, 60, 65, 70, 75, 80, 100)
+AGE_BREAKS_RESEARCH = (40, 45, 50, 55, 60, 65, 70, 75, 80, 120)
+DECILE_PROBS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
 CTES: dict[str, str] = {}
 
@@ -32,10 +35,15 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 cte("visit_occurrence", """
 SELECT o_orderkey AS visit_occurrence_id, o_custkey AS person_id,
        CAST(o_orderdate AS DATE) AS visit_start_date FROM orders""")
-cte("observation_period", """
-SELECT person_id, MIN(visit_start_date) AS observation_period_start_date,
-       MAX(visit_start_date) AS observation_period_end_date
+cte("o_span", """
+SELECT person_id, MIN(visit_start_date) AS lo, MAX(visit_start_date) AS hi,
+       MIN(visit_start_date) + CAST(floor(date_diff('day', MIN(visit_start_date), MAX(visit_start_date)) / 2) AS INT) AS mid
 FROM visit_occurrence GROUP BY person_id""")
+cte("observation_period", """
+SELECT person_id, lo AS observation_period_start_date,
+       CASE WHEN person_id % 4 = 0 THEN mid ELSE hi END AS observation_period_end_date FROM o_span
+UNION ALL
+SELECT person_id, mid, hi FROM o_span WHERE person_id % 4 = 0""")
 cte("clinical_event", """
 SELECT o_custkey AS person_id, CAST(l_partkey AS INT) AS concept_id,
        CAST(l_shipdate AS DATE) AS start_date,
@@ -97,7 +105,8 @@ SELECT 1000000 + b, 1000000 + b FROM ingredient
 UNION ALL
 SELECT 21602796, 1000000 + b FROM ingredient WHERE b IN (3, 7)""")
 cte("code_list", """
-SELECT CAST(p_partkey AS INT) AS concept_id, p_brand AS category, CAST(1 AS DOUBLE) AS score FROM part
+SELECT CAST(p_partkey AS INT) AS concept_id, p_brand AS category,
+       CAST(CASE p_brand WHEN 'Brand#2' THEN 0.5 WHEN 'Brand#3' THEN 0.25 ELSE 1 END AS DOUBLE) AS score FROM part
 UNION ALL
 SELECT CAST(p_partkey AS INT), 'Multi', CAST(1 AS DOUBLE) FROM part WHERE p_size = 50""")
 cte("lookbacks", """
@@ -147,36 +156,38 @@ def dbl(x: float) -> str:
 
 
 # --- cohort -------------------------------------------------------------------------
-cte("o_pick", """
+SEEDS = {"": 42, "_s7": 7}
+for _s, _seed in SEEDS.items():
+    cte(f"o_pick{_s}", f"""
 SELECT person_id, visit_occurrence_id, visit_start_date,
        row_number() OVER (PARTITION BY person_id
                           ORDER BY md5(concat_ws('-', CAST(person_id AS VARCHAR),
-                                                 CAST(visit_occurrence_id AS VARCHAR), '42')),
+                                                 CAST(visit_occurrence_id AS VARCHAR), '{_seed}')),
                                    visit_occurrence_id) AS rn
 FROM visit_occurrence""")
-cte("o_idx", """
+    cte(f"o_idx{_s}", f"""
 SELECT p.person_id, v.visit_start_date AS index_date, p.year_of_birth, p.gender_concept_id
-FROM person p JOIN o_pick v ON p.person_id = v.person_id WHERE v.rn = 1""")
-cte("o_hist", """
+FROM person p JOIN o_pick{_s} v ON p.person_id = v.person_id WHERE v.rn = 1""")
+    cte(f"o_hist{_s}", f"""
 SELECT i.person_id, i.index_date, i.year_of_birth, i.gender_concept_id,
        op.observation_period_start_date, op.observation_period_end_date
-FROM o_idx i JOIN observation_period op ON i.person_id = op.person_id
+FROM o_idx{_s} i JOIN observation_period op ON i.person_id = op.person_id
 WHERE date_diff('day', op.observation_period_start_date, i.index_date) >= 365""")
-cte("o_cohort", """
+    cte(f"o_cohort{_s}", f"""
 SELECT person_id, year_of_birth, gender_concept_id, index_date, observation_period_start_date,
        observation_period_end_date, CAST(year(index_date) - year_of_birth AS INTEGER) AS age,
        CASE WHEN year_of_birth < 1938 THEN 1 WHEN year_of_birth >= 1938 THEN 0 END AS yob_imputed
-FROM o_hist WHERE year(index_date) - year_of_birth >= 40""")
-cte("o_clean0", f"""
+FROM o_hist{_s} WHERE year(index_date) - year_of_birth >= 40""")
+    cte(f"o_clean0{_s}", f"""
 SELECT person_id,
        CASE WHEN gender_concept_id = 8507 THEN 0 WHEN gender_concept_id <> 8507 THEN 1 END AS is_female,
        {band('age2', AGE_BREAKS_CLAIMS)} AS age_group,
        CAST(index_date - INTERVAL 1 YEAR AS DATE) AS visit_lookback_date, index_date, yob_imputed
 FROM (SELECT *, CASE WHEN yob_imputed = 1 THEN 84 WHEN yob_imputed <> 1 THEN age END AS age2
-      FROM o_cohort) t""")
-cte("o_clean", """
-SELECT DISTINCT c.* FROM o_clean0 c
-WHERE c.index_date = (SELECT min(x.index_date) FROM o_clean0 x WHERE x.person_id = c.person_id)""")
+      FROM o_cohort{_s}) t""")
+    cte(f"o_clean{_s}", f"""
+SELECT DISTINCT c.* FROM o_clean0{_s} c
+WHERE c.index_date = (SELECT min(x.index_date) FROM o_clean0{_s} x WHERE x.person_id = c.person_id)""")
 cte("o_attr", """
 SELECT 1 AS stage, 'persons' AS label, count(*) AS n FROM person
 UNION ALL SELECT 2, 'with a visit', count(DISTINCT person_id) FROM o_idx
@@ -223,9 +234,10 @@ SELECT s.concept_id, s.name, k.chronic_category
 FROM (SELECT DISTINCT concept_id, concept_name AS name FROM concept WHERE standard_concept = 'S') s
 JOIN (SELECT DISTINCT concept_id, chronic_category FROM o_cs_{_fi}) k ON s.concept_id = k.concept_id""")
 
-cte("o_pid", """
+for _of, _cohort in (("", "o_clean"), ("_s7", "o_clean_s7"), ("_survey", "o_survey_cohort")):
+    cte(f"o_pid{_of}", f"""
 SELECT person_id, visit_lookback_date AS person_start_date, index_date AS person_end_date,
-       age_group, is_female FROM o_clean""")
+       age_group, is_female FROM {_cohort}""")
 cte("o_ev", """
 SELECT 'condition' AS domain, person_id, condition_concept_id AS concept_id,
        condition_start_date AS start_date, condition_source_value AS source_value
@@ -238,9 +250,9 @@ UNION ALL SELECT 'device', person_id, device_concept_id, device_exposure_start_d
        device_source_value FROM device_exposure""")
 
 
-def search(fi: str, acute: int, chronic: int, domain: str | None = None) -> str:
+def search(fi: str, acute: int, chronic: int, domain: str | None = None, of: str = "") -> str:
     """Per-domain distinct hits (before categories are attached)."""
-    name = f"o_hit_{fi}_{acute}_{chronic}" + (f"_{domain}" if domain else "")
+    name = f"o_hit_{fi}_{acute}_{chronic}{of}" + (f"_{domain}" if domain else "")
     if name in CTES:
         return name
     where = f"WHERE e.domain = '{domain}'" if domain else ""
@@ -252,37 +264,37 @@ SELECT DISTINCT * FROM (
               WHEN s.chronic_category <> 3 THEN {shift('p.person_start_date', acute)} END
            AS person_start_date,
          p.person_end_date, s.chronic_category
-  FROM o_ev e JOIN o_pid p ON e.person_id = p.person_id
+  FROM o_ev e JOIN o_pid{of} p ON e.person_id = p.person_id
   JOIN o_std_{fi} s ON e.concept_id = s.concept_id {where}) t
 WHERE start_date >= person_start_date AND start_date <= person_end_date""")
     return name
 
 
-def hits_all(fi: str, acute: int, chronic: int) -> str:
-    name = f"o_all_{fi}_{acute}_{chronic}"
+def hits_all(fi: str, acute: int, chronic: int, of: str = "") -> str:
+    name = f"o_all_{fi}_{acute}_{chronic}{of}"
     if name not in CTES:
         cte(name, f"""
 SELECT h.person_id, h.age_group, h.is_female, h.person_start_date, h.person_end_date,
        c.category, h.concept_id, c.score
-FROM {search(fi, acute, chronic)} h LEFT JOIN o_cs_{fi} c ON h.concept_id = c.concept_id""")
+FROM {search(fi, acute, chronic, of=of)} h LEFT JOIN o_cs_{fi} c ON h.concept_id = c.concept_id""")
     return name
 
 
-def hits_unique(fi: str, acute: int, chronic: int) -> str:
-    name = f"o_uniq_{fi}_{acute}_{chronic}"
+def hits_unique(fi: str, acute: int, chronic: int, of: str = "") -> str:
+    name = f"o_uniq_{fi}_{acute}_{chronic}{of}"
     if name not in CTES:
         cte(name, f"""
 SELECT DISTINCT person_id, age_group, is_female, person_start_date, person_end_date, category, score
-FROM {hits_all(fi, acute, chronic)}""")
+FROM {hits_all(fi, acute, chronic, of)}""")
     return name
 
 
-def deficits(fi: str, acute: int, chronic: int) -> str:
-    name = f"o_def_{fi}_{acute}_{chronic}"
+def deficits(fi: str, acute: int, chronic: int, of: str = "") -> str:
+    name = f"o_def_{fi}_{acute}_{chronic}{of}"
     if name not in CTES:
         cte(name, f"""
 SELECT DISTINCT person_id, age_group, is_female, score, category
-FROM {hits_unique(fi, acute, chronic)}""")
+FROM {hits_unique(fi, acute, chronic, of)}""")
     return name
 
 
@@ -317,12 +329,13 @@ SELECT age_group, is_female, count(*) AS N, CAST(sum(prefrail) AS BIGINT) AS n_p
 FROM {scores} GROUP BY age_group, is_female"""
 
 
-def categories(hits: str, cohort_: str, unit: bool, suppress: bool) -> str:
+def categories(hits: str, cohort_: str, unit: bool, suppress: bool, flag: bool = False) -> str:
     s = "CAST(1 AS DOUBLE)" if unit else "score"
+    listed = "SELECT category FROM code_list" + (" UNION SELECT 'Polypharmacy'" if flag else "")
     grid = f"""
 SELECT c.age_group, c.is_female, k.category, count(*) AS N,
        sum(coalesce(h.score, 0)) AS "count", sum(coalesce(h.score, 0)) / count(*) AS percent
-FROM {cohort_} c CROSS JOIN (SELECT DISTINCT category FROM code_list) k
+FROM {cohort_} c CROSS JOIN (SELECT DISTINCT category FROM ({listed}) l) k
 LEFT JOIN (SELECT person_id, category, {s} AS score FROM {hits}) h
   ON h.person_id = c.person_id AND h.category = k.category
 GROUP BY c.age_group, c.is_female, k.category"""
@@ -375,6 +388,14 @@ WHERE ((e.drug_exposure_start_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DAT
 cte("o_win_ws", """
 SELECT e.person_id, e.ingredient_concept_id, e.drug_exposure_start_date, e.drug_exposure_end_date
 FROM o_era e JOIN o_clean c ON e.person_id = c.person_id
+WHERE ((e.drug_exposure_start_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DATE)
+        AND e.drug_exposure_start_date <= c.index_date)
+    OR (e.drug_exposure_end_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DATE)
+        AND e.drug_exposure_end_date <= c.index_date))
+  AND date_diff('day', c.visit_lookback_date, e.drug_exposure_end_date) >= 1""")
+cte("o_win_survey", """
+SELECT e.person_id, e.ingredient_concept_id, e.drug_exposure_start_date, e.drug_exposure_end_date
+FROM o_era e JOIN o_survey_cohort c ON e.person_id = c.person_id
 WHERE ((e.drug_exposure_start_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DATE)
         AND e.drug_exposure_start_date <= c.index_date)
     OR (e.drug_exposure_end_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DATE)
@@ -393,7 +414,7 @@ SELECT person_id, count(*) AS n
 FROM (SELECT DISTINCT person_id, ingredient_concept_id FROM o_win) d GROUP BY person_id""")
 
 
-def poly(win: str, threshold: int, item: str = "ingredient_concept_id") -> str:
+def poly(win: str, threshold: int, item: str = "ingredient_concept_id", cohort_: str = "o_clean") -> str:
     name = f"o_poly_{win}_{threshold}"
     if name not in CTES:
         cte(name, f"""
@@ -401,15 +422,16 @@ SELECT k.person_id, c.is_female, c.age_group, CAST(1 AS DOUBLE) AS score,
        'Polypharmacy' AS category
 FROM (SELECT person_id, count(*) AS n FROM (SELECT DISTINCT person_id, {item} FROM {win}) d
       GROUP BY person_id HAVING count(*) >= {threshold}) k
-JOIN o_clean c ON k.person_id = c.person_id""")
+JOIN {cohort_} c ON k.person_id = c.person_id""")
     return name
 
 
-cte("o_efi_poly", f"""
+for _name, _years, _threshold in (("o_efi_poly", 1, 10), ("o_efi_poly_t5", 1, 5), ("o_efi_poly_3y", 3, 10)):
+    cte(_name, f"""
 SELECT DISTINCT person_id, age_group, is_female, score, category FROM (
-  SELECT person_id, age_group, is_female, score, category FROM {deficits('efi', 1, 1)}
+  SELECT person_id, age_group, is_female, score, category FROM {deficits('efi', _years, _years)}
   UNION ALL
-  SELECT person_id, age_group, is_female, score, category FROM {poly('o_win', 5)}) u""")
+  SELECT person_id, age_group, is_female, score, category FROM {poly('o_win', _threshold)}) u""")
 
 # --- source codes and agreement -----------------------------------------------------------
 cte("o_src_codes", """
@@ -439,6 +461,14 @@ SELECT n, msb, msw FROM (
   FROM (SELECT sum_score_x AS a, sum_score_y AS b,
                avg((sum_score_x + sum_score_y) / 2) OVER () AS g
         FROM o_tot WHERE sum_score_x IS NOT NULL AND sum_score_y IS NOT NULL) d) s""")
+cte("o_icc_without", """
+SELECT n, msb, msw FROM (
+  SELECT count(*) AS n,
+         2 * sum(power((a + b) / 2 - g, 2)) / (count(*) - 1) AS msb,
+         sum(power(a - (a + b) / 2, 2) + power(b - (a + b) / 2, 2)) / count(*) AS msw
+  FROM (SELECT sum_score_x AS a, sum_score_y AS b,
+               avg((sum_score_x + sum_score_y) / 2) OVER () AS g
+        FROM o_tot WHERE sum_score_x IS NOT NULL AND sum_score_y IS NOT NULL AND category <> 'Brand#1') d) s""")
 
 
 # --- the query texts ------------------------------------------------------------------------
@@ -447,6 +477,11 @@ SCORE_1 = score(deficits(V, 1, 1), "o_clean", 31, 0.10, 0.20)
 SCORE_3 = score(deficits(V, 3, 3), "o_clean", 31, 0.10, 0.20)
 SCORE_LC = score(deficits(V, 1, 1), "o_clean", 31, 0.11, 0.21, left_closed=True)
 SCORE_EFI = score("o_efi_poly", "o_clean", 36, 0.12, 0.24)
+SCORE_EFI_T5 = score("o_efi_poly_t5", "o_clean", 36, 0.12, 0.24)
+SCORE_EFI_3 = score("o_efi_poly_3y", "o_clean", 36, 0.12, 0.24)
+SCORE_SRC = score("o_src_def", "o_clean", 31, 0.11, 0.21)
+SURVEY = {y: deficits(V, y, y, "_survey") for y in (1, 3)}
+SCORE_SURVEY = {y: score(SURVEY[y], "o_survey_cohort", 31, 0.10, 0.20) for y in (1, 3)}
 cte("o_bands_1", bands(SCORE_1))
 PROBS = ", ".join(f"CAST({p!r} AS DOUBLE)" for p in DECILE_PROBS)
 DOMAIN_COLS = ("person_id, age_group, is_female, concept_id, concept_name, start_date, "
@@ -478,6 +513,7 @@ FROM o_clean GROUP BY age_group
 UNION ALL SELECT 'sample size', count(*), CAST(NULL AS DOUBLE) FROM o_clean
 UNION ALL SELECT '% female', CAST(sum(is_female) AS BIGINT), sum(is_female) / count(*) FROM o_clean""",
     "code_set": "SELECT * FROM o_cset_vafi",
+    "code_set_own_lookback": "SELECT category, concept_id, score, 'vafi' AS fi, lookback FROM o_cset_vafi",
     "code_set_standard": "SELECT * FROM o_std_vafi",
     "code_set_by_id": """
 SELECT DISTINCT concept_id, concept_name AS name FROM concept
@@ -500,6 +536,7 @@ FROM (SELECT * FROM {search(V, 1, 1)}
       WHERE concept_id IN (SELECT concept_id FROM concept WHERE standard_concept = 'S')) h
 LEFT JOIN o_cs_vafi c ON h.concept_id = c.concept_id""",
     "deficits_1y": f"SELECT * FROM {deficits(V, 1, 1)}",
+    "deficits_1y_seed7": f"SELECT * FROM {deficits(V, 1, 1, '_s7')}",
     "deficits_3y": f"SELECT * FROM {deficits(V, 3, 3)}",
     "source_code_hits": "SELECT * FROM o_src_def",
     "source_code_events": """
@@ -534,12 +571,20 @@ SELECT unnest([{PROBS}]) AS prob, unnest(quantile_cont(n, [{PROBS}])) AS value
 FROM (SELECT CAST(coalesce(k.n, 0) AS DOUBLE) AS n FROM o_clean c
       LEFT JOIN o_icount k ON c.person_id = k.person_id) t""",
     "index_with_polypharmacy": "SELECT * FROM o_efi_poly",
+    "index_with_polypharmacy_t5": "SELECT * FROM o_efi_poly_t5",
+    "polypharmacy_survey": f"SELECT * FROM {poly('o_win_survey', 10, cohort_='o_survey_cohort')}",
     "score_bands": f"SELECT * FROM {SCORE_1}",
     "score_bands_fast": f"SELECT * FROM {SCORE_1}",
     "score_bands_left_closed": f"SELECT * FROM {SCORE_LC}",
     "band_summary_1y": "SELECT * FROM o_bands_1",
     "band_summary_3y": bands(SCORE_3),
     "band_summary_efi": bands(SCORE_EFI),
+    "band_summary_efi_t5": bands(SCORE_EFI_T5),
+    "band_summary_efi_3y": bands(SCORE_EFI_3),
+    "band_summary_survey_1y": bands(SCORE_SURVEY[1]),
+    "band_summary_survey_3y": bands(SCORE_SURVEY[3]),
+    "score_bands_source": f"SELECT * FROM {SCORE_SRC}",
+    "report_csv_roundtrip": "SELECT * FROM o_bands_1",
     "band_summary_suppressed": """
 SELECT age_group, is_female, N,
        CASE WHEN n_prefrail < 20 THEN CAST(0 AS BIGINT) ELSE n_prefrail END AS n_prefrail,
@@ -551,7 +596,11 @@ SELECT age_group, is_female, N,
 FROM o_bands_1""",
     "category_summary": categories(deficits(V, 1, 1), "o_clean", unit=True, suppress=False),
     "category_summary_suppressed": categories(deficits(V, 1, 1), "o_clean", unit=True, suppress=True),
-    "category_summary_efi": categories("o_efi_poly", "o_clean", unit=False, suppress=True),
+    "category_summary_3y": categories(deficits(V, 3, 3), "o_clean", unit=True, suppress=True),
+    "category_summary_survey_1y": categories(SURVEY[1], "o_survey_cohort", unit=True, suppress=True),
+    "category_summary_efi": categories("o_efi_poly", "o_clean", unit=False, suppress=True, flag=True),
+    "category_summary_efi_t5": categories("o_efi_poly_t5", "o_clean", unit=False, suppress=True, flag=True),
+    "category_summary_efi_3y": categories("o_efi_poly_3y", "o_clean", unit=False, suppress=True, flag=True),
     "percent_category": f"""
 SELECT age_group, is_female, category, coalesce(sum(score), CAST(0 AS DOUBLE)) AS n_yes,
        avg(score) AS prop_yes
@@ -582,6 +631,9 @@ SELECT category, sum_score_x / (SELECT count(*) FROM o_clean) AS prev_x,
     "method_icc": """
 SELECT n, CAST(2 AS BIGINT) AS k, n - 1 AS df1, n AS df2, round(msb, 4) AS msb, round(msw, 4) AS msw,
        round((msb - msw) / (msb + msw), 6) AS icc, round(msb / msw, 6) AS f_value FROM o_icc""",
+    "method_icc_without": """
+SELECT n, CAST(2 AS BIGINT) AS k, n - 1 AS df1, n AS df2, round(msb, 4) AS msb, round(msw, 4) AS msw,
+       round((msb - msw) / (msb + msw), 6) AS icc, round(msb / msw, 6) AS f_value FROM o_icc_without""",
     "method_corr": """
 SELECT 'all' AS subset, count(*) AS n, round(corr(sum_score_x, sum_score_y), 6) AS corr
 FROM o_tot WHERE sum_score_x IS NOT NULL AND sum_score_y IS NOT NULL

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from deficit_engine.constants import EFI, VAFI, VAFI_OLD
 from deficit_engine.operators import agreement, codes, cohort, drugs, events, report, scoring
 from deficit_engine.plans.context import RunContext, context
+from deficit_engine.session import checkpoint_dir
+from deficit_engine.sources.io import write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -104,6 +106,13 @@ def _(c: RunContext):
     return codes.build_code_set(c.t.code_list, c.t.lookbacks, "vafi")
 
 
+@query("code_set_own_lookback")
+def _(c: RunContext):
+    """B1 on a list that carries its own lookback (the VAFI one, made so)."""
+    own = codes.build_code_set(c.t.code_list, c.t.lookbacks, "vafi").drop("fi")
+    return codes.build_code_set(own, c.t.lookbacks, "vafi")
+
+
 @query("code_set_standard")
 def _(c: RunContext):
     """B2: standard concepts of the code set with lookback code."""
@@ -139,18 +148,12 @@ def _(c: RunContext):
 @query("code_list_roundtrip")
 def _(c: RunContext):
     """Code list written as CSV, read back with its schema, stored as Parquet."""
-    from deficit_engine.session import checkpoint_dir
     base = f"{checkpoint_dir(c.spark)}/tables/{c.tag}/code_list"
     c.t.code_list.write.mode("overwrite").option("header", True).csv(base + "_csv")
     return codes.store_code_list(c.spark, base + "_csv", base + "_parquet")
 
 
 # --- event search --------------------------------------------------------------
-def _source_search(c: RunContext) -> DataFrame:
-    return events.source_code_search(c.events(with_source=True), c.cohort, c.t.concept,
-                                     codes.source_code_set(c.t.source_codes), **c.skew_args())
-
-
 def _domain_hits(c: RunContext, domain: str) -> DataFrame:
     return c.search(c.events(only=domain), join_now=False)
 
@@ -209,6 +212,12 @@ def _(c: RunContext):
     return c.deficits("vafi", 1, 1)
 
 
+@query("deficits_1y_seed7")
+def _(c: RunContext):
+    """C11 with another seed of the index visit."""
+    return context(c.spark, c.sf_dir, seed=7).deficits("vafi", 1, 1)
+
+
 @query("deficits_3y")
 def _(c: RunContext):
     """C11: deficit rows, three-year windows."""
@@ -218,19 +227,19 @@ def _(c: RunContext):
 @query("source_code_hits")
 def _(c: RunContext):
     """C12 + C13: source-value search to deficit rows."""
-    return events.source_deficits(_source_search(c))
+    return events.source_deficits(c.source_events())
 
 
 @query("source_code_events")
 def _(c: RunContext):
     """Source-value search rows (per-domain distinct, union-all)."""
-    return _source_search(c)
+    return c.source_events()
 
 
 @query("probe_concept")
 def _(c: RunContext):
     """head(n) probe: first two source-value hits of one concept (ordered)."""
-    return events.probe_concept(_source_search(c), PROBE_CONCEPT, 2)
+    return events.probe_concept(c.source_events(), PROBE_CONCEPT, 2)
 
 
 # --- polypharmacy --------------------------------------------------------------
@@ -257,8 +266,7 @@ def _(c: RunContext):
 @query("drug_era_window_start")
 def _(c: RunContext):
     """D2 with duration counted from the window start (second warehouse rule)."""
-    return drugs.exposures_in_window(_era(c), c.cohort, duration_from="window_start",
-                                     **c.skew_args())
+    return drugs.exposures_in_window(_era(c), c.cohort, duration_from="window_start")
 
 
 @query("polypharmacy")
@@ -284,7 +292,7 @@ def _(c: RunContext):
     """From the drug_era table, duration > 1 day, no exclusions."""
     w = drugs.exposures_in_window(c.t.drug_era, c.cohort, item="drug_concept_id",
                                   start="drug_era_start_date", end="drug_era_end_date", strict=True,
-                                  **c.skew_args())
+                                  latest=c.date_range(1)[1])
     return drugs.polypharmacy(w, c.cohort, 10, item="drug_concept_id")
 
 
@@ -300,17 +308,30 @@ def _(c: RunContext):
     return drugs.ingredient_deciles(_in_window(c), c.cohort)
 
 
-def _efi_with_poly(c: RunContext) -> DataFrame:
-    return drugs.add_polypharmacy(c.deficits("efi", 1, 1),
-                                  drugs.polypharmacy(_in_window(c), c.cohort, 5))
+@query("polypharmacy_survey")
+def _(c: RunContext):
+    """D3 for the survey cohort: durations from the window start, >= 10 ingredients."""
+    return drugs.polypharmacy(c.in_window(of="survey"), c.research_cohort, 10)
+
+
+def _efi_with_poly(c: RunContext, years: int = 1, threshold: int = 10) -> DataFrame:
+    """EFI deficits plus the polypharmacy flag (always the one-year window)."""
+    return drugs.add_polypharmacy(c.deficits("efi", years, years),
+                                  drugs.polypharmacy(_in_window(c), c.cohort, threshold))
 
 
 @query("index_with_polypharmacy")
 def _(c: RunContext):
-    """EFI deficits plus polypharmacy (>= 5) rows, distinct."""
+    """EFI deficits plus polypharmacy rows, distinct."""
     return _efi_with_poly(c)
 
 
+@query("index_with_polypharmacy_t5")
+def _(c: RunContext):
+    """D8 at threshold 5."""
+    return _efi_with_poly(c, threshold=5)
+
+
 # --- scoring and reports --------------------------------------------------------
 def _scores(c: RunContext, acute: int = 1, chronic: int = 1, **kw) -> DataFrame:
     return scoring.score_with_robust(c.deficits("vafi", acute, chronic), c.cohort,
@@ -354,11 +375,52 @@ def _(c: RunContext):
     return report.suppress_band_cells(report.summarize_bands(_scores(c, 1, 1)))
 
 
+def _efi_bands(c: RunContext, **kw) -> DataFrame:
+    return report.summarize_bands(scoring.score_with_robust(
+        _efi_with_poly(c, **kw), c.cohort, EFI["denominator"], EFI["lb"], EFI["ub"]))
+
+
 @query("band_summary_efi")
 def _(c: RunContext):
     """E3 for EFI with polypharmacy (36 categories, 0.12 / 0.24)."""
+    return _efi_bands(c)
+
+
+@query("band_summary_efi_t5")
+def _(c: RunContext):
+    """E3 for EFI with polypharmacy at threshold 5."""
+    return _efi_bands(c, threshold=5)
+
+
+@query("band_summary_efi_3y")
+def _(c: RunContext):
+    """E3 for EFI, three-year windows (polypharmacy stays one year)."""
+    return _efi_bands(c, years=3)
+
+
+def _survey_bands(c: RunContext, years: int) -> DataFrame:
     return report.summarize_bands(scoring.score_with_robust(
-        _efi_with_poly(c), c.cohort, EFI["denominator"], EFI["lb"], EFI["ub"]))
+        c.deficits("vafi", years, years, of="survey"), c.research_cohort,
+        VAFI["denominator"], VAFI["lb"], VAFI["ub"]))
+
+
+@query("band_summary_survey_1y")
+def _(c: RunContext):
+    """E3 for the survey cohort ([80,120] as last age band), one-year windows."""
+    return _survey_bands(c, 1)
+
+
+@query("band_summary_survey_3y")
+def _(c: RunContext):
+    """E3 for the survey cohort, three-year windows."""
+    return _survey_bands(c, 3)
+
+
+@query("score_bands_source")
+def _(c: RunContext):
+    """E1 over source-value deficits (0.11 / 0.21)."""
+    return scoring.score_with_robust(events.source_deficits(c.source_events()), c.cohort,
+                                     VAFI_OLD["denominator"], VAFI_OLD["lb"], VAFI_OLD["ub"])
 
 
 @query("category_summary")
@@ -375,13 +437,51 @@ def _(c: RunContext):
                                   unit_score=True, suppress=True)
 
 
-@query("category_summary_efi")
+@query("category_summary_3y")
+def _(c: RunContext):
+    """E4 + E7 + E6 for VAFI, three-year windows."""
+    return report.category_report(c.deficits("vafi", 3, 3), c.cohort, c.category_names(), unit_score=True)
+
+
+@query("category_summary_survey_1y")
 def _(c: RunContext):
-    """E4 with scores kept (EFI with polypharmacy), suppressed."""
-    return report.category_report(_efi_with_poly(c), c.cohort, c.category_names(),
+    """E4 + E7 + E6 for the survey cohort."""
+    return report.category_report(c.deficits("vafi", 1, 1, of="survey"), c.research_cohort,
+                                  c.category_names(), unit_score=True)
+
+
+def _efi_categories(c: RunContext, **kw) -> DataFrame:
+    return report.category_report(_efi_with_poly(c, **kw), c.cohort, c.category_names("efi"),
                                   unit_score=False, suppress=True)
 
 
+@query("category_summary_efi")
+def _(c: RunContext):
+    """E4 with scores kept (EFI with polypharmacy among the categories), suppressed."""
+    return _efi_categories(c)
+
+
+@query("category_summary_efi_t5")
+def _(c: RunContext):
+    """The EFI category table at polypharmacy threshold 5."""
+    return _efi_categories(c, threshold=5)
+
+
+@query("category_summary_efi_3y")
+def _(c: RunContext):
+    """The EFI category table, three-year windows."""
+    return _efi_categories(c, years=3)
+
+
+@query("report_csv_roundtrip")
+def _(c: RunContext):
+    """Sink: the band summary written as a named CSV report and read back."""
+    out = f"{checkpoint_dir(c.spark)}/tables/{c.tag}/reports"
+    df = report.summarize_bands(_scores(c, 1, 1))
+    path = write_report(df, out, index="vafi", acute=1, chronic=1, source="fixture", run_date="2024-07-15")
+    return c.spark.read.csv(path, header=True, schema=df.schema, nullValue="NA")
+
+
 @query("percent_category")
 def _(c: RunContext):
     """E5: share with a hit in one category."""
@@ -410,7 +510,7 @@ def _(c: RunContext):
 # --- agreement --------------------------------------------------------------------
 def _totals(c: RunContext) -> DataFrame:
     omop = c.deficits("vafi", 1, 1)
-    src = events.source_deficits(_source_search(c))
+    src = events.source_deficits(c.source_events())
     return agreement.method_totals(omop, src)
 
 
@@ -426,23 +526,29 @@ def _(c: RunContext):
     return agreement.prevalence(_totals(c), c.cohort)
 
 
-@query("method_icc")
-def _(c: RunContext):
-    """One-way ICC(1) and F between the methods."""
-    r = agreement.icc_oneway(agreement.to_long(_totals(c)), k=2)   # two methods
+def _icc(totals: DataFrame) -> DataFrame:
+    r = agreement.icc_oneway(agreement.to_long(totals), k=2)   # two methods
     return r.select("n", "k", "df1", "df2", F.round("msb", 4).alias("msb"),
                     F.round("msw", 4).alias("msw"), F.round("icc", 6).alias("icc"),
                     F.round("f_value", 6).alias("f_value"))
 
 
+@query("method_icc")
+def _(c: RunContext):
+    """One-way ICC(1) and F between the methods."""
+    return _icc(_totals(c))
+
+
+@query("method_icc_without")
+def _(c: RunContext):
+    """E9 without one category."""
+    return _icc(_totals(c).filter(F.col("category") != CORR_EXCLUDE))
+
+
 @query("method_corr")
 def _(c: RunContext):
     """Pearson correlation of totals, all and without one category."""
-    t = _totals(c)
-    a = agreement.method_correlation(t).select(F.lit("all").alias("subset"), "n", "corr")
-    b = agreement.method_correlation(t, CORR_EXCLUDE).select(
-        F.lit("without " + CORR_EXCLUDE).alias("subset"), "n", "corr")
-    return a.unionByName(b).withColumn("corr", F.round("corr", 6))
+    return agreement.correlations(_totals(c), CORR_EXCLUDE).withColumn("corr", F.round("corr", 6))
 
 
 def queries() -> dict[str, Query]:

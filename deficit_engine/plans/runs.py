@@ -1,62 +1,77 @@
 """End-to-end index runs that write the published report files.
 
-``run_indices`` is the whole workflow for one input: clean cohort, one
-event-search pass for both window settings (shared, materialised hit table),
-polypharmacy, scores, band summaries and category tables for VAFI and EFI,
-written as CSV folders named ``{date}_{index}[_categories]_acute{a}-chronic{c}_{source}``.
+``run_indices`` is the whole workflow for one input and the given cohorts:
+one event-search pass for both window settings (shared, materialised hit
+table), polypharmacy, scores, band summaries and category tables for VAFI and
+EFI, written as CSV folders named
+``{date}_{index}[_categories]_acute{a}-chronic{c}_{source}``.
 Nothing is collected; every report is written by the executors.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
 from deficit_engine.constants import EFI, POLYPHARMACY_THRESHOLD, VAFI
 from deficit_engine.operators import drugs, report, scoring
-from deficit_engine.plans.context import STANDARD_WINDOWS, context
+from deficit_engine.plans.context import COHORTS, STANDARD_WINDOWS, RunContext, context
 from deficit_engine.sources.io import write_report
 
 
-def run_indices(spark: SparkSession, sf_dir: str, out_dir: str, *, source: str = "fixture",
+def run_indices(spark: SparkSession, sf_dir: str | None, out_dir: str, *, source: str = "fixture",
                 run_date: str | None = None, windows=STANDARD_WINDOWS,
-                poly_threshold: int = POLYPHARMACY_THRESHOLD) -> list[str]:
-    """Run VAFI and EFI for every window setting and write the reports; return paths."""
+                poly_threshold: int = POLYPHARMACY_THRESHOLD, cohorts: Sequence[str] = ("claims",),
+                run: RunContext | None = None) -> list[str]:
+    """Run VAFI and EFI for every cohort and window setting and write the
+    reports; return paths. ``run``: a context on OMOP tables instead of ``sf_dir``."""
     run_date = run_date or _dt.date.today().isoformat()
-    c = context(spark, sf_dir)
-    cohort = c.cohort
-    cats_list = c.category_names()
-    # polypharmacy is always the one-year window, whatever the index window
-    poly = drugs.polypharmacy(c.in_window(), cohort, poly_threshold)
+    c = run if run is not None else context(spark, sf_dir)
     written = []
-    for acute, chronic in windows:
-        for fi, spec, with_poly, unit in (("vafi", VAFI, False, True), ("efi", EFI, True, False)):
-            hits = c.deficits(fi, acute, chronic)
-            if with_poly:
-                hits = drugs.add_polypharmacy(hits, poly)
-            scores = scoring.score_with_robust(hits, cohort, spec["denominator"], spec["lb"], spec["ub"])
-            written.append(write_report(report.summarize_bands(scores), out_dir, index=fi,
-                                        acute=acute, chronic=chronic, source=source,
-                                        run_date=run_date))
-            cats = report.category_report(hits, cohort, cats_list, unit_score=unit)
-            written.append(write_report(cats, out_dir, index=fi, acute=acute, chronic=chronic,
-                                        source=source, run_date=run_date, kind="categories"))
+    for of in cohorts:
+        cohort = c.cohort_of(of)
+        label = source if of == "claims" else f"{source}-{of}"
+        # polypharmacy is always the one-year window, whatever the index window
+        poly = drugs.polypharmacy(c.in_window(of=of), cohort, poly_threshold)
+        for acute, chronic in windows:
+            for fi, spec, with_poly, unit in (("vafi", VAFI, False, True), ("efi", EFI, True, False)):
+                hits = c.deficits(fi, acute, chronic, of)
+                if with_poly:
+                    hits = drugs.add_polypharmacy(hits, poly)
+                scores = scoring.score_with_robust(hits, cohort, spec["denominator"], spec["lb"], spec["ub"])
+                written.append(write_report(report.summarize_bands(scores), out_dir, index=fi,
+                                            acute=acute, chronic=chronic, source=label,
+                                            run_date=run_date))
+                cats = report.category_report(hits, cohort, c.category_names(fi), unit_score=unit)
+                written.append(write_report(cats, out_dir, index=fi, acute=acute, chronic=chronic,
+                                            source=label, run_date=run_date, kind="categories"))
     return written
 
 
 def main(argv=None) -> None:
-    """``python -m deficit_engine.plans.runs --input DIR --out DIR [--source NAME]``"""
+    """``python -m deficit_engine.plans.runs (--input DIR | --omop DIR | --schema NAME) --out DIR``"""
     import argparse
     from deficit_engine.session import get_session
+    from deficit_engine.sources.omop import load_folder, load_schema
     ap = argparse.ArgumentParser(description="Run VAFI / EFI indices and write the reports")
-    ap.add_argument("--input", required=True, help="folder with the input parquet tables")
+    given = ap.add_mutually_exclusive_group(required=True)
+    given.add_argument("--input", help="folder with the driver's parquet tables, projected to OMOP")
+    given.add_argument("--omop", help="folder with OMOP parquet tables")
+    given.add_argument("--schema", help="catalog schema with OMOP tables")
     ap.add_argument("--out", required=True, help="output folder for the CSV reports")
     ap.add_argument("--source", default="fixture", help="data source label in file names")
     ap.add_argument("--date", default=None, help="run date in file names (default today)")
+    ap.add_argument("--cohort", action="append", choices=sorted(COHORTS), help="cohort (default claims)")
     args = ap.parse_args(argv)
     spark = get_session()
-    for p in run_indices(spark, args.input, args.out, source=args.source, run_date=args.date):
+    run = None
+    if args.omop or args.schema:
+        tables, inputs = load_folder(spark, args.omop) if args.omop else load_schema(spark, args.schema)
+        run = RunContext.from_tables(spark, tables, inputs)
+    for p in run_indices(spark, args.input, args.out, source=args.source, run_date=args.date,
+                         cohorts=args.cohort or ("claims",), run=run):
         print(p)
 
 

@@ -10,8 +10,6 @@ every query scans real tables with pushdown instead of re-deriving them.
 
 from __future__ import annotations
 
-import hashlib
-import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 
 from deficit_engine.constants import ANTIBIOTIC_ANCESTOR_ID
 from deficit_engine.session import checkpoint_dir
-from deficit_engine.sources.io import table_exists
+from deficit_engine.sources.io import files_fingerprint, table_exists
 
 DOMAINS = {  # domain code of a projected event -> OMOP table / column prefix
     1: ("condition_occurrence", "condition_concept_id", "condition_start_date",
@@ -99,7 +97,8 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                            lineitem.l_orderkey == orders.o_orderkey)
              .select(F.col("o_custkey").alias("person_id"), "l_orderkey", "l_partkey",
                      "l_linenumber", _d("l_shipdate").alias("ship_date"), "l_returnflag",
-                     "l_quantity", (F.col("l_linenumber") % 4).alias("domain")))
+                     "l_quantity", (F.col("l_linenumber") % 4).alias("domain"),
+                     F.year("l_shipdate").alias("event_year")))
 
     brand_no = _i(F.substring("p_brand", 7, 1 << 20))
     ingredient = part.select(brand_no.alias("b")).distinct()
@@ -113,18 +112,24 @@ def _derived(spark: SparkSession, base: dict[str, DataFrame]) -> dict[str, DataF
     visit, customer, orders = base["visit_occurrence"], base["customer"], base["orders"]
     out: dict[str, DataFrame] = {"person": base["person"], "visit_occurrence": visit}
 
-    out["observation_period"] = visit.groupBy("person_id").agg(
-        F.min("visit_start_date").alias("observation_period_start_date"),
-        F.max("visit_start_date").alias("observation_period_end_date"))
+    # every fourth person has two periods: the first ends, and the second starts, halfway
+    spans = visit.groupBy("person_id").agg(F.min("visit_start_date").alias("lo"), F.max("visit_start_date").alias("hi")) \
+        .withColumn("mid", F.date_add("lo", F.floor(F.datediff("hi", "lo") / 2).cast("int")))
+    two = F.col("person_id") % 4 == 0
+    out["observation_period"] = spans.select(
+        "person_id", F.col("lo").alias("observation_period_start_date"),
+        F.when(two, F.col("mid")).otherwise(F.col("hi")).alias("observation_period_end_date")).unionByName(
+        spans.filter(two).select("person_id", F.col("mid").alias("observation_period_start_date"),
+                                 F.col("hi").alias("observation_period_end_date")))
 
     ev = lines.select("person_id", _i("l_partkey").alias("concept_id"),
                       F.col("ship_date").alias("start_date"),
                       F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("source_value"),
-                      "domain")
+                      "domain", "event_year")
     for code, (table, cid, date, src) in DOMAINS.items():
         out[table] = ev.filter(F.col("domain") == code).select(
             "person_id", F.col("concept_id").alias(cid), F.col("start_date").alias(date),
-            F.col("source_value").alias(src))
+            F.col("source_value").alias(src), "event_year")
 
     q = F.col("l_quantity")
     out["drug_exposure"] = lines.select(
@@ -188,7 +193,8 @@ def _derived(spark: SparkSession, base: dict[str, DataFrame]) -> dict[str, DataF
 
     out["code_list"] = (
         part.select(_i("p_partkey").alias("concept_id"), F.col("p_brand").alias("category"),
-                    F.lit(1.0).alias("score"))
+                    F.when(F.col("p_brand") == "Brand#2", 0.5).when(F.col("p_brand") == "Brand#3", 0.25)
+                    .otherwise(1.0).alias("score"))
         .unionByName(part.filter(F.col("p_size") == 50).select(
             _i("p_partkey").alias("concept_id"), F.lit("Multi").alias("category"),
             F.lit(1.0).alias("score"))))
@@ -228,16 +234,12 @@ def _derived(spark: SparkSession, base: dict[str, DataFrame]) -> dict[str, DataF
     return out
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    for name in ("customer", "nation", "region", "orders", "lineitem", "part"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(name.encode())
-    return h.hexdigest()[:16]
+INPUTS = ("customer", "nation", "region", "orders", "lineitem", "part")
+
+
+def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Hash of the path, length and time of every file of the input tables."""
+    return files_fingerprint(spark, [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in INPUTS])
 
 
 def omop_tables(spark: SparkSession, sf_dir: str, *, materialize: bool = True,
@@ -250,13 +252,17 @@ def omop_tables(spark: SparkSession, sf_dir: str, *, materialize: bool = True,
     """
     base = project(spark, sf_dir)
     if materialize:
-        root = f"{checkpoint_dir(spark)}/omop/{tag or _fingerprint(sf_dir)}"
+        root = f"{checkpoint_dir(spark)}/omop/{tag or input_fingerprint(spark, sf_dir)}"
         # the line-item x order join feeds six tables: write it once, one
-        # folder per event domain, so the domain tables below are
-        # partition-pruned projections of it rather than separate copies
+        # folder per event domain and year, so the domain tables below are
+        # partition-pruned projections of it rather than separate copies and
+        # a date bound skips whole folders. Ranges of (domain, year, person)
+        # keep a folder's files few and a person's events together.
         lines_path = f"{root}/_lines"
         if not table_exists(spark, lines_path):
-            base["lines"].write.mode("overwrite").partitionBy("domain").parquet(lines_path)
+            (base["lines"].repartitionByRange("domain", "event_year", "person_id")
+             .sortWithinPartitions("domain", "event_year", "person_id")
+             .write.mode("overwrite").partitionBy("domain", "event_year").parquet(lines_path))
         base["lines"] = spark.read.parquet(lines_path)
     tables = _derived(spark, base)
     if materialize:

@@ -8,8 +8,8 @@ warehouse ``compute()`` / persistent tables of the original workflow.
 
 from __future__ import annotations
 
+import hashlib
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,22 +23,39 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """True when a committed Parquet table (``_SUCCESS`` marker) is at ``path``."""
-    fs, jpath = _fs(spark, path.rstrip("/") + "/_SUCCESS")
+def table_exists(spark: SparkSession, path: str, marker: str = "/_SUCCESS") -> bool:
+    """True when a committed Parquet table (``_SUCCESS`` marker) is at ``path``;
+    with an empty ``marker``, when anything is."""
+    fs, jpath = _fs(spark, path.rstrip("/") + marker)
     return bool(fs.exists(jpath))
 
 
-def materialize(df: DataFrame, name: str | None = None, *, overwrite: bool = False,
+def files_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Hash of the qualified path, length and modification time of every file
+    at or below ``paths``, listed through Hadoop's FileSystem."""
+    h = hashlib.sha1()
+    for path in paths:
+        fs, jpath = _fs(spark, path)
+        if not fs.exists(jpath):
+            h.update(f"{fs.makeQualified(jpath)}:missing;".encode())
+            continue
+        found, files = [], fs.listFiles(jpath, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()};")
+        h.update("".join(sorted(found)).encode())
+    return h.hexdigest()[:16]
+
+
+def materialize(df: DataFrame, name: str, *, overwrite: bool = False,
                 partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to Parquet in the shared checkpoint folder and read it back.
 
-    With a ``name`` the table is reused when present (skip-if-exists); pass
-    ``overwrite=True`` to rebuild it. Without a name a fresh folder is used.
+    The table is reused when present (skip-if-exists), so ``name`` must say
+    what it was made from; pass ``overwrite=True`` to rebuild it.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    path = f"{base}/tables/{name}" if name else f"{base}/tmp/{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/tables/{name}"
     if overwrite or not table_exists(spark, path):
         w = df.write.mode("overwrite")
         if partition_by:

@@ -61,9 +61,8 @@ def test_window_rules_and_threshold(spark):
     assert flagged[0].category == "Polypharmacy" and flagged[0].score == 1.0
     dec = {r.prob: r.value for r in drugs.ingredient_deciles(win, cohort).collect()}
     assert dec[0.0] == 9.0 and dec[1.0] == 10.0 and dec[0.5] == pytest.approx(9.5)
-    salted = drugs.exposures_in_window(era, cohort, skew_min_rows=3, salt_buckets=4,
-                                         skew_min_bytes=0)
-    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, win.collect()))
+    cut = drugs.exposures_in_window(era, cohort, latest=D(2020, 1, 1))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, win.collect()))
 
 
 def test_approximate_deciles_close_to_exact(spark):
@@ -77,7 +76,6 @@ def test_approximate_deciles_close_to_exact(spark):
 
 def test_polypharmacy_at_scale_plan_shape(spark):
     from deficit_engine.plans.context import context
-    from deficit_engine.sources.io import materialize
     from tests.conftest import SF_SMALL
     c = context(spark, SF_SMALL)
     era = c.drug_era()
@@ -86,8 +84,7 @@ def test_polypharmacy_at_scale_plan_shape(spark):
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        win = drugs.exposures_in_window(era, c.cohort, skew_min_rows=5, skew_min_bytes=0,
-                                        salt_buckets=8, stage=materialize)
+        win = drugs.exposures_in_window(era, c.cohort, latest=c.date_range(1)[1])
         scaled = drugs.polypharmacy(win, c.cohort, 3)
         assert sorted(map(tuple, scaled.collect())) == default and default
     finally:

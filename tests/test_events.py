@@ -65,16 +65,6 @@ def test_multi_window_equals_separate_runs(fx, spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect()))
 
 
-def test_salted_join_gives_same_hits(spark):
-    from deficit_engine.plans.context import context
-    c = context(spark, SF_SMALL)
-    args = (c.events(), c.cohort, c.t.concept, c.code_set("vafi"))
-    plain = ev.find_deficits(*args, unique_categories=False)
-    salted = ev.find_deficits(*args, unique_categories=False, skew_min_rows=5,
-                              skew_min_bytes=0, salt_buckets=4)
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
-
-
 def test_longer_lookback_contains_shorter(spark):
     from deficit_engine.plans.context import context
     c = context(spark, SF_SMALL)
@@ -131,29 +121,22 @@ def test_scoring_over_unmaterialised_search_plans(spark):
 
 def test_at_scale_plan_shape_gives_same_hits(spark):
     """The all-index, all-window search planned as on a cluster (no automatic
-    broadcasts, staged candidates, salted heavy persons) returns exactly the
-    rows of the default plan."""
-    from deficit_engine.plans.context import INDICES, STANDARD_WINDOWS, _code_set_all, context
-    from deficit_engine.operators.codes import resolve_standard
-    from deficit_engine.operators.skew import bounded_broadcast
-    from deficit_engine.sources.io import materialize
+    broadcasts, date bound) returns exactly the rows of the default plan."""
+    from deficit_engine.plans.context import INDICES, STANDARD_WINDOWS, context
     c = context(spark, SF_SMALL)
-    cs = _code_set_all(c)
+    cs = c.code_set_all()
 
     def run(**kw):
         return ev.find_deficits(c.events(), c.cohort, c.t.concept, cs, tag="index_name",
-                                lookbacks=STANDARD_WINDOWS, unique_categories=True,
-                                windows=bounded_broadcast(resolve_standard(c.t.concept, cs,
-                                                                           tag="index_name")),
-                                **kw)
+                                lookbacks=STANDARD_WINDOWS, unique_categories=True, **kw)
 
     default = sorted(map(tuple, run().collect()))
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        scaled = run(skew_min_rows=20, skew_min_bytes=0, salt_buckets=8, stage=materialize,
-                     date_bound=True)
-        assert "SortMergeJoin" in scaled._jdf.queryExecution().executedPlan().toString()
+        scaled = run(date_bound=True)
+        plan = scaled._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "event_year" in plan.split("PartitionFilters: [", 1)[1]
         assert sorted(map(tuple, scaled.collect())) == default
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
@@ -163,15 +146,13 @@ def test_at_scale_plan_shape_gives_same_hits(spark):
 def test_source_search_at_scale_plan_shape(spark):
     from deficit_engine.operators.codes import source_code_set
     from deficit_engine.plans.context import context
-    from deficit_engine.sources.io import materialize
     c = context(spark, SF_SMALL)
     args = (c.events(with_source=True), c.cohort, c.t.concept, source_code_set(c.t.source_codes))
     default = sorted(map(tuple, ev.source_code_search(*args).collect()))
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        scaled = ev.source_code_search(*args, skew_min_rows=5, skew_min_bytes=0, salt_buckets=8,
-                                       stage=materialize)
+        scaled = ev.source_code_search(*args, date_bound=True)
         assert sorted(map(tuple, scaled.collect())) == default and default
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)

@@ -1,56 +1,48 @@
+"""Hot keys: AQE cuts the partitions of any number of them."""
+
 from pyspark.sql import functions as F
 
-from deficit_engine.operators.skew import (
-    bounded_broadcast, hot_key_values, may_hold_hot_key, salted_join)
+from deficit_engine.operators.skew import redistribute
 
+CONF = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.shuffle.partitions": "16"}
 
-def _big(spark):
-    # key 0 holds a third of all rows
-    return spark.range(0, 30000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 997 + 1).alias("k"),
-        F.col("id").alias("v"))
 
+def _with(spark, fn):
+    prev = {k: spark.conf.get(k, None) for k in CONF}
+    for k, v in CONF.items():
+        spark.conf.set(k, v)
+    try:
+        return fn()
+    finally:
+        for k, v in prev.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-def test_hot_key_detection_is_capped(spark):
-    big = _big(spark)
-    assert hot_key_values(big, "k", min_rows=1000) == [0]
-    assert len(hot_key_values(big, "k", min_rows=1, max_keys=5)) == 5
 
+def _joined(spark, big):
+    small = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    # a number of map tasks, so that a partition has pieces to be cut at
+    return redistribute(big.repartition(12, "v").join(small, "k").withColumn("task", F.spark_partition_id()), ["k", "v"])
 
-def test_salted_join_equals_plain_join_and_spreads_hot_key(spark):
-    big = _big(spark)
-    small = spark.range(0, 998).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    prev_c = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        plain = big.join(small, "k")
-        salted = salted_join(big, small, "k", hot=hot_key_values(big, "k", min_rows=1000),
-                             buckets=8, spread_by=["v"])
-        assert sorted(map(tuple, plain.select("k", "v", "w").collect())) == \
-            sorted(map(tuple, salted.select("k", "v", "w").collect()))
-        parts = (salted.filter(F.col("k") == 0).groupBy(F.spark_partition_id().alias("p")).count()
-                 .collect())
-        assert len(parts) >= 4                     # the hot key is split over several tasks
-        assert max(r["count"] for r in parts) < 10000
-        # without salting the hot key sits in one task
-        one = plain.filter(F.col("k") == 0).groupBy(F.spark_partition_id().alias("p")).count().collect()
-        assert len(one) == 1 and one[0]["count"] == 10000
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev_c)
 
+def test_one_key_with_a_third_of_all_rows_is_split(spark):
+    big = spark.range(0, 60000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 997 + 1).alias("k"), F.col("id").alias("v"))
 
-def test_no_hot_keys_is_plain_join(spark):
-    big = _big(spark)
-    small = spark.range(0, 998).select(F.col("id").alias("k"))
-    assert salted_join(big, small, "k", hot=[], buckets=8, spread_by=["v"]).count() == 30000
+    def run():
+        out = _joined(spark, big)
+        rows = out.distinct().collect()
+        assert len(rows) == 60000 and all(r["w"] == r["k"] * 10 for r in rows)
+        return {}, [r for r in rows if r["k"] == 0]
+    _, hot = _with(spark, run)
+    tasks = {r["task"] for r in hot}
+    assert len(hot) == 20000 and len(tasks) >= 3
 
 
-def test_bounded_broadcast_and_size_gate(spark):
-    small = spark.range(10)
-    assert "broadcast" in bounded_broadcast(small, 100)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in bounded_broadcast(small, 5)._jdf.queryExecution().logical().toString().lower()
-    assert may_hold_hot_key(small, 1 << 40) is False
-    assert may_hold_hot_key(small, 0) is True
+def test_300_hot_keys_are_all_spread(spark):
+    big = spark.range(0, 90000).select((F.col("id") % 300).alias("k"), F.col("id").alias("v"))
+    rows = _with(spark, lambda: _joined(spark, big).groupBy("task").count().collect())
+    assert sum(r["count"] for r in rows) == 90000
+    # no task has more than its share of whole keys, and some partitions were cut
+    assert len(rows) > 16 and max(r["count"] for r in rows) < 90000 / 12
