@@ -5,8 +5,10 @@ words and lines. An additive model over their quantile bins is fitted by the
 non-negative unbiased risk of positive-unlabelled learning: trusted positives
 stand for the good class, all text of the web for the mixture of both, and
 prior * risk of the positives as negatives is taken off the unlabelled risk,
-never below zero. The class prior is estimated from the share of positives
-among the labelled rows.
+never below zero. The class prior is the share of positives among the labelled
+rows; where only positives are labelled it is the largest share of the
+unlabelled rows that the positives can make up (least ratio of the two
+frequencies over the features' tails).
 
 The fit runs on the driver over a bounded sample (``SAMPLE`` rows of each
 kind, drawn by hash); features and scores are computed for every whole text.
@@ -17,7 +19,7 @@ Defined cases
   null label      no label; several labels of an id: the largest
   null id         scored, never a training row
   repeated rows   scored row by row
-  no positives or no other rows to train on   every score is the prior (0.5 without labels)
+  no positives or no rows to train on   every score is the prior (0.5 without labels)
   other columns   are not read
 """
 
@@ -127,12 +129,28 @@ class Additive:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def mixture_share(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
+    """Most of the unlabelled rows that can be positives: no set of values can
+    hold less of the mixture than the positives bring to it. Sets are the
+    tails of each feature with at least ``least`` of the positives."""
+    share = 1.0
+    for k in range(positive.shape[1]):
+        cuts = np.unique(np.quantile(positive[:, k], np.linspace(0, 1, 41)))
+        p, u = np.sort(positive[:, k]), np.sort(unlabelled[:, k])
+        for side in ("left", "right"):
+            below_p, below_u = np.searchsorted(p, cuts, side) / len(p), np.searchsorted(u, cuts, side) / len(u)
+            for a, b in ((below_p, below_u), (1 - below_p, 1 - below_u)):
+                wide = a >= least
+                share = min(share, (b[wide] / a[wide]).min(initial=1.0))
+    return float(min(max(share, 0.01), 0.99))
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = BINS, steps: int = STEPS) -> Additive:
     """Minimise the non-negative risk with logistic loss:
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))."""
-    both = np.concatenate([positive, unlabelled])
     if not len(positive) or not len(unlabelled):
-        return Additive([np.zeros(0)] * (both.shape[1] if both.ndim == 2 else 1), np.zeros((1, 1)), prior)
+        return Additive([], np.zeros((1, 1)), prior)
+    both = np.concatenate([positive, unlabelled])
     edges = [np.unique(np.quantile(both[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(both.shape[1])]
     model = Additive(edges, np.zeros((len(edges), bins)), prior)
     size = model.weights.size
@@ -193,5 +211,8 @@ def classify(docs: DataFrame, labels: DataFrame, train_on: Column, *, id_col: st
         return got.flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1) if len(got) else np.zeros((0, 0))
 
     positive = drawn(usable.join(known.where("y = 1").select("doc_id"), "doc_id"), n_good, 1)
-    model = fit(positive, drawn(usable, n_all, 2), prior)
+    unlabelled = drawn(usable, n_all, 2)
+    if n_good and n_good == n_known and len(positive) and len(unlabelled):
+        prior = mixture_share(positive, unlabelled)
+    model = fit(positive, unlabelled, prior)
     return x.mapInArrow(_score(model), "doc_id long, score double")
