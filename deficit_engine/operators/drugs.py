@@ -13,6 +13,7 @@ from deficit_engine.constants import (
 from deficit_engine.functions.dates import add_years
 from deficit_engine.functions.expr import if_else
 from deficit_engine.operators.codes import ancestor_exclusion_set, ingredient_descendants
+from deficit_engine.operators.skew import redistribute
 
 
 def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ancestor: DataFrame,
@@ -80,9 +81,10 @@ def ingredient_counts(in_window: DataFrame, item: str = "ingredient_concept_id")
     """Distinct items per person: (person_id, n).
 
     The distinct shuffles on (person, item), so a heavy person is spread
-    before the per-person count (itself a partial aggregation).
+    before the per-person count (itself a partial aggregation), and AQE may cut
+    the join below.
     """
-    return (in_window.select("person_id", item).distinct()
+    return (redistribute(in_window.select("person_id", item), ["person_id", item]).distinct()
             .groupBy("person_id").agg(F.count(F.lit(1)).cast("long").alias("n")))
 
 

@@ -1,8 +1,8 @@
 """Print the physical plans described in PLANS.md.
 
-Usage: python tools/explain.py [sf_dir] [--salted]
+Usage: python tools/explain.py [sf_dir]
 Automatic broadcasts are turned off so tables that are large on a cluster
-are planned as large here; ``--salted`` forces the hot-person path.
+are planned as large here.
 """
 
 from __future__ import annotations
@@ -16,22 +16,20 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def main() -> None:
     args = sys.argv[1:]
     sf_dir = next((a for a in args if a.startswith("/")), "/root/testdata/sf0.01")
-    salted = "--salted" in args
     from deficit_engine import get_session
     from deficit_engine.operators import drugs, report, scoring
     from deficit_engine.plans.context import STANDARD_WINDOWS, context
     spark = get_session("local[8]", 8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     c = context(spark, sf_dir)
-    skew = {"skew_min_rows": 50, "skew_min_bytes": 0} if salted else {}
     plans = {
         "event search (all windows)": c.search(c.events(), lookbacks=STANDARD_WINDOWS,
-                                               unique_categories=True, **skew),
+                                               unique_categories=True),
         "hit table read": c.deficits("efi", 3, 3),
         "scores + band summary": report.summarize_bands(
             scoring.score_with_robust(c.deficits("vafi", 1, 1), c.cohort, 31, 0.10, 0.20)),
         "polypharmacy": drugs.polypharmacy(
-            drugs.exposures_in_window(c.drug_era(), c.cohort, **skew), c.cohort, 10),
+            drugs.exposures_in_window(c.drug_era(), c.cohort, latest=c.date_range(1)[1]), c.cohort, 10),
         "category table": report.summarize_categories(c.deficits("vafi", 1, 1), c.cohort,
                                                       c.category_names(), unit_score=True),
     }
