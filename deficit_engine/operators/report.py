@@ -139,9 +139,9 @@ def percent_category(hits: DataFrame, cohort: DataFrame, category: str, index: s
 
 
 def band_check(summary: DataFrame) -> DataFrame:
-    """Per row, fractions sum (total) and counts over N (total2); both should be 1."""
-    return summary.withColumn("total", F.col("prefrail") + F.col("frail") + F.col("robust")) \
-        .withColumn("total2", (F.col("n_prefrail") + F.col("n_frail") + F.col("n_robust")) / F.col("N"))
+    """Per row, the sum of the fractions and of the counts over N; both should be 1."""
+    return summary.withColumn("fraction_sum", F.col("prefrail") + F.col("frail") + F.col("robust")) \
+        .withColumn("count_share", (F.col("n_prefrail") + F.col("n_frail") + F.col("n_robust")) / F.col("N"))
 
 
 def band_long(summary: DataFrame) -> DataFrame:

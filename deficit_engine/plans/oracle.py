@@ -613,7 +613,7 @@ FROM (SELECT person_id, age_group, is_female, score, category
                         WHERE h.person_id = c.person_id AND h.category = 'Multi')) u
 GROUP BY age_group, is_female, category""",
     "band_check": """
-SELECT *, prefrail + frail + robust AS total, (n_prefrail + n_frail + n_robust) / N AS total2
+SELECT *, prefrail + frail + robust AS fraction_sum, (n_prefrail + n_frail + n_robust) / N AS count_share
 FROM o_bands_1""",
     "band_long": """
 SELECT age_group, is_female, 'prefrail' AS name, prefrail AS value FROM o_bands_1

@@ -83,4 +83,4 @@ def test_band_long_and_check(fx):
     s = report.summarize_bands(scoring.score_with_robust(hits, cohort, 10, 0.1, 0.2))
     assert report.band_long(s).count() == 3 * s.count()
     for r in report.band_check(s).collect():
-        assert r.total == pytest.approx(1.0) and r.total2 == pytest.approx(1.0)
+        assert r.fraction_sum == pytest.approx(1.0) and r.count_share == pytest.approx(1.0)
