@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +35,24 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(WORD)).cast("long")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -40,18 +62,29 @@ class Scratch:
 
     A table cuts lineage: what reads it is recomputed from the written files
     when an executor is lost. ``drop`` removes a table that nothing reads any
-    more; what a lazy result still reads stays.
+    more; what a lazy result still reads goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+        fs, path = self._fs(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _fs(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        """Write and read back. The shuffle files of what went into the table are
+        no longer needed; Spark deletes them once the driver's collector has
+        seen that nothing refers to them, so it is asked to look."""
+        df.write.option("compression", "zstd").parquet(self.path(name))
+        self.spark.sparkContext._jvm.System.gc()
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
@@ -60,5 +93,5 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._fs(self.path(name))
+            fs.delete(path, True)

@@ -42,11 +42,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deficit_engine.llm.common import Scratch
+from deficit_engine.llm.common import Scratch, ship_package
 from deficit_engine.llm.units import CACHE_UNITS, text_slices
 
 WINDOW, GRAM = 20, 8
-SHARD_ANCHORS = 20_000      # anchor occurrences of an owner that make one part of its shard
+SHARD_ANCHORS = 5_000      # anchor occurrences of an owner that make one part of its shard
 AUTOMATON_WORDS = 200_000   # words compiled into one automaton
 NO_ID = -(1 << 63)
 
@@ -257,6 +257,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the words
     that stay, joined by one space)."""
+    ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # rid tells rows with one id and different texts apart
@@ -265,11 +266,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     repeated = scratch.write(marks.groupBy("hash").agg(F.min("name").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
     weight = repeated.groupBy("owner").agg(F.ceil(F.sum("n") / F.lit(SHARD_ANCHORS)).cast("int").alias("parts"))
     owned = scratch.write(repeated.join(weight, "owner").select("hash", "owner", "parts"), "owned")
-    candidates = (marks.join(owned, "hash").groupBy("rid")
-                  .agg(F.collect_set(F.struct("a", "b", "owner", "parts")).alias("marks")))
+    # written before the texts are moved, so that what the anchors took is free by then
+    candidates = scratch.write(marks.join(owned, "hash").groupBy("rid")
+                               .agg(F.collect_set(F.struct("a", "b", "owner", "parts")).alias("marks")), "candidates")
+    scratch.drop("anchors", "repeated", "owned")
     texts = scratch.write(rows.join(candidates, "rid", "left").select("doc_id", "name", "rid", "text", "marks")
                           .mapInArrow(_passages, PASSAGE_SCHEMA), "passages")
-    scratch.drop("anchors", "repeated", "owned")
+    scratch.drop("candidates")
     each = (texts.where(F.col("passages").isNotNull())
             .select("rid", "name", F.size("passages").alias("count"), F.posexplode("passages").alias("at", "p"))
             .select("rid", "name", "p.*", (F.col("name") == F.col("p.owner")).alias("own")))
