@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deficit_engine.llm.common import ship_package
 from deficit_engine.llm.units import UnitEncoder, binary_column, gather, text_slices
 
 # Fixed value: the public pre-tokenisation pattern of this vocabulary, with its
@@ -246,6 +247,7 @@ def encode_and_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id",
 
     ``path``: the vocabulary file, on every worker.
     """
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids binary, decoded string")
 
@@ -262,4 +264,5 @@ def _decode(path: str):
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """Texts of (doc_id, ids), the ids as ``encode_and_decode`` returns them; null ids give null."""
+    ship_package(tokens.sparkSession)
     return tokens.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, decoded string")

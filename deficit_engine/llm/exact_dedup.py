@@ -99,14 +99,17 @@ def mark_duplicates(docs: DataFrame, index: DigestIndex, *, id_col: str = "doc_i
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row for each distinct normalised text (largest id), columns unchanged.
 
-    Of fully repeated rows one stays. Joining on digest and id spreads even
-    the largest group of copies.
+    Of fully repeated rows one stays. Rows meet the index on digest and id
+    together, which spreads even the largest group of copies; the same
+    partitioning then serves to drop repeated rows.
     """
-    index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"),
-                       text_digest(F.col(text_col)).alias("digest"))
-    kept = index.add(rows).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__id"))
+    spark = docs.sparkSession
+    name = f"digest_index_{uuid.uuid4().hex}"
+    index = DigestIndex(spark, name, Scratch(spark, "keep").path(name))
+    row = lambda digest, i: F.xxhash64(digest, i.cast("long"))
+    found = index.add(docs.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest")))
+    kept = found.select(F.col("digest").alias("__digest"), row(F.col("digest"), F.col("keep_id")).alias("__kept"))
     marked = docs.withColumn("__own", text_digest(F.col(text_col)))
-    stays = marked.join(kept, (marked["__own"] == kept["__digest"])
-                        & marked[id_col].cast("long").eqNullSafe(kept["__id"]), "left_semi")
-    return stays.dropDuplicates(["__own"]).select(*docs.columns)
+    marked = marked.withColumn("__row", row(F.col("__own"), F.col(id_col)))
+    stays = marked.join(kept, (marked["__own"] == kept["__digest"]) & (marked["__row"] == kept["__kept"]), "left_semi")
+    return stays.dropDuplicates(["__own", "__row"]).select(*docs.columns)

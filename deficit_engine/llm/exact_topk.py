@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deficit_engine.llm.common import Scratch
+from deficit_engine.llm.common import Scratch, ship_package
 
 PIVOTS = 24
 PIVOT_SAMPLE = 2000     # rows that pivots are chosen from; any choice gives exact results
@@ -154,6 +154,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "ve
     are exact while they stay below 2^53.
     """
     spark = vectors.sparkSession
+    ship_package(spark)
     scratch = Scratch(spark, "topk")
     rows = scratch.write(
         vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deficit_engine.llm.common import Scratch
+from deficit_engine.llm.common import Scratch, ship_package
 from deficit_engine.llm.units import text_slices
 
 GRAMS = 1 << 14
@@ -151,6 +151,7 @@ def identify(rows: DataFrame) -> DataFrame:
 
     Returns id, lang, confidence, text_lang, declared, rejected.
     """
+    ship_package(rows.sparkSession)
     scratch = Scratch(rows.sparkSession, "language")
     rows = rows.select("id", "text", "declared", "host", "suffix")
     languages, models = learn_text_models(rows)
