@@ -31,6 +31,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from deficit_engine.llm.common import ship_package
 from deficit_engine.llm.units import UnitEncoder, binary_column, text_slices
 
 MAGIC, VERSION = b"TIDB", 1
@@ -274,13 +276,55 @@ class WordEncoder(UnitEncoder):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.ends_word[[i for t, i in spec["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
+        self.mark = {m: self.library.encode(m, add_special_tokens=False).ids for m in ".,"}
         super().__init__()
 
     def units(self, text: str) -> list[bytes]:
-        return text.encode().split()
+        raw = text.encode()
+        # the vocabulary is in lower case; only the strings of special tokens are told apart by case
+        return (raw if any(t in raw.lower() for t in self.special) else raw.lower()).split()
 
     def encode_units(self, units: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+        """A stop or comma after a letter is a piece of its own, so it is split
+        off, and the library sees each remaining word once; the remaining words
+        become units too."""
+        words = [u.decode() for u in units]
+        stems = [w[:-1] if w[-1] in ".," and normalize("NFC", w[-2:-1]).lower().isalpha() else w for w in words]
+        known, fresh = {}, []
+        for s in dict.fromkeys(stems):
+            code = self.codes.get(s.encode(), self.known)
+            if code < self.known:
+                known[s] = self.flat[self.offsets[code]:self.offsets[code + 1]].tolist()
+            else:
+                fresh.append(s)
+        known.update(self.library_ids(fresh))
+        out = [known[s] if len(s) == len(w) else known[s] + self.mark[w[-1]] for w, s in zip(words, stems)]
+        for s in fresh:
+            own = s.encode()
+            if own not in self.codes:
+                self.codes[own]  # noqa: B018  (numbers it, at the end of the new units)
+                out.append(known[s])
+        return out
+
+    def library_ids(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of each word. Words of letters alone are one piece each, whose
+        last id is one that ends a word, so many are encoded as one text."""
+        plain = [w for w in words if w.isalpha() and normalize("NFC", w).lower() == w]
+        out = {}
+        for at in range(0, len(plain), 2000):
+            some = plain[at:at + 2000]
+            ids = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                starts = [0, *ends[:-1].tolist()]
+                out.update({w: ids[i:j] for w, i, j in zip(some, starts, ends.tolist())})
+        rest = [w for w in words if w not in out]
+        out.update({w: e.ids for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False))})
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -335,6 +379,7 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
 def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
                        end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all documents, in ascending id order, to token-id files under ``path``."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -359,6 +404,7 @@ def read_token_blocks(spark, path: str) -> DataFrame:
 
     Only one row per written partition is summed up to place the partitions.
     """
+    ship_package(spark)
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
