@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -80,11 +81,12 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and read back. The shuffle files of what went into the table are
+        """Write and read back. The shuffle files of the tables written before are
         no longer needed; Spark deletes them once the driver's collector has
-        seen that nothing refers to them, so it is asked to look."""
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        seen that nothing refers to them, so it is asked to look first."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        df.write.option("compression", "zstd").parquet(self.path(name))
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
