@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from deficit_engine.llm import substring_dedup as sd
@@ -71,6 +72,25 @@ def test_one_text_everywhere(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [40, 130, 1000])
+def test_first_stays_where_the_owner_fills_several_automata(most, monkeypatch):
+    monkeypatch.setattr(sd.compile_passages, "__defaults__", (most,))
+    draw = random.Random(6)
+    text = lambda k: [f"u{draw.randrange(10**6)}" for _ in range(k)]
+    passage = text(100)
+    owner = text(100) + passage + text(200) + passage + text(100)
+    other = text(30) + passage + passage[:50]
+    # the whole owner as one passage, and its two copies alone
+    for marks in ([(0, owner)], [(100, passage), (400, passage)]):
+        rows = [{"owner": 1, "part": 0, "own": True, "rid": 1, "name": 1, "start": a, "text": " ".join(w)} for a, w in marks]
+        rows.append({"owner": 1, "part": 0, "own": False, "rid": 2, "name": 2, "start": 0, "text": " ".join(other)})
+        gone = {1: set(), 2: set()}
+        for batch in sd._locate(iter([pa.RecordBatch.from_pylist(rows)])):
+            for r in batch.to_pylist():
+                gone[r["rid"]] |= set(r["gone"])
+        assert gone == {1: set(range(400, 481)), 2: {*range(30, 111), *range(130, 161)}}
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
