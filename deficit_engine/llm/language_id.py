@@ -14,12 +14,14 @@ third of them is summed before the shuffle, and its rows meet the host's prior
 in a many-to-one join that can be split.
 
 A row is rejected when ``und`` is the likeliest or no language reaches
-``CERTAIN``.
+``CERTAIN``, unless it declares a language that has no model: that nothing is
+known of its language says nothing against its text.
 
 Defined cases
   null or empty text      the other evidence decides
   null declared, host or suffix   that evidence is left out
-  declared language with under MIN_SHARE of the declared rows   counted as "other"
+  declared language with under MIN_GRAMS trigrams of text   has no model, counted as
+                          "other"; its rows are never rejected
   no declared language at all     every row is ``und``
   repeated rows           judged row by row
   empty table             an empty result
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,7 @@ from deficit_engine.llm.common import Scratch, ship_package
 from deficit_engine.llm.units import text_slices
 
 GRAMS = 1 << 14
-MIN_SHARE = 0.001       # so there are at most 1000 languages
+MIN_GRAMS = 1000        # trigrams with a letter that a language's model is learned from, at least
 SMOOTH = 20.0           # M: rows that the wider level counts for
 WEIGHT, MOST = 0.3, 300  # neighbouring trigrams repeat each other; text counts as at most MOST of them
 CERTAIN = 0.8
@@ -94,20 +97,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def learn_text_models(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+def learn_text_models(rows: DataFrame, scratch: Scratch) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of every trigram under each; the last row is ``und``."""
-    stated = rows.where(F.col("declared").isNotNull())
-    shares = stated.groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    total = stated.count()
-    names = sorted(r["declared"] for r in shares.where(F.col("n") >= MIN_SHARE * total).collect())
+    summed = scratch.write(rows.where(F.col("declared").isNotNull()).select("declared", "text")
+                           .mapInArrow(_count, "declared string, gram int, n long")
+                           .groupBy("declared", "gram").agg(F.sum("n").alias("n")), "grams")
+    blank = int(grams(["   "])[0][0])
+    enough = (summed.where(F.col("gram") != blank).groupBy("declared").agg(F.sum("n").alias("n"))
+              .where(F.col("n") >= MIN_GRAMS).select("declared"))
+    names = sorted(r["declared"] for r in enough.collect())
     counts = np.zeros((len(names), GRAMS))
     if names:
-        summed = (stated.where(F.col("declared").isin(names)).select("declared", "text")
-                  .mapInArrow(_count, "declared string, gram int, n long")
-                  .groupBy("declared", "gram").agg(F.sum("n").alias("n")).toArrow())
-        row = {name: k for k, name in enumerate(names)}
-        at = np.array([row[d] for d in summed.column("declared").to_pylist()], np.int64)
-        counts[at, summed.column("gram").to_numpy()] = summed.column("n").to_numpy()
+        learned = summed.join(enough, "declared", "left_semi").toArrow()
+        at = pc.index_in(learned.column("declared"), value_set=pa.array(names, learned.schema.field("declared").type)).to_numpy()
+        counts[at, learned.column("gram").to_numpy()] = learned.column("n").to_numpy()
     flat = np.full((1, GRAMS), -np.log(GRAMS))
     models = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * GRAMS))
     return names, np.concatenate([models, flat])
@@ -154,7 +157,7 @@ def identify(rows: DataFrame) -> DataFrame:
     ship_package(rows.sparkSession)
     scratch = Scratch(rows.sparkSession, "language")
     rows = rows.select("id", "text", "declared", "host", "suffix")
-    languages, models = learn_text_models(rows)
+    languages, models = learn_text_models(rows, scratch)
     names = [*languages, UNKNOWN]
     seen = scratch.write(
         rows.mapInArrow(_likelihood(models), "id long, declared string, host string, suffix string, evidence array<double>")
@@ -178,19 +181,20 @@ def identify(rows: DataFrame) -> DataFrame:
     kinds = [*languages, "other"]
     table = np.array([of_lang.get(k, [0.0] * len(names)) for k in kinds]) + 0.5
     table = np.log(table / table.sum(0, keepdims=True))
-    said = F.when(F.lit(False), F.array(*[F.lit(0.0)] * len(names)))
-    for k, kind in enumerate(kinds):
-        said = said.when(F.col("stated") == kind, F.array(*[F.lit(float(x)) for x in table[k]]))
-    said = said.otherwise(F.array(*[F.lit(0.0)] * len(names)))
-    placed = (seen.join(hosts, (F.col("host") == F.col("at")) & F.col("suffix").eqNullSafe(F.col("under")), "left")
+    # a small table, not one literal for each pair of languages
+    weights = rows.sparkSession.createDataFrame(pa.table({"kind": pa.array(kinds, pa.string()), "said": pa.array(table.tolist(), pa.list_(pa.float64()))}))
+    said = F.coalesce("said", F.array(*[F.lit(0.0)] * len(names)))
+    placed = (seen.join(F.broadcast(weights), F.col("stated") == F.col("kind"), "left")
+              .join(hosts, (F.col("host") == F.col("at")) & F.col("suffix").eqNullSafe(F.col("under")), "left")
               .join(suffixes.withColumnsRenamed({"of": "of_row", "p": "by_suffix"}), F.col("suffix") == F.col("of_row"), "left"))
     prior = F.transform(F.coalesce("by_host", "by_suffix", whole), lambda p: F.log(p))
     scores = _plus(_plus(prior, said), F.col("evidence"))
+    unmodelled = F.col("declared").isNotNull() & ~F.col("declared").isin(languages)
     judged = (placed.withColumn("scores", scores).withColumn("top", F.array_max("scores"))
               .withColumn("lang", _best(names, F.col("scores")))
               .withColumn("confidence", 1 / F.aggregate("scores", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))))
     return judged.select("id", "lang", "confidence", F.col("vote").alias("text_lang"), "declared",
-                         ((F.col("lang") == UNKNOWN) | (F.col("confidence") < CERTAIN)).alias("rejected"))
+                         (((F.col("lang") == UNKNOWN) | (F.col("confidence") < CERTAIN)) & ~unmodelled).alias("rejected"))
 
 
 def page_rows(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -97,6 +97,22 @@ def test_keep_identified(spark):
     assert 500 not in ids and None in ids and ids.count(7) == 2 and len(ids) == len(data) - 1
 
 
+def test_rare_languages_stay(spark):
+    """Their share of the rows does not matter: 3 and 1 of 4,004 rows are under 0.1 %."""
+    draw = random.Random(8)
+    data = [r for k in range(20) for r in rows(seed=20 + k, n=200)]
+    data = [(i, *r[1:]) for i, r in enumerate(data)]
+    cyrillic = lambda n: " ".join("".join(draw.choice(["да", "не", "ко", "ру", "щи"]) for _ in range(3)) for _ in range(n))
+    rare = [(9000 + k, cyrillic(200), "ru", "h1", "com", "ru") for k in range(3)]
+    # too little text for a model of its own
+    short = (9100, "ηθ ψω ξζ φχ", "el", "h1", "com", "el")
+    got = run(spark, [*data, *rare, short])
+    assert all(got[r[0]]["lang"] == "ru" and not got[r[0]]["rejected"] for r in rare)
+    assert not got[9100]["rejected"]
+    for i, *_, lang in data[:200]:
+        assert got[i]["lang"] == lang and not got[i]["rejected"], i
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
     assert all(r["rejected"] for r in run(spark, [(1, "some text", None, None, None, "")]).values())
