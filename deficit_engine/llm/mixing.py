@@ -34,6 +34,7 @@ FAN_IN = 32
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
+SPANS = 1024
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
@@ -154,13 +155,41 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     (F.col("copies") * F.col("size")).alias("taken")))
 
 
-def take(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
+def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as the mix takes it, columns unchanged.
 
-    Expects ids that are unique; rows without an id are left out of the mix
-    only if their size is 0.
+    Copies belong to the units that ``mix`` decides, equal (source, id, size)
+    with null equal to null, and are dealt out evenly over the rows of a unit.
     """
-    counts = mix(docs, id_col=id_col, **kw).where(F.col("copies") > 0) \
-        .groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(counts, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "taking")
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
+    counts = scratch.write(
+        mixed.groupBy(F.col("source").alias("__src"), F.col("doc_id").alias("__id"), F.col("size").alias("__size"))
+        .agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__n")).where(F.col("__c") > 0), "counts")
+    # mostly few or none, so that the texts need not move for them
+    shared = scratch.write(counts.where(F.col("__n") > 1), "shared")
+
+    def rows_of(units: DataFrame) -> DataFrame:
+        return docs.join(units, F.col(source_col).cast("string").eqNullSafe(F.col("__src"))
+                         & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+                         & word_count(F.col(text_col)).eqNullSafe(F.col("__size")))
+
+    # rows of a unit are numbered by hash spans, so that a large unit is not sorted in one task
+    content = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    many = rows_of(shared).withColumn("__hash", F.xxhash64(*content)).withColumn("__span", F.pmod("__hash", F.lit(SPANS)))
+    unit = ["__src", "__id", "__size"]
+    spans = many.groupBy(*unit, "__span").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(*unit).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.select(*[F.col(c).alias(f"{c}_of") for c in unit], F.col("__span").alias("__span_of"),
+                          F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    ranked = many.withColumn("__rank", F.row_number().over(Window.partitionBy(*unit, "__span").orderBy("__hash")) - 1)
+    same = F.col("__span") == F.col("__span_of")
+    for c in unit:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    dealt = (ranked.join(starts, same)
+             .withColumn("__copies", F.floor(F.col("__c") / F.col("__n")).cast("long")
+                         + (F.col("__start") + F.col("__rank") < F.col("__c") % F.col("__n")).cast("long"))
+             .where(F.col("__copies") > 0))
+    single = rows_of(counts.where(F.col("__n") == 1)).withColumn("__copies", F.col("__c"))
+    every = single.select(*docs.columns, "__copies").unionByName(dealt.select(*docs.columns, "__copies"))
+    return every.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

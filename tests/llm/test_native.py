@@ -95,6 +95,25 @@ def test_mix(spark):
     assert counts == {r["doc_id"]: r["copies"] for r in mixing.mix(docs(spark, rows[:900])).collect() if r["copies"]}
 
 
+def test_take_deals_the_copies_of_each_unit(spark):
+    rows = [(i, "w " * (1 + i * 37 % 50), f"s{i % 3}") for i in range(60)]
+    rows += [(7, f"same{k} id", "s1") for k in range(9)] + [(7, "a longer text of it " * 9, None), (7, None, "s1")]
+    rows += [(None, f"no id{k} here", "s2") for k in range(11)] + [(None, "no id and longer", "s2"), (None, "x", None), (None, "", "s0")]
+    df = docs(spark, rows)
+    want, got, each = {}, {}, {}
+    for r in mixing.mix(df).collect():
+        unit = (r["source"], r["doc_id"], r["size"])
+        want.setdefault(unit, []).append(r["copies"])
+    for r in mixing.take(df).collect():
+        unit = (r["source"], r["doc_id"], len((r["text"] or "").split()))
+        each.setdefault(unit, {}).setdefault(r["text"], []).append(1)
+        got[unit] = got.get(unit, 0) + 1
+    assert got == {u: sum(c) for u, c in want.items() if sum(c)}
+    for unit, texts in each.items():
+        dealt = sorted(len(n) for n in texts.values())
+        assert dealt == sorted(c for c in want[unit] if c), unit
+
+
 def test_mix_empty_and_single(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     one = mixing.mix(docs(spark, [(1, "a b c", "s")])).collect()
