@@ -15,7 +15,7 @@ ranking over each query.
 Defined cases
   null vector, null or non-finite component, null id   takes no part
   vectors of different lengths   the shorter is filled with zeros
-  repeated rows                  rows with the same id and vector count once
+  repeated rows                  each is ranked, as a candidate and as a query, as in the SQL
   a query's own id               is never its candidate
   fewer than k candidates        all are returned
   empty table                    an empty result
@@ -24,6 +24,7 @@ Defined cases
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +71,7 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _pack(pivots: np.ndarray):
+def _pack(pivots: np.ndarray, k: int):
     width = pivots.shape[1]
 
     def run(group: pa.Table) -> pa.Table:
@@ -78,8 +79,15 @@ def _pack(pivots: np.ndarray):
         column = group.column("v").combine_chunks()
         vectors = _matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, width)
         ids = group.column("vec_id").to_numpy().astype(np.int64)
-        once = list({(int(i), v.tobytes()): at for at, (i, v) in enumerate(zip(ids, vectors))}.values())
-        ids, vectors = ids[once], vectors[once]
+        # equal rows share a block; no ranking has room for more than k of them
+        seen = Counter()
+        rows = []
+        for at, (i, v) in enumerate(zip(ids, vectors)):
+            row = (int(i), v.tobytes())
+            seen[row] += 1
+            if seen[row] <= k:
+                rows.append(at)
+        ids, vectors = ids[rows], vectors[rows]
         # a matrix product keeps this O(n * pivots) in memory
         squares = (vectors ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :] - 2 * vectors @ pivots.T
         far = np.sqrt(np.maximum(squares, 0))
@@ -171,7 +179,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "ve
     def blocks(part: DataFrame, count: int, size: int) -> DataFrame:
         key = F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, -(-count // size)))).cast("int")
         return part.select(key.alias("block"), "vec_id", "v").groupBy("block").applyInArrow(
-            _pack(table), "block int, ids binary, vectors binary, far binary")
+            _pack(table, k), "block int, ids binary, vectors binary, far binary")
 
     x = scratch.write(blocks(rows, n, BLOCK), "blocks")
     q = scratch.write(blocks(rows.where("is_query"), n_queries, QUERY_BLOCK), "query_blocks")
@@ -181,5 +189,5 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "ve
     found = (asked.join(x, "block").sortWithinPartitions("q_block")
              .mapInArrow(_search(k, width, len(table)), "query_id long, vec_id long, score long"))
     ranks = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return (found.distinct().withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -2,10 +2,11 @@
 
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from deficit_engine.llm import exact_topk
+from deficit_engine.llm import exact_topk, oracle
 
 
 def brute(rows, k, is_query):
@@ -46,3 +47,17 @@ def test_few_candidates_and_empty(spark):
     assert run(spark, rows, 20) == brute(rows, 20, lambda i: i % 5 == 0)
     assert run(spark, [], 20) == set()
     assert run(spark, [(5, [1.0])], 20) == set()
+
+
+def test_repeated_rows_as_in_sql(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK", 16)
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 4)
+    draw = random.Random(9)
+    rows = [(i, [draw.choice([-0.5, 0.25, 1.0]) for _ in range(4)]) for i in range(70)]
+    rows += [rows[3]] * 30 + [rows[11]] * 4 + [rows[20]] * 2 + [rows[40]] * 25 + [(60, [1.0, 0.25, 1.0, -0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, exact_topk.top_k(df, F.col("vec_id") % 20 == 0, k=20).collect()))
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", [list(r) for r in rows])
+    assert got == sorted(con.execute(oracle.OP4).fetchall())
