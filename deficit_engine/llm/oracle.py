@@ -63,4 +63,24 @@ left join up on up.conv_id = m.conv_id and up.turn = m.turn
 left join root on root.conv_id = m.conv_id and root.turn = m.turn
 """
 
-ORACLE = {"op4_exact_topk": OP4, "op5_exact_dedup": OP5, "op8_chat_format": OP8}
+OP12 = """
+with e as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+a as (select *, row_number() over (order by vec_id) as a from (select distinct * from e where vec_id % 100 = 0)),
+s as (
+    select a.a, a.vec_id as anchor_id, a.label = e.label as same, e.vec_id, list_inner_product(a.v, e.v)::bigint as score
+    from a join e on a.vec_id <> e.vec_id),
+p as (
+    select *, row_number() over (partition by a order by score desc, vec_id) as place from s where same
+    qualify place <= 5)
+select p.anchor_id, p.vec_id as positive_id,
+       row_number() over (partition by p.a, p.place order by s.score desc, s.vec_id)::int as rank, s.vec_id as negative_id,
+       p.score as positive_score, s.score as negative_score
+from p join s on p.a = s.a and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+qualify rank <= 10
+"""
+
+ORACLE = {"op4_exact_topk": OP4, "op5_exact_dedup": OP5, "op8_chat_format": OP8, "op12_hard_negatives": OP12}
