@@ -231,7 +231,7 @@ def own_weights() -> np.ndarray:
     w = np.zeros(N_FEATURES)
     for k, name in enumerate(KINDS):
         w[k] = w[k + len(KINDS)] = OWN_WEIGHTS[name]
-    w[-1] = -2.0
+    w[-1] = -1.0
     return w
 
 
