@@ -8,12 +8,14 @@ Plan (one pass, whatever the number of domains or lookback settings):
    Catalyst pushes it into each Parquet scan;
 3. the table of searched standard concepts is inner-joined, broadcast by
    statistics when its bytes allow: a map-side filter of the events;
-4. the surviving events are joined to the cohort on person_id - the only
-   large shuffle, which AQE splits where a person holds many events;
+4. the surviving events are joined to the cohort on person_id. Events of the
+   event store (``colocated``) lie in the cohort's buckets and are not moved;
+   others are shuffled, and AQE splits that where a person holds many events;
 5. each lookback setting (a per-row array explode, not a join) gets its
    window start; the range filter is a join residual;
-6. hits are redistributed by (person, concept), deduplicated, categories
-   re-attached from the code set, and deduplicated again.
+6. hits are redistributed by (person, concept) unless they are colocated by
+   person, deduplicated, categories re-attached from the code set, and
+   deduplicated again.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
                   unique_categories: bool = False, join_now: bool = True,
                   join_to_concept: bool = True, date_bound: bool | tuple = False,
                   windows: DataFrame | None = None, categories: DataFrame | None = None,
-                  tag: str | None = None,
+                  tag: str | None = None, colocated: bool = False,
                   chronic_value: int = CHRONIC_LOOKBACK_CODE) -> DataFrame:
     """Code-list hits of cohort members inside their lookback windows.
 
@@ -141,6 +143,9 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     apart (a union of index code lists): all indices are then searched in
     the same pass, categories attach only within their own index, and the
     output carries the tag.
+
+    ``colocated``: events and cohort are bucketed alike by person, and no
+    person holds many events; nothing is redistributed.
     """
     keep = list(keep)
     settings = list(lookbacks) if lookbacks else [(acute, chronic)]
@@ -186,7 +191,8 @@ def find_deficits(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     hits = (joined.withColumn("person_start_date", start)
             .filter((F.col("start_date") >= F.col("person_start_date"))
                     & (F.col("start_date") <= F.col("person_end_date"))))
-    hits = redistribute(hits, ["person_id", "concept_id"])
+    if not colocated:
+        hits = redistribute(hits, ["person_id", "concept_id"])
 
     if not join_now:
         return (hits.select("domain", "person_id", *keep, "concept_id",
@@ -233,7 +239,8 @@ def deficit_rows(hits: DataFrame, keep: Sequence[str] = ("age_group", "is_female
 
 
 def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
-                       source_codes: DataFrame, *, date_bound: bool | tuple = False) -> DataFrame:
+                       source_codes: DataFrame, *, date_bound: bool | tuple = False,
+                       colocated: bool = False) -> DataFrame:
     """Events whose *source value* is in a source-code list.
 
     ``events`` from ``domain_events(..., with_source=True)``; ``source_codes``
@@ -250,7 +257,7 @@ def source_code_search(events: DataFrame, cohort: DataFrame, concept: DataFrame,
     hits = (events.join(ct, "source_value").join(pid, "person_id")
             .filter((F.col("start_date") >= F.col("person_start_date"))
                     & (F.col("start_date") <= F.col("person_end_date"))))
-    rows = (redistribute(hits, ["person_id", "concept_id"])
+    rows = ((hits if colocated else redistribute(hits, ["person_id", "concept_id"]))
             .select("domain", "person_id", "age_group", "is_female", "concept_id", "start_date",
                     "deficit", "source_value", "person_start_date", "person_end_date").distinct())
     names = concept.select("concept_id", "concept_name", "vocabulary_id")

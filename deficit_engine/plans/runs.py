@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from deficit_engine.constants import EFI, POLYPHARMACY_THRESHOLD, VAFI
 from deficit_engine.operators import drugs, report, scoring
 from deficit_engine.plans.context import COHORTS, STANDARD_WINDOWS, RunContext, context
-from deficit_engine.sources.io import write_report
+from deficit_engine.sources.io import read_code_list, write_report
 
 
 def run_indices(spark: SparkSession, sf_dir: str | None, out_dir: str, *, source: str = "fixture",
@@ -54,7 +54,7 @@ def main(argv=None) -> None:
     """``python -m deficit_engine.plans.runs (--input DIR | --omop DIR | --schema NAME) --out DIR``"""
     import argparse
     from deficit_engine.session import get_session
-    from deficit_engine.sources.omop import load_folder, load_schema
+    from deficit_engine.sources.omop import event_inputs, load_folder, load_schema
     ap = argparse.ArgumentParser(description="Run VAFI / EFI indices and write the reports")
     given = ap.add_mutually_exclusive_group(required=True)
     given.add_argument("--input", help="folder with the driver's parquet tables, projected to OMOP")
@@ -63,13 +63,19 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True, help="output folder for the CSV reports")
     ap.add_argument("--source", default="fixture", help="data source label in file names")
     ap.add_argument("--date", default=None, help="run date in file names (default today)")
+    ap.add_argument("--code-list", action="append", default=[], metavar="INDEX=PATH",
+                    help="code list of one index, as CSV (category, concept_id, score in the declared order) or Parquet")
     ap.add_argument("--cohort", action="append", choices=sorted(COHORTS), help="cohort (default claims)")
     args = ap.parse_args(argv)
     spark = get_session()
-    run = None
+    lists = {fi: read_code_list(spark, path) for fi, _, path in (x.partition("=") for x in args.code_list)}
     if args.omop or args.schema:
         tables, inputs = load_folder(spark, args.omop) if args.omop else load_schema(spark, args.schema)
-        run = RunContext.from_tables(spark, tables, inputs)
+        years = event_inputs(spark, args.omop) if args.omop else None
+        # event tables in year folders: what an earlier run made is brought up to date
+        run = RunContext.from_tables(spark, tables, inputs, code_lists=lists, event_inputs=years, home=args.omop if years else None)
+    else:
+        run = RunContext(spark, args.input, code_lists=lists) if lists else None
     for p in run_indices(spark, args.input, args.out, source=args.source, run_date=args.date,
                          cohorts=args.cohort or ("claims",), run=run):
         print(p)

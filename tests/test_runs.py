@@ -68,7 +68,7 @@ def test_seed_and_replaced_input_make_new_tables(spark, tmp_path):
     from deficit_engine.sources.fixtures import INPUTS
     from tests.conftest import SF_MED
     for n in INPUTS:
-        shutil.copy(f"{SF_SMALL}/{n}.parquet", tmp_path)
+        shutil.copyfile(f"{SF_SMALL}/{n}.parquet", tmp_path / f"{n}.parquet")
     rows = lambda c: sorted(map(tuple, c.deficits("vafi", 1, 1).collect()))
     folder = f"file://{tmp_path}"
     first = rows(RunContext(spark, folder))
@@ -78,7 +78,7 @@ def test_seed_and_replaced_input_make_new_tables(spark, tmp_path):
     assert first == rows(RunContext(spark, folder))
     assert RunContext(spark, folder).in_window().count() == RunContext(spark, folder, run_id="fresh").in_window().count()
     for n in INPUTS:
-        shutil.copy(f"{SF_MED}/{n}.parquet", tmp_path)
+        shutil.copyfile(f"{SF_MED}/{n}.parquet", tmp_path / f"{n}.parquet")
     assert RunContext(spark, folder).cohort.count() > 5 * 90
 
 
