@@ -18,6 +18,7 @@ CHRONIC_LOOKBACK_CODE = 3           # lookback value marking a chronic category
 ANTIBIOTIC_ANCESTOR_ID = 21602796   # ancestor concept of excluded ingredients
 EXCLUSION_AS_OF = "2024-07-15"      # validity date for the exclusion set
 POLYPHARMACY_THRESHOLD = 10
+PERSISTENCE_DAYS = 30               # longest gap inside a drug era
 POLYPHARMACY_CATEGORY = "Polypharmacy"
 SUPPRESS_BELOW = 20                 # small-cell suppression threshold
 VAFI = {"denominator": 31, "lb": 0.10, "ub": 0.20}

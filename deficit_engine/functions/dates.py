@@ -24,5 +24,7 @@ def add_years(c, years) -> Column:
 
 
 def completed_years(start, end) -> Column:
-    """Whole years from ``start`` to ``end`` (age on a date)."""
-    return F.floor(F.months_between(_col(end), _col(start)) / F.lit(12)).cast("int")
+    """Whole years from ``start`` to ``end`` (age on a date) by calendar fields."""
+    def ymd(c):
+        return F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c)
+    return F.floor((ymd(_col(end)) - ymd(_col(start))) / F.lit(10000)).cast("int")

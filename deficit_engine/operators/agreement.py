@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deficit_engine.functions.special import f_quantile, f_upper_tail
+
 
 def method_totals(hits_x: DataFrame, hits_y: DataFrame) -> DataFrame:
     """sum(score) per category for each method, left-joined on category.
@@ -66,6 +68,22 @@ def icc_oneway(long: DataFrame, subject: str = "category", rater: str = "rater",
         (F.col("n") * (k - 1)).cast("long").alias("df2"))
 
 
+def icc_inference(icc: DataFrame, level: float = 0.95) -> DataFrame:
+    """F test of ICC(1) = 0 against > 0, and the interval of the population ICC.
+
+    ``icc``: output of :func:`icc_oneway`. p_value is the upper tail of F(df1,
+    df2); with F_low = f / q(df1, df2) and F_high = f * q(df2, df1), q the
+    (1 + level) / 2 quantile, the limits are (F - 1) / (F + k - 1). A perfect
+    agreement (no f_value) gives NULLs. Adds p_value, icc_low, icc_high.
+    """
+    df1, df2, f = F.col("df1").cast("double"), F.col("df2").cast("double"), F.col("f_value")
+    limit = lambda x: F.try_divide(x - 1, x + F.col("k") - 1)
+    upper = (1 + level) / 2
+    return (icc.withColumn("p_value", f_upper_tail(f, df1, df2))
+            .withColumn("icc_low", limit(f / f_quantile(upper, df1, df2)))
+            .withColumn("icc_high", limit(f * f_quantile(upper, df2, df1))))
+
+
 def method_correlation(totals: DataFrame, exclude: str | None = None,
                        x: str = "sum_score_x", y: str = "sum_score_y") -> DataFrame:
     """Pearson correlation over complete pairs, optionally without one category."""

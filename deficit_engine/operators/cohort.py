@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from deficit_engine.constants import (
     AGE_BREAKS_CLAIMS, AGE_BREAKS_RESEARCH, BASICS_SURVEY, IMPUTE_BIRTH_YEAR_BEFORE,
     IMPUTED_AGE, MALE_CONCEPT_ID, MALE_TEXT, MIN_AGE, MIN_HISTORY_DAYS)
-from deficit_engine.functions.dates import add_years
+from deficit_engine.functions.dates import add_years, completed_years
 from deficit_engine.functions.expr import age_band, flag_unless_equal, if_else
 
 
@@ -29,20 +29,24 @@ def random_visit_key(person_id, visit_id, seed) -> F.Column:
                              F.col(visit_id).cast("string"), F.lit(str(seed))))
 
 
-def random_index_visit(person: DataFrame, visit: DataFrame, seed: int = 42) -> DataFrame:
-    """A1: one random visit per person as ``index_date``.
-
-    Output: person_id, index_date, year_of_birth, gender_concept_id.
-    """
+def index_dates(visit: DataFrame, seed: int = 42) -> DataFrame:
+    """(person_id, index_date): the date of one random visit per person."""
     pick = (visit.select("person_id", "visit_occurrence_id", "visit_start_date")
             .groupBy("person_id")
             .agg(F.min(F.struct(random_visit_key("person_id", "visit_occurrence_id", seed).alias("k"),
                                 F.col("visit_occurrence_id").alias("v"),
                                 F.col("visit_start_date").alias("d"))).alias("m")))
+    return pick.select("person_id", F.col("m.d").alias("index_date"))
+
+
+def random_index_visit(person: DataFrame, visit: DataFrame, seed: int = 42) -> DataFrame:
+    """A1: one random visit per person as ``index_date``.
+
+    Output: person_id, index_date, year_of_birth, gender_concept_id.
+    """
     return (person.select("person_id", "year_of_birth", "gender_concept_id")
-            .join(pick, "person_id")
-            .select("person_id", F.col("m.d").alias("index_date"), "year_of_birth",
-                    "gender_concept_id"))
+            .join(index_dates(visit, seed), "person_id")
+            .select("person_id", "index_date", "year_of_birth", "gender_concept_id"))
 
 
 def require_history(index: DataFrame, observation_period: DataFrame,
@@ -70,22 +74,50 @@ def build_cohort(person: DataFrame, visit: DataFrame, observation_period: DataFr
     return derive_age(require_history(random_index_visit(person, visit, seed), observation_period))
 
 
-def attrition(person: DataFrame, visit: DataFrame, observation_period: DataFrame,
-              seed: int = 42) -> DataFrame:
-    """A4: persons remaining at each cohort stage (stage, label, n)."""
-    idx = random_index_visit(person, visit, seed)
-    hist = require_history(idx, observation_period)
-    aged = derive_age(hist)
+def stage_bits(person: DataFrame, visit: DataFrame, observation_period: DataFrame, seed: int = 42,
+               days: int = MIN_HISTORY_DAYS, min_age: int = MIN_AGE) -> DataFrame:
+    """One row per person: person_id, n (rows of the person table) and bits, the
+    set of cohort stages that the person reaches (bit k: ``STAGES[k + 1]``).
+
+    Each table is read once. A person has the history if the earliest
+    observation period starts early enough, so periods are reduced to that.
+    """
+    pick = index_dates(visit, seed).select("person_id", "index_date", F.lit(1).alias("seen"))
+    periods = observation_period.groupBy("person_id").agg(F.min("observation_period_start_date").alias("since"))
+    history = F.datediff("index_date", "since") >= days
+    old = F.year("index_date") - F.col("year_of_birth") >= min_age
+    bit = lambda k, reached: F.when(reached, 1 << k).otherwise(0)
+    bits = (bit(0, F.col("seen").isNotNull()).bitwiseOR(bit(1, F.col("seen").isNotNull() & history))
+            .bitwiseOR(bit(2, F.col("seen").isNotNull() & history & old)))
+    return (person.select("person_id", "year_of_birth").join(pick, "person_id", "left").join(periods, "person_id", "left")
+            .groupBy("person_id").agg(F.count(F.lit(1)).alias("n"), F.bit_or(bits).alias("bits")))
+
+
+def merge_stage_bits(*parts: DataFrame) -> DataFrame:
+    """Stage sets of several inputs (e.g. sites that share persons) as one."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("person_id").agg(F.max("n").alias("n"), F.bit_or("bits").alias("bits"))
+
+
+STAGES = ("persons", "with a visit", "with history", "age eligible")
 
-    def stage(i: int, label: str, df: DataFrame, distinct: bool) -> DataFrame:
-        n = F.countDistinct("person_id") if distinct else F.count(F.lit(1))
-        return df.agg(n.cast("long").alias("n")).select(
-            F.lit(i).alias("stage"), F.lit(label).alias("label"), "n")
 
-    return (stage(1, "persons", person, False)
-            .unionByName(stage(2, "with a visit", idx, True))
-            .unionByName(stage(3, "with history", hist, True))
-            .unionByName(stage(4, "age eligible", aged, True)))
+def count_stages(bits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A4 from stage sets: (by..., stage, label, n)."""
+    reached = [F.sum("n"), *(F.count_if(F.col("person_id").isNotNull() & (F.col("bits").bitwiseAND(1 << k) != 0)) for k in range(len(STAGES) - 1))]
+    one = bits.groupBy(*by).agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(f"n{k}") for k, c in enumerate(reached)])
+    rows = F.array(*[F.struct(F.lit(k + 1).alias("stage"), F.lit(label).alias("label"), F.col(f"n{k}").alias("n"))
+                     for k, label in enumerate(STAGES)])
+    return one.select(*by, F.inline(rows))
+
+
+def attrition(person: DataFrame, visit: DataFrame, observation_period: DataFrame,
+              seed: int = 42) -> DataFrame:
+    """A4: persons remaining at each cohort stage (stage, label, n), from one
+    pass over the tables."""
+    return count_stages(stage_bits(person, visit, observation_period, seed))
 
 
 def attrition_exclusions(counts: DataFrame) -> DataFrame:
@@ -111,16 +143,12 @@ def clean_cohort(cohort: DataFrame, breaks: Sequence[int] = AGE_BREAKS_CLAIMS) -
                  age_band("age", breaks).alias("age_group"),
                  add_years("index_date", -1).alias("visit_lookback_date"),
                  "index_date", "yob_imputed"))
-    first = c.groupBy("person_id").agg(F.min("index_date").alias("index_date"))
-    return c.join(first, ["person_id", "index_date"], "left_semi").distinct()
-
-
-def completed_years_int(start, end) -> F.Column:
-    """Whole years between two dates by calendar fields (``yyyymmdd`` difference)."""
-    def ymd(c):
-        c = F.col(c) if isinstance(c, str) else c
-        return F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c)
-    return F.floor((ymd(end) - ymd(start)) / F.lit(10000)).cast("int")
+    # the few distinct rows of each index date, then those of a person's least date
+    rest = [x for x in c.columns if x not in ("person_id", "index_date")]
+    dates = c.groupBy("person_id", "index_date").agg(F.collect_set(F.struct(*rest)).alias("rows"))
+    first = (dates.where(F.col("person_id").isNotNull() & F.col("index_date").isNotNull())
+             .groupBy("person_id").agg(F.min("index_date").alias("index_date"), F.min_by("rows", "index_date").alias("rows")))
+    return first.select("person_id", "index_date", F.inline("rows")).select(*c.columns)
 
 
 def survey_cohort_stages(ds_survey: DataFrame, cb_search_person: DataFrame,
@@ -138,7 +166,7 @@ def survey_cohort_stages(ds_survey: DataFrame, cb_search_person: DataFrame,
                 .select("person_id", "sex_at_birth", "dob", "survey_date",
                         "observation_period_start_date", "observation_period_end_date")
                 .withColumn("index_date", add_years("survey_date", 1))
-                .withColumn("age", completed_years_int("dob", "index_date"))
+                .withColumn("age", completed_years("dob", "index_date"))
                 .filter((F.col("index_date") < F.col("observation_period_end_date"))
                         & (F.col("survey_date") > F.col("observation_period_start_date"))))
     aged = observed.filter(F.col("age") >= MIN_AGE)
@@ -166,15 +194,17 @@ def survey_attrition(ds_survey: DataFrame, cb_search_person: DataFrame,
                      observation_period: DataFrame) -> DataFrame:
     """A4 for the survey cohort: (stage, label, n)."""
     st = survey_cohort_stages(ds_survey, cb_search_person, observation_period)
-    rows = [(1, "surveyed", st["surveyed"]), (2, "participants", st["participants"]),
-            (3, "with ehr", st["ehr"]), (4, "observed", st["observed"]),
-            (5, "age eligible", st["aged"])]
-    out = None
-    for i, label, df in rows:
-        one = df.agg(F.count(F.lit(1)).cast("long").alias("n")).select(
-            F.lit(i).alias("stage"), F.lit(label).alias("label"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    surveyed = st["surveyed"].select(F.count(F.lit(1))).scalar()
+    # participants and those with records come from one aggregate, the last two stages from another
+    people = (cb_search_person.groupBy("person_id", "sex_at_birth", "dob")
+              .agg(F.count(F.lit(1)).alias("n"), F.max((F.col("has_ehr_data") == 1).cast("int")).alias("ehr"))
+              .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n2"), F.count_if(F.col("ehr") == 1).alias("n3")))
+    last = st["observed"].agg(F.count(F.lit(1)).alias("n4"), F.count_if(F.col("age") >= MIN_AGE).alias("n5"))
+    counted = people.select("n2", "n3", last.select(F.struct("n4", "n5")).scalar().alias("l"))
+    rows = F.array(*[F.struct(F.lit(i).alias("stage"), F.lit(label).alias("label"), n.cast("long").alias("n")) for i, label, n in (
+        (1, "surveyed", surveyed), (2, "participants", F.col("n2")), (3, "with ehr", F.col("n3")),
+        (4, "observed", F.col("l.n4")), (5, "age eligible", F.col("l.n5")))])
+    return counted.select(F.inline(rows))
 
 
 def enrich_race_ethnicity(cohort: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:

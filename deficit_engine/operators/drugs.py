@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deficit_engine.constants import (
     ANTIBIOTIC_ANCESTOR_ID, DECILE_PROBS, EXCLUSION_AS_OF, POLYPHARMACY_CATEGORY,
-    POLYPHARMACY_THRESHOLD)
+    PERSISTENCE_DAYS, POLYPHARMACY_THRESHOLD)
 from deficit_engine.functions.dates import add_years
 from deficit_engine.functions.expr import if_else
 from deficit_engine.operators.codes import ancestor_exclusion_set, ingredient_descendants
@@ -50,21 +50,70 @@ def rebuild_drug_era(drug_exposure: DataFrame, concept: DataFrame, concept_ances
         "drug_exposure_end_date", "days_supply")
 
 
+def _islands(spans: DataFrame, within: Sequence[str], days: int) -> DataFrame:
+    """Merge spans (start, end, n, gap) whose start is at most ``days`` after the
+    latest end before it, per ``within``."""
+    before = F.max("end").over(Window.partitionBy(*within).orderBy("start", "end")
+                               .rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.datediff("start", "before"), F.lit(0))
+    seen = spans.withColumn("before", before)
+    # the distance to what came before is a gap inside the island, unless the island starts here
+    seen = seen.withColumn("new", (F.col("before").isNull() | (apart > days)).cast("int")) \
+        .withColumn("inner", F.when(F.col("new") == 0, F.greatest(apart, F.lit(0))).otherwise(0))
+    island = F.sum("new").over(Window.partitionBy(*within).orderBy("start", "end"))
+    return (seen.withColumn("island", island).groupBy(*within, "island")
+            .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"),
+                 F.sum(F.col("gap") + F.col("inner")).alias("gap"))
+            .drop("island"))
+
+
+def build_drug_eras(exposures: DataFrame, *, item: str = "ingredient_concept_id",
+                    start: str = "drug_exposure_start_date", end: str = "drug_exposure_end_date",
+                    persistence: int = PERSISTENCE_DAYS) -> DataFrame:
+    """Drug eras: exposures of one person to one item, merged while the next
+    starts at most ``persistence`` days after the latest end so far.
+
+    The days that exposures cover may be united in any grouping, so that is done
+    twice: first inside a year of start dates, then over what is left of all
+    years, where a span still open at the year's end meets the next ones. Spans
+    that are apart by no more than ``persistence`` days then make an era. A person
+    with a third of all exposures is spread over (item, year), after exposures
+    that start on one day were reduced to the longest of them before any shuffle.
+
+    An end before its start counts as the start; rows without a person, item
+    or start are left out. Output: person_id, ``item``, drug_era_start_date,
+    drug_era_end_date, drug_exposure_count, gap_days (days of the era between
+    exposures).
+    """
+    spans = (exposures.where(F.col("person_id").isNotNull() & F.col(item).isNotNull() & F.col(start).isNotNull())
+             .groupBy("person_id", item, F.col(start).alias("start"))
+             .agg(F.greatest(F.max(end), F.col("start")).alias("end"), F.count(F.lit(1)).alias("n"))
+             .withColumn("gap", F.lit(0).cast("long")))
+    yearly = _islands(spans.withColumn("year", F.year("start")), ["person_id", item, "year"], 0)
+    eras = _islands(_islands(yearly.drop("year"), ["person_id", item], 0), ["person_id", item], persistence)
+    return eras.select("person_id", item, F.col("start").alias("drug_era_start_date"), F.col("end").alias("drug_era_end_date"),
+                       F.col("n").cast("long").alias("drug_exposure_count"), F.col("gap").cast("long").alias("gap_days"))
+
+
 def exposures_in_window(era: DataFrame, cohort: DataFrame, *, item: str = "ingredient_concept_id",
                         start: str = "drug_exposure_start_date", end: str = "drug_exposure_end_date",
                         duration_from: str = "start", min_days: int = 1, strict: bool = False,
-                        latest: object | None = None) -> DataFrame:
+                        latest: object | None = None, earliest: object | None = None) -> DataFrame:
     """Exposures starting or ending in [index - 1 year, index].
 
     An exposure that only spans the window does not qualify. The duration is
     end - start (``duration_from="start"``) or end - window start
     (``"window_start"``); it must be >= ``min_days`` (> with ``strict``).
-    ``latest``: the cohort's last index date. No exposure that starts after it
-    can qualify under a positive duration, so the scan is cut there; its end
-    side stays exact. Output: person_id, ``item``, start, end.
+    ``latest``, ``earliest``: the cohort's last index date and first window
+    start. Under a positive duration no exposure that starts after the one or
+    ends before the other can qualify, so the scan is cut there; each person's
+    own window stays exact. Output: person_id, ``item``, start, end.
     """
-    if latest is not None and duration_from == "start" and min_days >= 0:
-        era = era.filter(F.col(start) <= F.lit(latest))
+    if duration_from == "start" and min_days >= 0:
+        if latest is not None:
+            era = era.filter(F.col(start) <= F.lit(latest))
+        if earliest is not None:
+            era = era.filter(F.col(end) >= F.lit(earliest))
     pid = cohort.select("person_id", F.col("visit_lookback_date").alias("person_start_date"),
                         F.col("index_date").alias("person_end_date"))
     j = era.select("person_id", item, start, end).join(pid, "person_id")

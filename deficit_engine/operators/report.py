@@ -99,6 +99,42 @@ def suppress_band_cells(summary: DataFrame, min_count: int = SUPPRESS_BELOW) ->
     return out
 
 
+def complementary_cells(cells: Column, min_count: int = SUPPRESS_BELOW) -> Column:
+    """Which counts of an array are hidden, as an array of booleans, when their sum is published.
+
+    Counts from 1 to ``min_count`` - 1 are hidden. If that hides a single one, it
+    could be found from the sum and the others, so the smallest other count is
+    hidden too: the cheapest set, as any second cell does. Where all the
+    others are 0 (or there are none), the sum itself tells the count; then
+    everything is hidden, and so must the sum be (see ``hide_total``).
+    """
+    small = F.transform(cells, lambda n: (n > 0) & (n < min_count))
+    n_small = F.size(F.filter(small, lambda s: s))
+    # the smallest count that is not small; of equal ones the first
+    other = F.array_min(F.filter(cells, lambda n: n >= min_count))
+    at = F.array_position(cells, other) - 1
+    paired = F.transform(small, lambda s, i: s | (i == at))
+    return F.when(n_small != 1, small).when(other.isNotNull(), paired).otherwise(F.transform(cells, lambda n: F.lit(True)))
+
+
+def hide_total(cells: Column, min_count: int = SUPPRESS_BELOW) -> Column:
+    """Whether the published sum would tell a hidden count."""
+    return (F.size(F.filter(cells, lambda n: (n > 0) & (n < min_count))) == 1) & (F.size(F.filter(cells, lambda n: n >= min_count)) == 0)
+
+
+def suppress_bands_complementary(summary: DataFrame, min_count: int = SUPPRESS_BELOW) -> DataFrame:
+    """E6 with complementary suppression for band summaries: hidden counts and
+    their fractions are NULL, and no hidden count can be solved for from N and
+    the rest of its row. N is NULL where it would tell one."""
+    bands = ("prefrail", "frail", "robust")
+    cells = F.array(*[F.col(f"n_{b}") for b in bands])
+    out = summary.withColumn("__hidden", complementary_cells(cells, min_count)).withColumn("__total", hide_total(cells, min_count))
+    return out.select(
+        *STRATA, F.when(~F.col("__total"), F.col("N")).alias("N"),
+        *[F.when(~F.col("__hidden")[k], F.col(f"n_{b}")).alias(f"n_{b}") for k, b in enumerate(bands)],
+        *[F.when(~F.col("__hidden")[k], F.col(b)).alias(b) for k, b in enumerate(bands)])
+
+
 def age_lower(c: str = "age_group") -> Column:
     """Lower bound of an ``[lo,hi)`` label, for numeric ordering."""
     return F.regexp_extract(F.col(c), r"^\[(\d+)", 1).cast("int")

@@ -20,6 +20,7 @@ import hashlib
 import pathlib
 import threading
 from collections.abc import Mapping
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -285,6 +286,12 @@ class RunContext:
         return self._memo(("source_events",), build)
 
     # --- drugs ---------------------------------------------------------------
+    def exposure_bounds(self, of: str = "claims") -> dict:
+        """Dates outside which no exposure is in a one-year window of the cohort. A
+        window may start a day before the lookback date (29 February)."""
+        lo, hi = self.date_range(1, of)
+        return {"earliest": lo - timedelta(days=1), "latest": hi} if lo else {}
+
     def ingredient_map(self) -> DataFrame:
         return self._memo(("ing",), lambda: self._keep(
             codes.ingredient_descendants(self.t.concept, self.t.concept_ancestor), "ingredient_map"))
@@ -308,7 +315,7 @@ class RunContext:
         rule = COHORTS[of]
         return self._memo(("in_window", strict_supply, of), lambda: self._keep(
             drugs.exposures_in_window(self.drug_era(strict_supply), self.cohort_of(of), duration_from=rule,
-                                      latest=self.date_range(1, of)[1]),
+                                      **self.exposure_bounds(of)),
             f"drug_in_window_{of}_{int(strict_supply)}"))
 
 

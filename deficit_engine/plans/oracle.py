@@ -414,6 +414,40 @@ SELECT person_id, count(*) AS n
 FROM (SELECT DISTINCT person_id, ingredient_concept_id FROM o_win) d GROUP BY person_id""")
 
 
+def built(exposures: str) -> str:
+    """Eras by gaps and islands over all exposures of a (person, ingredient) at once."""
+    key = "PARTITION BY person_id, ingredient_concept_id ORDER BY s, e, drug_exposure_id"
+    return f"""
+SELECT person_id, ingredient_concept_id, min(s) AS drug_era_start_date, max(e) AS drug_era_end_date,
+       count(*) AS drug_exposure_count, CAST(sum(gap) AS BIGINT) AS gap_days
+FROM (SELECT *, sum(is_new) OVER ({key} ROWS UNBOUNDED PRECEDING) AS island,
+             CASE WHEN is_new = 0 THEN greatest(date_diff('day', before, s), 0) ELSE 0 END AS gap
+      FROM (SELECT *, CASE WHEN before IS NULL OR date_diff('day', before, s) > 30 THEN 1 ELSE 0 END AS is_new
+            FROM (SELECT *, max(e) OVER ({key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+                  FROM (SELECT person_id, ingredient_concept_id, drug_exposure_id, drug_exposure_start_date AS s,
+                               greatest(drug_exposure_start_date, drug_exposure_end_date) AS e FROM {exposures}) a) b) c) d
+GROUP BY person_id, ingredient_concept_id, island"""
+
+
+cte("o_built", built("o_era"))
+cte("o_era_all", """
+SELECT d.drug_exposure_id, d.person_id, i.b + 1000000 AS ingredient_concept_id, d.drug_exposure_start_date,
+       CASE WHEN d.drug_exposure_end_date IS NOT NULL THEN d.drug_exposure_end_date
+            WHEN d.days_supply > 0 THEN d.drug_exposure_start_date + d.days_supply
+            ELSE d.drug_exposure_start_date + 1 END AS drug_exposure_end_date
+FROM drug_exposure d
+JOIN concept_ancestor a ON d.drug_concept_id = a.descendant_concept_id
+JOIN ingredient i ON a.ancestor_concept_id = i.b + 1000000
+WHERE d.drug_concept_id <> 0 AND (d.days_supply >= 0 OR d.days_supply IS NULL)""")
+cte("o_built_all", built("o_era_all"))
+cte("o_win_built", """
+SELECT d.person_id, d.ingredient_concept_id
+FROM o_built_all d JOIN o_clean c ON d.person_id = c.person_id
+WHERE ((d.drug_era_start_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DATE) AND d.drug_era_start_date <= c.index_date)
+    OR (d.drug_era_end_date >= CAST(c.index_date - INTERVAL 1 YEAR AS DATE) AND d.drug_era_end_date <= c.index_date))
+  AND date_diff('day', d.drug_era_start_date, d.drug_era_end_date) > 1""")
+
+
 def poly(win: str, threshold: int, item: str = "ingredient_concept_id", cohort_: str = "o_clean") -> str:
     name = f"o_poly_{win}_{threshold}"
     if name not in CTES:
@@ -471,6 +505,36 @@ SELECT n, msb, msw FROM (
         FROM o_tot WHERE sum_score_x IS NOT NULL AND sum_score_y IS NOT NULL AND category <> 'Brand#1') d) s""")
 
 
+def ibeta(x: str, a: str, b: str) -> str:
+    """Regularised incomplete beta function by its hypergeometric series (all terms positive)."""
+    return f"""(exp({a} * ln({x}) + {b} * ln(1 - ({x})) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / {a}
+ * list_sum(list_transform(range(0, 4000), lambda i: exp(lgamma({a} + {b} + i) - lgamma({a} + {b})
+                                                   - lgamma({a} + 1 + i) + lgamma({a} + 1) + i * ln({x})))))"""
+
+
+def fq(p: str, d1: str, d2: str) -> str:
+    """F quantile: the binary digits of x = d1 f / (d2 + d1 f), one after another."""
+    steps = ", ".join(["CAST(0 AS DOUBLE)", *(f"power(0.5, {k})" for k in range(1, 51))])
+    x = f"list_reduce([{steps}], lambda q, s: CASE WHEN {ibeta('(q + s)', f'({d1} / 2.0)', f'({d2} / 2.0)')} <= {p} THEN q + s ELSE q END)"
+    return f"(SELECT {d2} * x / ({d1} * (1 - x)) FROM (SELECT {x} AS x) q)"
+
+
+def pooled_report(fi: str, years: int, summary: str) -> str:
+    return f"""
+SELECT DATE '2025-08-14' AS run_date, '{fi}' AS index_name, '' AS kind, {years} AS acute, {years} AS chronic,
+       'fixture_set' AS source, CAST(sum(N) AS BIGINT) AS N, sum(n_robust) / sum(N) AS robust,
+       sum(n_prefrail) / sum(N) AS prefrail, sum(n_frail) / sum(N) AS frail
+FROM ({summary}) b"""
+
+
+def pooled_category_report(fi: str, table: str) -> str:
+    return f"""
+SELECT DATE '2025-08-14' AS run_date, '{fi}' AS index_name, 'categories' AS kind, 1 AS acute, 1 AS chronic,
+       'fixture_set' AS source, category, CAST(sum(N) AS BIGINT) AS N, sum("count") AS "count",
+       sum("count") / sum(N) AS percent
+FROM ({table}) b GROUP BY category"""
+
+
 # --- the query texts ------------------------------------------------------------------------
 V, E = "vafi", "efi"
 SCORE_1 = score(deficits(V, 1, 1), "o_clean", 31, 0.10, 0.20)
@@ -555,6 +619,8 @@ LIMIT 2""",
     "polypharmacy": f"SELECT * FROM {poly('o_win', 10)}",
     "polypharmacy_t5": f"SELECT * FROM {poly('o_win', 5)}",
     "polypharmacy_strict": f"SELECT * FROM {poly('o_win_strict', 5)}",
+    "drug_era_built": "SELECT * FROM o_built",
+    "polypharmacy_era_built": f"SELECT * FROM {poly('o_win_built', 5)}",
     "polypharmacy_era": f"SELECT * FROM {poly('o_win_era', 10, 'drug_concept_id')}",
     "poly_prevalence": f"""
 SELECT score, is_female, age_group, n, total, n / total AS pct FROM (
@@ -601,6 +667,32 @@ FROM o_bands_1""",
     "category_summary_efi": categories("o_efi_poly", "o_clean", unit=False, suppress=True, flag=True),
     "category_summary_efi_t5": categories("o_efi_poly_t5", "o_clean", unit=False, suppress=True, flag=True),
     "category_summary_efi_3y": categories("o_efi_poly_3y", "o_clean", unit=False, suppress=True, flag=True),
+    "report_set_pooled": " UNION ALL ".join([
+        pooled_report(V, 1, "SELECT * FROM o_bands_1"), pooled_report(V, 3, bands(SCORE_3)),
+        pooled_report(E, 1, bands(SCORE_EFI)), pooled_report(E, 3, bands(SCORE_EFI_3))]),
+    "report_set_categories": " UNION ALL ".join([
+        pooled_category_report(V, categories(deficits(V, 1, 1), "o_clean", unit=True, suppress=True)),
+        pooled_category_report(E, categories("o_efi_poly", "o_clean", unit=False, suppress=True, flag=True))]),
+    "band_summary_complementary": """
+SELECT age_group, is_female, CASE WHEN NOT (small = 1 AND other IS NULL) THEN N END AS N,
+       CASE WHEN NOT hp THEN n_prefrail END AS n_prefrail, CASE WHEN NOT hf THEN n_frail END AS n_frail,
+       CASE WHEN NOT hr THEN n_robust END AS n_robust, CASE WHEN NOT hp THEN prefrail END AS prefrail,
+       CASE WHEN NOT hf THEN frail END AS frail, CASE WHEN NOT hr THEN robust END AS robust
+FROM (SELECT *,
+             CASE WHEN small <> 1 THEN sp WHEN other IS NULL THEN true ELSE sp OR n_prefrail = other END AS hp,
+             CASE WHEN small <> 1 THEN sf WHEN other IS NULL THEN true ELSE sf OR (n_frail = other AND n_prefrail <> other) END AS hf,
+             CASE WHEN small <> 1 THEN sr WHEN other IS NULL THEN true
+                  ELSE sr OR (n_robust = other AND n_prefrail <> other AND n_frail <> other) END AS hr
+      FROM (SELECT *, CAST(sp AS INT) + CAST(sf AS INT) + CAST(sr AS INT) AS small,
+                   list_min(list_filter([n_prefrail, n_frail, n_robust], lambda n: n >= 20)) AS other
+            FROM (SELECT *, n_prefrail BETWEEN 1 AND 19 AS sp, n_frail BETWEEN 1 AND 19 AS sf,
+                         n_robust BETWEEN 1 AND 19 AS sr FROM o_bands_1) a) b) c""",
+    "method_icc_inference": f"""
+SELECT n, CAST(2 AS BIGINT) AS k, round(f, 6) AS f_value,
+       round(log10({ibeta('(n / (n + (n - 1) * f))', '(n / 2.0)', '((n - 1) / 2.0)')}), 6) AS log10_p,
+       round((fl - 1) / (fl + 1), 6) AS icc_low, round((fu - 1) / (fu + 1), 6) AS icc_high
+FROM (SELECT n, f, f / {fq('0.975', '(n - 1)', 'n')} AS fl, f * {fq('0.975', 'n', '(n - 1)')} AS fu
+      FROM (SELECT CAST(n AS BIGINT) AS n, msb / msw AS f FROM o_icc) a) b""",
     "percent_category": f"""
 SELECT age_group, is_female, category, coalesce(sum(score), CAST(0 AS DOUBLE)) AS n_yes,
        avg(score) AS prop_yes

@@ -16,6 +16,7 @@ from deficit_engine.constants import EFI, VAFI, VAFI_OLD
 from deficit_engine.operators import agreement, codes, cohort, drugs, events, report, scoring
 from deficit_engine.plans.context import RunContext, context
 from deficit_engine.session import checkpoint_dir
+from deficit_engine.sources import reports
 from deficit_engine.sources.io import write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +75,7 @@ def _(c: RunContext):
 def _(c: RunContext):
     """Excluded persons per stage, per source."""
     t = c.t
-    a = cohort.attrition(t.person, t.visit_occurrence, t.observation_period, c.seed)
+    a = cohort.attrition(t.person, t.visit_occurrence, t.observation_period, c.seed)   # one pass
     s = cohort.survey_attrition(t.ds_survey, t.cb_search_person, t.observation_period)
     both = (a.select(F.lit("claims").alias("source"), "stage", "n")
             .unionByName(s.select(F.lit("survey").alias("source"), "stage", "n")))
@@ -292,10 +293,27 @@ def _(c: RunContext):
     """From the drug_era table, duration > 1 day, no exclusions."""
     w = drugs.exposures_in_window(c.t.drug_era, c.cohort, item="drug_concept_id",
                                   start="drug_era_start_date", end="drug_era_end_date", strict=True,
-                                  latest=c.date_range(1)[1])
+                                  **c.exposure_bounds())
     return drugs.polypharmacy(w, c.cohort, 10, item="drug_concept_id")
 
 
+@query("drug_era_built")
+def _(c: RunContext):
+    """Drug eras of all rebuilt exposures: ingredients merged over gaps of up to 30 days."""
+    return drugs.build_drug_eras(c.drug_era())
+
+
+@query("polypharmacy_era_built")
+def _(c: RunContext):
+    """D5 on built eras: duration > 1 day, no exclusions, threshold 5."""
+    t = c.t
+    eras = drugs.build_drug_eras(drugs.rebuild_drug_era(t.drug_exposure, t.concept, t.concept_ancestor, exclude=False,
+                                                        ingredient_map=c.ingredient_map()))
+    w = drugs.exposures_in_window(eras, c.cohort, start="drug_era_start_date", end="drug_era_end_date", strict=True,
+                                  **c.exposure_bounds())
+    return drugs.polypharmacy(w, c.cohort, 5)
+
+
 @query("poly_prevalence")
 def _(c: RunContext):
     """Polypharmacy (>= 5) share per stratum."""
@@ -482,6 +500,42 @@ def _(c: RunContext):
     return c.spark.read.csv(path, header=True, schema=df.schema, nullValue="NA")
 
 
+def _written_reports(c: RunContext) -> str:
+    """Folder with the band and category reports of both indices and windows.
+    One band report has the header of older files (``n``)."""
+    out = f"{checkpoint_dir(c.spark)}/tables/{c.tag}/report-set"
+    poly = drugs.polypharmacy(_in_window(c), c.cohort, 10)
+    for fi, spec, unit in (("vafi", VAFI, True), ("efi", EFI, False)):
+        for years in (1, 3):
+            hits = c.deficits(fi, years, years)
+            if fi == "efi":
+                hits = drugs.add_polypharmacy(hits, poly)
+            name = dict(index=fi, acute=years, chronic=years, source="fixture_set", run_date="2025-08-14")
+            bands = report.summarize_bands(scoring.score_with_robust(hits, c.cohort, spec["denominator"], spec["lb"], spec["ub"]))
+            write_report(bands.withColumnRenamed("N", "n") if years == 3 else bands, out, **name)
+            if years == 1:
+                write_report(report.category_report(hits, c.cohort, c.category_names(fi), unit_score=unit), out, kind="categories", **name)
+    return out
+
+
+@query("report_set_pooled")
+def _(c: RunContext):
+    """Source: a set of written band reports read back and pooled over the strata."""
+    return reports.pooled_bands(reports.read_band_reports(c.spark, _written_reports(c)))
+
+
+@query("report_set_categories")
+def _(c: RunContext):
+    """Source: the written category reports read back, pooled by run and category."""
+    return reports.pooled_categories(reports.read_category_reports(c.spark, _written_reports(c)))
+
+
+@query("band_summary_complementary")
+def _(c: RunContext):
+    """E3 + E6 with complementary suppression: no hidden count follows from N and the others."""
+    return report.suppress_bands_complementary(report.summarize_bands(_scores(c, 1, 1)))
+
+
 @query("percent_category")
 def _(c: RunContext):
     """E5: share with a hit in one category."""
@@ -545,6 +599,14 @@ def _(c: RunContext):
     return _icc(_totals(c).filter(F.col("category") != CORR_EXCLUDE))
 
 
+@query("method_icc_inference")
+def _(c: RunContext):
+    """P-value of F and the 95 % interval of the ICC."""
+    r = agreement.icc_inference(agreement.icc_oneway(agreement.to_long(_totals(c)), k=2))
+    return r.select("n", "k", F.round("f_value", 6).alias("f_value"), F.round(F.log10("p_value"), 6).alias("log10_p"),
+                    F.round("icc_low", 6).alias("icc_low"), F.round("icc_high", 6).alias("icc_high"))
+
+
 @query("method_corr")
 def _(c: RunContext):
     """Pearson correlation of totals, all and without one category."""

@@ -64,3 +64,31 @@ def test_attrition_is_monotone(spark):
     n = [r.n for r in cohort.attrition(t.person, t.visit_occurrence, t.observation_period)
          .orderBy("stage").collect()]
     assert n == sorted(n, reverse=True) and n[-1] == 90
+
+
+def test_attrition_reads_each_table_once(spark):
+    from deficit_engine.plans.context import context
+    from tests.conftest import SF_SMALL
+    t = context(spark, SF_SMALL).t
+    plan = cohort.attrition(t.person, t.visit_occurrence, t.observation_period)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3
+
+
+def test_attrition_counts_rows_and_persons(spark):
+    person, visit, op = _tables(spark)
+    # a person listed twice, one without visits, a null id, two periods of which one is early enough
+    person = person.unionByName(spark.createDataFrame([(3, 1950, 0, 1, 1), (9, 1950, 0, 1, 1), (None, 1950, 0, 1, 1)], person.schema))
+    op = op.unionByName(spark.createDataFrame([(1, D(2013, 1, 1), D(2013, 6, 1))], op.schema))
+    got = {r.label: (r.stage, r.n) for r in cohort.attrition(person, visit, op).collect()}
+    assert got == {"persons": (1, 7), "with a visit": (2, 4), "with history": (3, 4), "age eligible": (4, 3)}
+    empty = cohort.attrition(person.limit(0), visit, op).collect()
+    assert [r.n for r in empty] == [0, 0, 0, 0]
+
+
+def test_stage_sets_of_two_sites_merge(spark):
+    person, visit, op = _tables(spark)
+    a = cohort.stage_bits(person, visit.where("person_id < 3"), op)
+    b = cohort.stage_bits(person.where("person_id > 1"), visit.where("person_id > 2"), op)
+    whole = cohort.count_stages(cohort.merge_stage_bits(a, b)).orderBy("stage").collect()
+    want = cohort.attrition(person, visit, op).orderBy("stage").collect()
+    assert whole == want

@@ -89,3 +89,60 @@ def test_polypharmacy_at_scale_plan_shape(spark):
         assert sorted(map(tuple, scaled.collect())) == default and default
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+# --- drug eras ---------------------------------------------------------------------------
+
+def _eras(spark, rows, **kw):
+    import datetime as dt
+    df = spark.createDataFrame([(p, i, dt.date.fromisoformat(s) if s else None, dt.date.fromisoformat(e) if e else None) for p, i, s, e in rows],
+                               "person_id long, ingredient_concept_id int, drug_exposure_start_date date, drug_exposure_end_date date")
+    return sorted((r.person_id, r.ingredient_concept_id, str(r.drug_era_start_date), str(r.drug_era_end_date), r.drug_exposure_count, r.gap_days)
+                  for r in drugs.build_drug_eras(df, **kw).collect())
+
+
+def test_eras_merge_over_30_days_but_not_31(spark):
+    rows = [(1, 5, "2020-01-01", "2020-01-10"), (1, 5, "2020-02-09", "2020-02-12"),       # 30 days later: one era
+            (2, 5, "2020-01-01", "2020-01-10"), (2, 5, "2020-02-10", "2020-02-12"),       # 31 days: two
+            (3, 5, "2020-01-01", "2020-03-01"), (3, 5, "2020-01-05", "2020-01-06"), (3, 5, "2020-03-31", "2020-04-02"),   # nested, then 30
+            (4, 5, "2020-01-01", "2020-01-10"), (4, 5, "2020-01-10", "2020-01-20"), (4, 5, "2020-01-21", "2020-01-22"),   # touching, next day
+            (4, 6, "2020-01-15", "2020-01-16"),                                             # another ingredient
+            (5, 5, "2020-05-05", "2020-05-01"), (5, 5, "2020-05-05", "2020-05-07"),       # an end before its start; one day twice
+            (None, 5, "2020-01-01", "2020-01-02"), (6, None, "2020-01-01", "2020-01-02"), (6, 5, None, "2020-01-02"), (7, 5, "2020-01-01", None)]
+    assert _eras(spark, rows) == [
+        (1, 5, "2020-01-01", "2020-02-12", 2, 30), (2, 5, "2020-01-01", "2020-01-10", 1, 0), (2, 5, "2020-02-10", "2020-02-12", 1, 0),
+        (3, 5, "2020-01-01", "2020-04-02", 3, 30), (4, 5, "2020-01-01", "2020-01-22", 3, 1), (4, 6, "2020-01-15", "2020-01-16", 1, 0),
+        (5, 5, "2020-05-05", "2020-05-07", 2, 0), (7, 5, "2020-01-01", "2020-01-01", 1, 0)]
+    assert _eras(spark, []) == []
+
+
+def test_eras_open_at_the_end_of_a_year(spark):
+    # a span of several years covers what starts in them; gaps inside it are none
+    rows = [(1, 5, "2018-06-01", "2021-02-01"), (1, 5, "2019-03-01", "2019-03-05"), (1, 5, "2019-05-01", "2019-05-02"),
+            (1, 5, "2020-12-30", "2021-01-15"), (1, 5, "2021-02-20", "2021-02-21"), (2, 5, "2019-12-20", "2019-12-25"), (2, 5, "2020-01-10", "2020-01-11")]
+    assert _eras(spark, rows) == [(1, 5, "2018-06-01", "2021-02-21", 5, 19), (2, 5, "2019-12-20", "2020-01-11", 2, 16)]
+
+
+def test_eras_of_a_heavy_person_equal_a_plain_merge(spark):
+    import datetime as dt
+    import random
+    draw = random.Random(11)
+    day = dt.date(2015, 1, 1)
+    rows = []
+    for _ in range(3000):
+        person = 1 if draw.random() < 0.4 else draw.randrange(2, 40)
+        start = day + dt.timedelta(days=draw.randrange(0, 2200))
+        rows.append((person, draw.choice([5, 6]), str(start), str(start + dt.timedelta(days=draw.choice([0, 1, 5, 20, 400 if draw.random() < 0.02 else 3])))))
+    want = []
+    for key in sorted({r[:2] for r in rows}):
+        spans = sorted((dt.date.fromisoformat(s), dt.date.fromisoformat(e)) for p, i, s, e in rows if (p, i) == key)
+        first, last, n, gap = *spans[0], 1, 0
+        for s, e in spans[1:]:
+            if (s - last).days > 30:
+                want.append((*key, str(first), str(last), n, gap))
+                first, last, n, gap = s, e, 1, 0
+            else:
+                gap += max((s - last).days, 0)
+                last, n = max(last, e), n + 1
+        want.append((*key, str(first), str(last), n, gap))
+    assert _eras(spark, rows) == sorted(want)
