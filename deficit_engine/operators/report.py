@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deficit_engine.constants import INDEX_NAMES, SUPPRESS_BELOW
-from deficit_engine.functions.expr import if_else
+from deficit_engine.functions.expr import if_else, percent_label, thousands_label
 
 STRATA = ("age_group", "is_female")
 
@@ -152,6 +152,14 @@ def category_report(hits: DataFrame, cohort: DataFrame, categories, *, unit_scor
     return suppress_small_cells(out, min_count) if suppress else out
 
 
+def attrition_labels(counts: DataFrame) -> DataFrame:
+    """Text of a flow diagram's boxes from (source, stage, label, n, excluded): source,
+    stage, label, remaining and excluded with thousands separators, share of the first stage."""
+    first = F.first("n").over(Window.partitionBy("source").orderBy("stage"))     # a handful of stages
+    return counts.select("source", "stage", "label", thousands_label("n").alias("remaining"), thousands_label("excluded").alias("excluded"),
+                         percent_label(F.col("n") / first, 1).alias("share"))
+
+
 def percent_category(hits: DataFrame, cohort: DataFrame, category: str, index: str | None = None,
                      categories: Sequence[str] | None = None) -> DataFrame:
     """E5: share of each stratum with a hit in one category.

@@ -76,7 +76,9 @@ class RunContext:
                  event_inputs: Mapping[str, str] | None = None):
         self.spark, self.sf_dir, self.seed = spark, sf_dir, seed
         self.materialize_tables = materialize_tables
-        self.code_lists = dict(code_lists or {})
+        self.code_lists = {check_index(fi): df for fi, df in (code_lists or {}).items()}
+        # an index with a code list of its own is searched with the others
+        self.indices = (*INDICES, *sorted(set(self.code_lists) - set(INDICES)))
         source = inputs if inputs is not None else input_fingerprint(spark, sf_dir)
         self.input_tag = f"{source}-{CODE_VERSION}" + (f"-{run_id}" if run_id else "")
         lists = "".join(f"{k}={rows_fingerprint(v)}" for k, v in sorted(self.code_lists.items()))
@@ -229,7 +231,7 @@ class RunContext:
         """Union of the index code sets, tagged with ``index_name``."""
         def build():
             out = None
-            for fi in INDICES:
+            for fi in self.indices:
                 one = self.code_set(fi).select("concept_id", "category", "score", "chronic_category",
                                                F.lit(fi).alias("index_name"))
                 out = one if out is None else out.unionByName(one)
@@ -263,7 +265,7 @@ class RunContext:
 
     def deficits(self, fi: str = "vafi", acute: int = 1, chronic: int = 1, of: str = "claims") -> DataFrame:
         """C11 deficit rows (person, strata, score, category) for one window."""
-        if (acute, chronic) in STANDARD_WINDOWS and fi in INDICES:
+        if (acute, chronic) in STANDARD_WINDOWS and fi in self.indices:
             h = self.hits_all(of).filter((F.col("index_name") == fi) & (F.col("acute_lookback") == acute)
                                          & (F.col("chronic_lookback") == chronic))
         else:

@@ -619,6 +619,11 @@ LIMIT 2""",
     "polypharmacy": f"SELECT * FROM {poly('o_win', 10)}",
     "polypharmacy_t5": f"SELECT * FROM {poly('o_win', 5)}",
     "polypharmacy_strict": f"SELECT * FROM {poly('o_win_strict', 5)}",
+    "attrition_labels": """
+SELECT 'claims' AS source, stage, label, format('{:,}', n) AS remaining,
+       format('{:,}', lag(n) OVER (ORDER BY stage) - n) AS excluded,
+       printf('%.1f%%', 100.0 * n / first_value(n) OVER (ORDER BY stage)) AS share
+FROM o_attr""",
     "drug_era_built": "SELECT * FROM o_built",
     "polypharmacy_era_built": f"SELECT * FROM {poly('o_win_built', 5)}",
     "polypharmacy_era": f"SELECT * FROM {poly('o_win_era', 10, 'drug_concept_id')}",

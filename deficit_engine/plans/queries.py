@@ -82,6 +82,14 @@ def _(c: RunContext):
     return cohort.attrition_exclusions(both)
 
 
+@query("attrition_labels")
+def _(c: RunContext):
+    """A9 as text: remaining and excluded persons with separators, share of all."""
+    t = c.t
+    a = cohort.attrition(t.person, t.visit_occurrence, t.observation_period, c.seed)
+    return report.attrition_labels(cohort.attrition_exclusions(a.select(F.lit("claims").alias("source"), "stage", "label", "n")))
+
+
 @query("demographics")
 def _(c: RunContext):
     """Race / ethnicity names for the research cohort."""

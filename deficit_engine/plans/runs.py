@@ -11,7 +11,7 @@ Nothing is collected; every report is written by the executors.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import SparkSession
 
@@ -24,11 +24,19 @@ from deficit_engine.sources.io import read_code_list, write_report
 def run_indices(spark: SparkSession, sf_dir: str | None, out_dir: str, *, source: str = "fixture",
                 run_date: str | None = None, windows=STANDARD_WINDOWS,
                 poly_threshold: int = POLYPHARMACY_THRESHOLD, cohorts: Sequence[str] = ("claims",),
-                run: RunContext | None = None) -> list[str]:
-    """Run VAFI and EFI for every cohort and window setting and write the
-    reports; return paths. ``run``: a context on OMOP tables instead of ``sf_dir``."""
+                run: RunContext | None = None, specs: Mapping[str, dict] | None = None,
+                single_file: bool = False) -> list[str]:
+    """Run VAFI, EFI and every other index that the context has a code list of,
+    for every cohort and window setting, and write the reports; return paths.
+    ``run``: a context on OMOP tables instead of ``sf_dir``. ``specs``:
+    denominator, lb and ub of the other indices. ``single_file``: each report is
+    one file ``<name>.csv`` instead of a folder."""
     run_date = run_date or _dt.date.today().isoformat()
     c = run if run is not None else context(spark, sf_dir)
+    specs = {"vafi": VAFI, "efi": EFI, **(specs or {})}
+    lacking = [fi for fi in c.indices if fi not in specs]
+    if lacking:
+        raise ValueError(f"no denominator and thresholds for {', '.join(lacking)}")
     written = []
     for of in cohorts:
         cohort = c.cohort_of(of)
@@ -36,17 +44,18 @@ def run_indices(spark: SparkSession, sf_dir: str | None, out_dir: str, *, source
         # polypharmacy is always the one-year window, whatever the index window
         poly = drugs.polypharmacy(c.in_window(of=of), cohort, poly_threshold)
         for acute, chronic in windows:
-            for fi, spec, with_poly, unit in (("vafi", VAFI, False, True), ("efi", EFI, True, False)):
+            for fi in c.indices:
+                spec, unit = specs[fi], fi == "vafi"
                 hits = c.deficits(fi, acute, chronic, of)
-                if with_poly:
+                if fi == "efi":
                     hits = drugs.add_polypharmacy(hits, poly)
                 scores = scoring.score_with_robust(hits, cohort, spec["denominator"], spec["lb"], spec["ub"])
                 written.append(write_report(report.summarize_bands(scores), out_dir, index=fi,
                                             acute=acute, chronic=chronic, source=label,
-                                            run_date=run_date))
+                                            run_date=run_date, single_file=single_file))
                 cats = report.category_report(hits, cohort, c.category_names(fi), unit_score=unit)
                 written.append(write_report(cats, out_dir, index=fi, acute=acute, chronic=chronic,
-                                            source=label, run_date=run_date, kind="categories"))
+                                            source=label, run_date=run_date, kind="categories", single_file=single_file))
     return written
 
 
@@ -65,6 +74,9 @@ def main(argv=None) -> None:
     ap.add_argument("--date", default=None, help="run date in file names (default today)")
     ap.add_argument("--code-list", action="append", default=[], metavar="INDEX=PATH",
                     help="code list of one index, as CSV (category, concept_id, score in the declared order) or Parquet")
+    ap.add_argument("--index", action="append", default=[], metavar="NAME:DENOMINATOR:LOWER:UPPER",
+                    help="denominator and thresholds of another index (with a --code-list of its own)")
+    ap.add_argument("--single-file", action="store_true", help="one CSV file for each report instead of a folder")
     ap.add_argument("--cohort", action="append", choices=sorted(COHORTS), help="cohort (default claims)")
     args = ap.parse_args(argv)
     spark = get_session()
@@ -77,7 +89,8 @@ def main(argv=None) -> None:
     else:
         run = RunContext(spark, args.input, code_lists=lists) if lists else None
     for p in run_indices(spark, args.input, args.out, source=args.source, run_date=args.date,
-                         cohorts=args.cohort or ("claims",), run=run):
+                         cohorts=args.cohort or ("claims",), run=run, single_file=args.single_file,
+                         specs={n: {"denominator": int(d), "lb": float(lo), "ub": float(hi)} for n, d, lo, hi in (x.split(":") for x in args.index)}):
         print(p)
 
 

@@ -234,15 +234,29 @@ def read_code_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, out_dir: str, *, index: str, acute: int, chronic: int,
-                 source: str, run_date: str, kind: str = "") -> str:
+                 source: str, run_date: str, kind: str = "", single_file: bool = False) -> str:
     """Write a report as CSV named ``{date}_{index}[_kind]_acute{a}-chronic{c}_{source}``.
 
-    The write is distributed (one file per output partition).
+    The write is distributed (one file per output partition of a folder). With
+    ``single_file`` the (few, aggregated) rows go through one task into one file
+    of that name with ``.csv``, which replaces an earlier one.
     """
     stem = f"{run_date}_{index}{'_' + kind if kind else ''}_acute{acute}-chronic{chronic}_{source}"
     path = os.path.join(out_dir, stem)
-    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
-    return path
+    if not single_file:
+        df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+        return path
+    staged = f"{path}.{uuid.uuid4().hex}"
+    # a report without rows still has its header line
+    rows = df.coalesce(1)
+    rows.write.option("header", True).option("nullValue", "NA").csv(staged)
+    fs, folder = _fs(df.sparkSession, staged)
+    part = next(st.getPath() for st in fs.listStatus(folder) if st.getPath().getName().startswith("part-"))
+    target = _fs(df.sparkSession, f"{path}.csv")[1]
+    fs.delete(target, False)
+    fs.rename(part, target)
+    fs.delete(folder, True)
+    return f"{path}.csv"
 
 
 def upload(spark: SparkSession, rows, table: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import glob
 import os
 
+import pytest
+
 from deficit_engine.plans.runs import run_indices
 from tests.conftest import SF_SMALL
 
@@ -102,3 +104,23 @@ def test_category_table_has_no_category_limit(spark):
     hits = spark.range(12_000).select(F.lit(1).cast("long").alias("person_id"), F.concat(F.lit("c"), "id").alias("category"), F.lit(0.5).alias("score"))
     out = summarize_categories(hits, cohort, hits.select("category"))
     assert out.count() == 24_000 and out.agg(F.sum("count")).first()[0] == 6000.0
+
+
+def test_another_index_and_single_files(spark, tmp_path):
+    from deficit_engine.plans.context import context
+    from deficit_engine.plans.runs import main
+    from deficit_engine.sources.reports import read_band_reports
+    codes = context(spark, SF_SMALL).t.code_list.where("category in ('Brand#11', 'Brand#12', 'Multi')").select("concept_id", "category", "score")
+    codes.coalesce(1).write.option("header", True).csv(str(tmp_path / "codes"))
+    path = str(tmp_path / "hfrs.csv")
+    os.rename(glob.glob(str(tmp_path / "codes" / "part-*.csv"))[0], path)
+    out = tmp_path / "out"
+    run = ["--input", SF_SMALL, "--out", str(out), "--date", "2026-02-02", "--code-list", f"hfrs={path}", "--single-file"]
+    with pytest.raises(ValueError, match="thresholds for hfrs"):
+        main(run)
+    main([*run, "--index", "hfrs:3:0.2:0.5"])
+    names = sorted(n for n in os.listdir(out) if not n.startswith("."))
+    assert names[:2] == ["2026-02-02_efi_acute1-chronic1_fixture.csv", "2026-02-02_efi_acute3-chronic3_fixture.csv"]
+    assert len(names) == 12
+    bands = read_band_reports(spark, str(out)).groupBy("index_name", "acute").sum("N").collect()
+    assert {(r[0], r[1]): r[2] for r in bands} == {(i, a): 90 for i in ("vafi", "efi", "hfrs") for a in (1, 3)}
