@@ -18,6 +18,7 @@ Defined cases
   repeated rows                  each is ranked, as a candidate and as a query, as in the SQL
   a query's own id               is never its candidate
   fewer than k candidates        all are returned
+  products beyond 2^53           exact in long arithmetic; beyond 2^62 an ArithmeticError
   empty table                    an empty result
   other columns                  are not read
 """
@@ -61,23 +62,23 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+def _matrix(lists: pa.Array, width: int, kind: type) -> np.ndarray:
     """Rows of a list column, filled with zeros."""
-    flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.asarray(lists.offsets)
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(kind), np.asarray(lists.offsets)
     sizes = np.diff(ends)
-    out = np.zeros((len(lists), width))
+    out = np.zeros((len(lists), width), kind)
     rows = np.repeat(np.arange(len(lists)), sizes)
     out[rows, np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)] = flat
     return out
 
 
-def _pack(pivots: np.ndarray, k: int):
+def _pack(pivots: np.ndarray, k: int, kind: type):
     width = pivots.shape[1]
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         column = group.column("v").combine_chunks()
-        vectors = _matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, width)
+        vectors = _matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, width, kind)
         ids = group.column("vec_id").to_numpy().astype(np.int64)
         # equal rows share a block; no ranking has room for more than k of them
         seen = Counter()
@@ -89,7 +90,8 @@ def _pack(pivots: np.ndarray, k: int):
                 rows.append(at)
         ids, vectors = ids[rows], vectors[rows]
         # a matrix product keeps this O(n * pivots) in memory
-        squares = (vectors ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :] - 2 * vectors @ pivots.T
+        x = vectors.astype(np.float64)
+        squares = (x ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :] - 2 * x @ pivots.T
         far = np.sqrt(np.maximum(squares, 0))
         return pa.table({"block": group.column("block").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()),
                          "vectors": pa.array([vectors.tobytes()], pa.binary()), "far": pa.array([far.tobytes()], pa.binary())})
@@ -115,7 +117,7 @@ def best_of_block(q: np.ndarray, own: int, bound: np.ndarray, ids: np.ndarray, v
     return scores, names
 
 
-def _search(k: int, width: int, pivots: int):
+def _search(k: int, width: int, pivots: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, best, q_ids = None, [], None
 
@@ -134,11 +136,11 @@ def _search(k: int, width: int, pivots: int):
                 if row["q_block"] != current:
                     yield from flush()
                     current, q_ids = row["q_block"], q_ids_here
-                    best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q_ids]
-                q, q_far = np.frombuffer(row["q_vectors"]).reshape(-1, width), np.frombuffer(row["q_far"]).reshape(-1, pivots)
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, width)
+                    best = [(np.zeros(0, kind), np.zeros(0, np.int64)) for _ in q_ids]
+                q, q_far = np.frombuffer(row["q_vectors"], kind).reshape(-1, width), np.frombuffer(row["q_far"]).reshape(-1, pivots)
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], kind).reshape(-1, width)
                 far = np.frombuffer(row["far"]).reshape(-1, pivots)
-                q_norm, x_norm = (q ** 2).sum(1), (x ** 2).sum(1)
+                q_norm, x_norm = (q.astype(np.float64) ** 2).sum(1), (x.astype(np.float64) ** 2).sum(1)
                 for at in range(0, len(q), 128):
                     part = slice(at, at + 128)
                     gap = np.zeros((len(q[part]), len(x)), np.float32)
@@ -146,7 +148,8 @@ def _search(k: int, width: int, pivots: int):
                         np.maximum(gap, np.abs(q_far[part, p, None].astype(np.float32) - far[None, :, p].astype(np.float32)), out=gap)
                     # single precision only loosens the bound by this much
                     gap = np.maximum(gap - 1e-5 * (1 + float(max(far.max(initial=0), q_far.max(initial=0)))), 0).astype(np.float64)
-                    bound = (q_norm[part, None] + x_norm[None, :] - gap ** 2) / 2 + 1e-6
+                    both = q_norm[part, None] + x_norm[None, :]
+                    bound = (both - gap ** 2) / 2 + 1e-6 + 1e-12 * both
                     for i in range(len(bound)):
                         j = at + i
                         best[j] = best_of_block(q[j], int(q_ids[j]), bound[i], ids, x, best[j], k)
@@ -158,8 +161,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "ve
           vector_col: str = "embedding", scale: float = 64.0, pivots: int = PIVOTS) -> DataFrame:
     """The k best candidates of every query: query_id, rank (from 1), vec_id, score.
 
-    ``queries``: condition on the id column that marks the queries. Products
-    are exact while they stay below 2^53.
+    ``queries``: condition on the id column that marks the queries.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -168,8 +170,13 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "ve
         vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
         .select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"),
                 queries.alias("is_query")), "vectors")
-    n, n_queries, width = rows.agg(F.count(F.lit(1)), F.count_if("is_query"), F.max(F.size("v"))).first()
+    n, n_queries, width, largest = rows.agg(F.count(F.lit(1)), F.count_if("is_query"), F.max(F.size("v")),
+                                            F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
     width = max(width or 0, 1)
+    span = (largest or 0.0) ** 2 * width
+    if span >= 2.0 ** 62:
+        raise ArithmeticError("products are too large for a long")
+    kind = np.float64 if span < 2.0 ** 53 else np.int64     # double precision is whole below 2^53
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("v").collect()
     sample = np.zeros((len(drawn), width))
     for i, r in enumerate(drawn):
@@ -179,7 +186,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "ve
     def blocks(part: DataFrame, count: int, size: int) -> DataFrame:
         key = F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, -(-count // size)))).cast("int")
         return part.select(key.alias("block"), "vec_id", "v").groupBy("block").applyInArrow(
-            _pack(table, k), "block int, ids binary, vectors binary, far binary")
+            _pack(table, k, kind), "block int, ids binary, vectors binary, far binary")
 
     x = scratch.write(blocks(rows, n, BLOCK), "blocks")
     q = scratch.write(blocks(rows.where("is_query"), n_queries, QUERY_BLOCK), "query_blocks")
@@ -187,7 +194,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "ve
     asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.col("block").alias("q_block"),
                      F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("far").alias("q_far"))
     found = (asked.join(x, "block").sortWithinPartitions("q_block")
-             .mapInArrow(_search(k, width, len(table)), "query_id long, vec_id long, score long"))
+             .mapInArrow(_search(k, width, len(table), kind), "query_id long, vec_id long, score long"))
     ranks = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return (found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

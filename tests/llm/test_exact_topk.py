@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from deficit_engine.llm import exact_topk, oracle
@@ -61,3 +62,12 @@ def test_repeated_rows_as_in_sql(spark, monkeypatch):
     con.execute("create table embeddings (vec_id bigint, embedding float[])")
     con.executemany("insert into embeddings values (?, ?)", [list(r) for r in rows])
     assert got == sorted(con.execute(oracle.OP4).fetchall())
+
+
+def test_products_beyond_double_precision(spark):
+    # 64 * 2^23 in the first place: products beyond 2^53 that differ in their last digits
+    rows = [(i, [float(1 << 23), float(i % 7) / 64, float(-(i % 3))]) for i in range(60)]
+    assert run(spark, rows, 6) == brute(rows, 6, lambda i: i % 5 == 0)
+    for x in (1e9, 1e30):
+        with pytest.raises(ArithmeticError):
+            run(spark, [(5, [x, x]), (6, [x, 1.0])], 3)
