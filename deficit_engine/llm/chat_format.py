@@ -1,21 +1,28 @@
 """Conversations without quotations, linked in reply order.
 
 Lines of a message that begin with ``>`` marks quote other messages; the
-number of marks is the nesting level. Every quoted line is normalised and
-hashed, and joined to the message of the same conversation in which that line
-first stands one level lower. A message replies to the message that its
-level-1 lines quote most (the later one on a tie); following those links gives
-the thread. The quoted lines are then removed.
-
-Originals are reduced to one row per (conversation, hash, level) before the
-join, so it is many-to-one: a line that stands in a third of all messages
-makes no pairs, and a skewed side can be split.
+number of marks is the nesting level. Neighbouring lines of one level are a
+passage; its white space is folded across the lines, so another line width
+makes no difference, and it is hashed. A quoted passage is linked to the latest
+earlier message of the conversation that holds the same passage one level
+lower. Of a quoted passage that no message holds whole, each line is linked
+alike, and weighs the less the more messages hold it.
+
+A message replies to the message that its level-1 passages quote with most
+lines; if none of them is held whole, to the one with the greatest weight of
+lines; the later one on a tie. Following those links gives the thread. The
+quoted lines are then removed.
+
+Whoever holds a passage before a turn is found in spans of turns: inside the
+span, and by the latest holder of each span before it. So a passage that stands
+in a third of all messages makes no pairs and no group larger than a span.
 
 Defined cases
   null or empty text     no lines, clean text empty
   null conversation,     the message is kept and numbered, but neither
   null turn              quotes nor is quoted
   quotes of later text   not a link; the quote is removed all the same
+  very long text         its passages are cut out in time linear in the text
   repeated rows          kept; numbered one after the other
   empty table            an empty result
   other columns          are not read
@@ -29,7 +36,8 @@ from pyspark.sql import functions as F
 from deficit_engine.llm.common import Scratch
 
 _MARKS = r"^(?:[ \t]*>)+"
-SPAN = 1024
+SPAN = 1024             # turns
+RARITY = 1_000_000      # weight of a line that one message holds
 
 
 def _lines(text: Column) -> Column:
@@ -43,6 +51,35 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), one)
 
 
+def _passages(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Passages of (conv_id, turn, text): conv_id, turn, level, hash, bodies (of
+    its lines, in order). Lines are numbered inside their message; those of one
+    level that follow each other keep the same distance to their rank."""
+    told = rows.withColumn("message", F.monotonically_increasing_id())
+    lines = scratch.write(told.select("conv_id", "turn", "message", F.posexplode(_lines(F.col("text"))).alias("at", "l"))
+                          .select("conv_id", "turn", "message", "at", "l.level", "l.body"), "lines")
+    rank = F.row_number().over(Window.partitionBy("message", "level").orderBy("at"))
+    return (lines.withColumn("passage", F.col("at") - rank).where(F.col("body") != "")
+            .groupBy("message", "level", "passage", "conv_id", "turn")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]).alias("bodies"))
+            .select("conv_id", "turn", "level", F.md5(F.array_join("bodies", " ")).alias("hash"), "bodies"))
+
+
+def _latest_holder(quotes: DataFrame, originals: DataFrame) -> DataFrame:
+    """``quotes`` (conv_id, turn, level, hash) that a message before their turn
+    holds one level lower, with the latest of these turns as ``held``."""
+    key = ["conv_id", "hash", "level"]
+    held = originals.select("conv_id", "hash", (F.col("level") + 1).alias("level"), "turn", F.col("turn").alias("holder"))
+    asked = quotes.select(*key, "turn", F.lit(None).cast("long").alias("holder"))
+    both = held.unionByName(asked).distinct().withColumn("span", F.floor(F.col("turn") / SPAN))
+    inside = Window.partitionBy(*key, "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("held", F.max("holder").over(inside)).where(F.col("holder").isNull()).drop("holder")
+    before = Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    far = both.groupBy(*key, "span").agg(F.max("holder").alias("last")).withColumn("far", F.max("last").over(before)).drop("last")
+    return (near.join(far, [*key, "span"]).withColumn("held", F.coalesce("held", "far"))
+            .where(F.col("held").isNotNull()).select(*key, "turn", "held"))
+
+
 def _position(rows: DataFrame) -> DataFrame:
     """Number the messages of a conversation by turn, without sorting one
     conversation in one task: counts of turn spans first, then ranks within a span."""
@@ -93,19 +130,30 @@ def link_quotations(conversations: DataFrame, *, conv_col: str = "conv_id", turn
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = base.withColumn("lines", _lines(F.col("text")))
-    each = (rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-            .select("conv_id", "turn", F.explode("lines").alias("l"))
-            .select("conv_id", "turn", "l.level", F.md5("l.body").alias("hash"), (F.col("l.body") != "").alias("filled"))
-            .where("filled").drop("filled"))
-    quotes = each.where("level > 0").groupBy("conv_id", "turn", "level", "hash").agg(F.count(F.lit(1)).alias("n"))
-    originals = each.groupBy("conv_id", "hash", "level").agg(F.min("turn").alias("first"))
+    told = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    passages = scratch.write(_passages(base.where(told).select("conv_id", "turn", "text"), scratch), "passages")
+    quoted = passages.where("level > 0")
+    key = ["conv_id", "turn", "level", "hash"]
+    whole = scratch.write(_latest_holder(quoted.select(*key), passages.select(*key)), "whole")
+    lines = passages.select("conv_id", "turn", "level", F.explode("bodies").alias("body")).select("conv_id", "turn", "level", F.md5("body").alias("hash"))
+    # lines of the passages that nobody holds whole
+    loose = (quoted.join(whole.select(*key), key, "left_anti").select("conv_id", "turn", "level", F.explode("bodies").alias("body"))
+             .groupBy("conv_id", "turn", "level", F.md5("body").alias("hash")).agg(F.count(F.lit(1)).alias("n")))
+    loose = scratch.write(loose, "loose")
+    holders = (lines.join(loose.select("conv_id", "hash", (F.col("level") - 1).alias("level")).distinct(), ["conv_id", "hash", "level"], "left_semi")
+               .distinct())
+    holders = scratch.write(holders, "holders")
+    rarity = (holders.groupBy("conv_id", "hash", (F.col("level") + 1).alias("level"))
+              .agg(F.expr(f"{RARITY} div count(1)").alias("weight")))
+    single = _latest_holder(loose.select(*key), holders).join(loose, key).join(rarity, ["conv_id", "hash", "level"])
     found = scratch.write(
-        quotes.join(originals.select("conv_id", "hash", (F.col("level") + 1).alias("level"), "first"),
-                    ["conv_id", "hash", "level"])
-        .where(F.col("first") < F.col("turn"))
-        .groupBy("conv_id", "turn", "level", "first").agg(F.sum("n").alias("n")), "found")
+        whole.join(quoted, key).select("conv_id", "turn", "level", "held", F.size("bodies").cast("long").alias("n"), F.lit(1).alias("kind"),
+                                       F.size("bodies").cast("long").alias("vote"))
+        .unionByName(single.select("conv_id", "turn", "level", "held", "n", F.lit(0).alias("kind"), (F.col("n") * F.col("weight")).alias("vote")))
+        .groupBy("conv_id", "turn", "level", "held", "kind").agg(F.sum("n").alias("n"), F.sum("vote").alias("vote")), "found")
+    # whole passages go before lines
     parents = (found.where("level = 1").groupBy("conv_id", "turn")
-               .agg(F.max(F.struct("n", "first"))["first"].alias("up")))
+               .agg(F.max(F.struct("kind", "vote", "held"))["held"].alias("up")))
     linked = found.groupBy("conv_id", "turn").agg(F.sum("n").alias("linked_lines"))
     threads = _threads(scratch, parents.withColumn("hops", F.lit(1)))
     marks = (linked.join(parents, ["conv_id", "turn"], "left")

@@ -30,21 +30,39 @@ with recursive m as (
            string_split(coalesce(text, ''), chr(10)) as ls
     from conversations),
 cut as (
-    select conv_id, turn, unnest(ls) as line from m),
+    select conv_id, turn, position, unnest(ls) as line, unnest(range(len(ls))) as i from m),
 l as (
-    select conv_id, turn,
+    select conv_id, turn, position, i,
            length(regexp_extract(line, '^(?:[ \t]*>)+')) - length(replace(regexp_extract(line, '^(?:[ \t]*>)+'), '>', '')) as level,
            trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '[ \t\r]+', ' ', 'g')) as body
     from cut where conv_id is not null and turn is not null),
-f as (
-    select q.conv_id, q.turn, q.level, o.first, count(*) as n
-    from (select * from l where body <> '' and level > 0) q
-    join (select conv_id, body, level, min(turn) as first from l where body <> '' group by all) o
-      on q.conv_id = o.conv_id and q.body = o.body and q.level = o.level + 1 and o.first < q.turn
+island as (
+    select *, i - row_number() over (partition by conv_id, position, level order by i) as island from l),
+p as (
+    select conv_id, turn, position, level, island, string_agg(body, ' ' order by i) as passage, count(*) as n
+    from island where body <> '' group by all),
+whole as (
+    select q.conv_id, q.position, q.island, q.turn, q.level, q.n, max(o.turn) as held
+    from p q join p o on q.conv_id = o.conv_id and q.passage = o.passage and q.level = o.level + 1 and o.turn < q.turn
+    where q.level > 0 group by all),
+body as (select distinct conv_id, turn, level, body from l where body <> ''),
+holders as (select conv_id, level, body, count(*) as holders from body group by all),
+loose as (
+    select s.conv_id, s.turn, s.level, s.body, count(*) as n
+    from island s left join whole w on w.conv_id = s.conv_id and w.position = s.position and w.level = s.level and w.island = s.island
+    where s.level > 0 and s.body <> '' and w.held is null group by all),
+single as (
+    select q.conv_id, q.turn, q.level, q.body, q.n, max(o.turn) as held
+    from loose q join body o on q.conv_id = o.conv_id and q.body = o.body and q.level = o.level + 1 and o.turn < q.turn
     group by all),
+f as (
+    select conv_id, turn, level, held, 1 as kind, sum(n) as n, sum(n) as vote from whole group by all
+    union all
+    select s.conv_id, s.turn, s.level, s.held, 0, sum(s.n), sum(s.n * (1000000 // h.holders))
+    from single s join holders h on h.conv_id = s.conv_id and h.body = s.body and h.level = s.level - 1 group by all),
 up as (
-    select conv_id, turn, first as up from f where level = 1
-    qualify row_number() over (partition by conv_id, turn order by n desc, first desc) = 1),
+    select conv_id, turn, held as up from f where level = 1
+    qualify row_number() over (partition by conv_id, turn order by kind desc, vote desc, held desc) = 1),
 chain as (
     select conv_id, turn, up as root, 1 as hops from up
     union all
@@ -53,7 +71,7 @@ root as (
     select conv_id, turn, min(root) as root, max(hops) as hops from chain group by all),
 linked as (select conv_id, turn, sum(n) as n from f group by all)
 select m.conv_id, m.position, m.turn, m.role,
-       trim(list_aggregate(list_filter(m.ls, lambda x: not regexp_matches(x, '^(?:[ \t]*>)+')), 'string_agg', chr(10)), chr(32) || chr(10) || chr(13) || chr(9)) as clean_text,
+       coalesce(trim(list_aggregate(list_filter(m.ls, lambda x: not regexp_matches(x, '^(?:[ \t]*>)+')), 'string_agg', chr(10)), chr(32) || chr(10) || chr(13) || chr(9)), '') as clean_text,
        len(list_filter(m.ls, lambda x: regexp_matches(x, '^(?:[ \t]*>)+')))::bigint as quoted_lines,
        list_max(list_transform(m.ls, lambda x: length(regexp_extract(x, '^(?:[ \t]*>)+')) - length(replace(regexp_extract(x, '^(?:[ \t]*>)+'), '>', ''))))::bigint as quote_depth,
        coalesce(linked.n, 0)::bigint as linked_lines, up.up as reply_to,
