@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deficit_engine.llm.common import ship_package
-from deficit_engine.llm.units import UnitEncoder, binary_column, gather, text_slices
+from deficit_engine.llm.units import UnitEncoder, binary_column, gather, hold_caches, text_slices
 
 # Fixed value: the public pre-tokenisation pattern of this vocabulary, with its
 # white space written out.
@@ -46,6 +46,9 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+FITS = 300_000      # pairs whose compatibility a worker remembers (about 50 MB)
+
+
 class PairTable:
     """Vocabulary, merges, and which tokens may stand side by side."""
 
@@ -118,7 +121,7 @@ class PairTable:
     def fits(self, x: int, y: int) -> bool:
         found = self._fits.get((x, y))
         if found is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > FITS:
                 self._fits.clear()
             found = self._fits[x, y] = self._keeps_boundary(x, y)
         return found
@@ -216,7 +219,7 @@ class Encoder(UnitEncoder):
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and vocabulary."""
     return Encoder(path)
@@ -224,6 +227,7 @@ def encoder(path: str) -> Encoder:
 
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_caches("bpe", encoder.cache_clear)
         enc = encoder(path)
         for batch in batches:
             for part in text_slices(batch, "text"):
@@ -254,6 +258,7 @@ def encode_and_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id",
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_caches("bpe", encoder.cache_clear)
         table = encoder(path).table
         for batch in batches:
             texts = [None if b is None else table.decode(np.frombuffer(b, "<u4").astype(np.int64)).tobytes().decode("utf-8", "replace")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -36,6 +35,9 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(WORD)).cast("long")
 
 
+# Spark's setting that deletes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _SHIPPED: set[str] = set()
 
 
@@ -54,6 +56,33 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def spare_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not use, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        free = f"__{name}"
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def one_of_each(df: DataFrame, keys: list[str], keep: DataFrame) -> DataFrame:
+    """One row for each value of ``keys``, with the columns of ``keep``: the least
+    by its other columns written as JSON, so that reruns choose alike."""
+    columns = own_columns(keep)
+    order, row = spare_names(df, "order", "chosen")
+    least = df.withColumn(order, F.to_json(F.struct(*columns)))
+    return (least.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min_by(F.struct(*columns), F.col(order)).alias(row))
+            .select(*[F.col(row)[c].alias(c) for c in keep.columns]))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,12 +110,15 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and read back. The shuffle files of the tables written before are
-        no longer needed; Spark deletes them once the driver's collector has
-        seen that nothing refers to them, so it is asked to look first."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        """Write and read back. What reads the table needs none of the shuffle
+        files that its writing took, so Spark is told to delete them then."""
+        conf = self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

@@ -47,15 +47,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deficit_engine.llm.common import Scratch, ship_package
+from deficit_engine.llm.common import Scratch, one_of_each, ship_package, spare_names
 from deficit_engine.llm.components import components
-from deficit_engine.llm.substring_dedup import gram_hashes, word_hashes
-from deficit_engine.llm.units import text_slices
+from deficit_engine.llm.substring_dedup import gram_hashes, hold_words, word_hashes
+from deficit_engine.llm.units import hold_caches, text_slices
 
 RING = 1.5              # ratio of a ring's edges
 SLACK = 1.15            # buckets per bucket that must agree
-REGION = 400            # nodes of a block, and of a region that is not split further
-REGION_SHINGLES = 400_000
+REGION = 1600           # nodes of a block, and of a region that is not split further
+REGION_SHINGLES = 1_600_000
 PIVOTS = 6
 SMALL = 48              # members that are counted directly
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +118,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 def _describe(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_words()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 sizes, nodes, rings = [], [], []
@@ -135,6 +136,7 @@ def _describe(rule: Rule):
 
 def _sets(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_words()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 sets = [shingles(t, rule.width).tobytes() for t in part.column("text").to_pylist()]
@@ -250,6 +252,7 @@ MEASURED = "node long, region long, set binary, to array<long>, far array<double
 
 def _blocks(rule: Rule):
     def run(group: pa.Table) -> pa.Table:
+        hold_caches("blocks")
         rows = group.select(["node", "rim", "far", "set"]).to_pylist()
         rim, every = [r for r in rows if r["rim"]], [r for r in rows if not r["rim"]]
         forest, out = Forest(), []
@@ -302,8 +305,9 @@ def _region_links(members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame
               .select("node", F.xxhash64("region", "col.to").alias("region"), "set", (~F.col("col.hit")).alias("rim"),
                       F.col("col.far").alias("far")))
     # the join of a region: nodes beyond the radius against all, in blocks
-    rows = small_rows.unionByName(placed)
-    rows = scratch.write(rows, "regions")
+    rows = scratch.write(small_rows.unionByName(placed), "regions")
+    stars = scratch.write(star.unionByName(stars.select(F.col("node").alias("u"), "v")), "stars")
+    scratch.drop("members", "measured", "spread")
     load = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_if("rim").alias("n_rim"), F.sum(F.length("set") / 8).alias("weight"))
     mean = F.greatest(F.lit(1.0), F.col("weight") / F.col("n"))
     per_block = F.greatest(F.lit(1.0), F.least(F.lit(float(REGION)), F.lit(float(REGION_SHINGLES)) / mean))
@@ -317,7 +321,9 @@ def _region_links(members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame
     columns = ["region", "i", "j", "node", "far", "set"]
     found = (a.select(*columns, F.lit(True).alias("rim")).unionByName(z.select(*columns, F.lit(False).alias("rim")))
              .groupBy("region", "i", "j").applyInArrow(_blocks(rule), "u long, v long"))
-    return scratch.write(star.unionByName(stars.select(F.col("node").alias("u"), "v")).unionByName(found).where("u <> v"), "links")
+    links = scratch.write(stars.unionByName(found).where("u <> v"), "links")
+    scratch.drop("regions", "stars")
+    return links
 
 
 def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -330,19 +336,21 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
-    base = scratch.write(rows.mapInArrow(_describe(rule), "doc_id long, rid long, n_shingles long, node long, "
-                                         "rings array<struct<need: int, keys: array<long>>>"), "documents")
-    keys = (base.select("node", F.posexplode("rings").alias("ring", "r"))
+    described = scratch.write(rows.mapInArrow(_describe(rule), "doc_id long, rid long, n_shingles long, node long, "
+                                              "rings array<struct<need: int, keys: array<long>>>"), "described")
+    base = scratch.write(described.drop("rings"), "documents")
+    keys = (described.select("node", F.posexplode("rings").alias("ring", "r"))
             .select("node", "ring", "r.need", F.explode("r.keys").alias("key")))
     # keys of more than one node
     recurring = scratch.write(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "recurring")
     shared = scratch.write(keys.join(recurring, "key").groupBy("node", "ring", "need", "key").agg(F.count(F.lit(1)).alias("rows")), "shared")
-    scratch.drop("recurring")
+    scratch.drop("recurring", "described")     # the keys are by far the largest table
     able = (shared.groupBy("node", "ring").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
             .where("n >= need").select("node", "ring"))
     held = scratch.write(shared.join(able, ["node", "ring"]).select("node", "key"), "held")
     met = held.groupBy("key").agg(F.min("node").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
     meeting = scratch.write(held.join(met, "key").groupBy("node").agg(F.collect_set("lo").alias("los"), F.sum("n").alias("weight")), "meeting")
+    scratch.drop("shared", "held")
     clusters = components(meeting.select(F.col("node").alias("u"), F.explode("los").alias("v")), scratch, "cluster")
     # one document of each node brings the set
     bearer = (clusters.join(meeting.select("node", "weight"), "node")
@@ -355,7 +363,6 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col
     named = ids.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = scratch.write(named.join(least, "component").select(F.col("node").alias("of"), "component", "component_id"), "nodes")
-    scratch.drop("shared", "held", "members", "measured", "spread", "regions")
     return (base.select("doc_id", "rid", "n_shingles", "node").join(of_node, F.col("node") == F.col("of"), "left")
             .select("doc_id", "rid", "n_shingles", "node", "component",
                     F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id")))
@@ -363,11 +370,11 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with one row of each component (its least id), columns
-    unchanged. Documents without words are linked with nothing and stay; fully
-    repeated rows stay once."""
+    unchanged. Documents without words are linked with nothing and stay; of rows
+    with the same id and text the least by all columns stays."""
     linked = link_documents(docs, id_col=id_col, text_col=text_col, **kw)
+    own, chosen = spare_names(docs, "own", "chosen")
     first = (linked.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("component", F.when(F.col("node").isNull(), F.col("rid"))).agg(F.min("rid").alias("__rid")))
-    marked = docs.withColumn("__own", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    return (marked.join(first.select("__rid"), F.col("__own") == F.col("__rid"), "left_semi")
-            .dropDuplicates(["__own"]).select(*docs.columns))
+             .groupBy("component", F.when(F.col("node").isNull(), F.col("rid"))).agg(F.min("rid").alias(chosen)))
+    marked = docs.withColumn(own, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    return one_of_each(marked.join(first.select(chosen), F.col(own) == F.col(chosen), "left_semi"), [own], docs)

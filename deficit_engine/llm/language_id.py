@@ -38,8 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deficit_engine.llm.common import Scratch, ship_package
-from deficit_engine.llm.units import text_slices
+from deficit_engine.llm.common import Scratch, ship_package, spare_names
+from deficit_engine.llm.units import hold_caches, text_slices
 
 GRAMS = 1 << 14
 MIN_GRAMS = 1000        # trigrams with a letter that a language's model is learned from, at least
@@ -76,6 +76,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold_caches("language")
     held: dict[str, np.ndarray] = {}
 
     def flush():
@@ -118,6 +119,7 @@ def learn_text_models(rows: DataFrame, scratch: Scratch) -> tuple[list[str], np.
 
 def _likelihood(models: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_caches("language")
         table = np.ascontiguousarray(models.T.astype(np.float32))
         for batch in batches:
             for part in text_slices(batch, "text"):
@@ -227,6 +229,7 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", **columns) -> Da
     without an id stay.
     """
     judged = identify(document_rows(docs, id_col=id_col, **columns))
+    rejected, = spare_names(docs, "rejected")
     out = (judged.where(F.col("id").isNotNull()).groupBy("id").agg(F.bool_and("rejected").alias("all"))
-           .where("all").select(F.col("id").alias("__id")))
-    return docs.join(out, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+           .where("all").select(F.col("id").alias(rejected)))
+    return docs.join(out, F.col(id_col).cast("long") == F.col(rejected), "left_anti")

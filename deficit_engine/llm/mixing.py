@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deficit_engine.llm.common import Scratch, word_count
+from deficit_engine.llm.common import Scratch, own_columns, spare_names, word_count
 
 FAN_IN = 32
 WEIGHTS = (3, 1, 2)
@@ -162,34 +162,37 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     with null equal to null, and are dealt out evenly over the rows of a unit.
     """
     scratch = Scratch(docs.sparkSession, "taking")
+    # the columns of the mix that travel with the rows get names that the rows don't use
+    (src, own_id, size, c, n, hashed, span, span_rows, start, rank, span_of, copies, copy, *unit_of) = spare_names(
+        docs, "src", "id", "size", "c", "n", "hash", "span", "rows", "start", "rank", "span_of", "copies", "copy", "src_of", "id_of", "size_of")
     mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
     counts = scratch.write(
-        mixed.groupBy(F.col("source").alias("__src"), F.col("doc_id").alias("__id"), F.col("size").alias("__size"))
-        .agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__n")).where(F.col("__c") > 0), "counts")
+        mixed.groupBy(F.col("source").alias(src), F.col("doc_id").alias(own_id), F.col("size").alias(size))
+        .agg(F.sum("copies").alias(c), F.count(F.lit(1)).alias(n)).where(F.col(c) > 0), "counts")
     # mostly few or none, so that the texts need not move for them
-    shared = scratch.write(counts.where(F.col("__n") > 1), "shared")
+    shared = scratch.write(counts.where(F.col(n) > 1), "shared")
 
     def rows_of(units: DataFrame) -> DataFrame:
-        return docs.join(units, F.col(source_col).cast("string").eqNullSafe(F.col("__src"))
-                         & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-                         & word_count(F.col(text_col)).eqNullSafe(F.col("__size")))
+        return docs.join(units, F.col(source_col).cast("string").eqNullSafe(F.col(src))
+                         & F.col(id_col).cast("long").eqNullSafe(F.col(own_id))
+                         & word_count(F.col(text_col)).eqNullSafe(F.col(size)))
 
     # rows of a unit are numbered by hash spans, so that a large unit is not sorted in one task
-    content = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    many = rows_of(shared).withColumn("__hash", F.xxhash64(*content)).withColumn("__span", F.pmod("__hash", F.lit(SPANS)))
-    unit = ["__src", "__id", "__size"]
-    spans = many.groupBy(*unit, "__span").agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy(*unit).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = spans.select(*[F.col(c).alias(f"{c}_of") for c in unit], F.col("__span").alias("__span_of"),
-                          F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
-    ranked = many.withColumn("__rank", F.row_number().over(Window.partitionBy(*unit, "__span").orderBy("__hash")) - 1)
-    same = F.col("__span") == F.col("__span_of")
-    for c in unit:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    content = [column for column, (_, kind) in zip(own_columns(docs), docs.dtypes) if "map<" not in kind and "variant" not in kind]
+    many = rows_of(shared).withColumn(hashed, F.xxhash64(*content)).withColumn(span, F.pmod(hashed, F.lit(SPANS)))
+    unit = [src, own_id, size]
+    spans = many.groupBy(*unit, span).agg(F.count(F.lit(1)).alias(span_rows))
+    before = Window.partitionBy(*unit).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.select(*[F.col(u).alias(o) for u, o in zip(unit, unit_of)], F.col(span).alias(span_of),
+                          F.coalesce(F.sum(span_rows).over(before), F.lit(0)).alias(start))
+    ranked = many.withColumn(rank, F.row_number().over(Window.partitionBy(*unit, span).orderBy(hashed)) - 1)
+    same = F.col(span) == F.col(span_of)
+    for u, o in zip(unit, unit_of):
+        same = same & F.col(u).eqNullSafe(F.col(o))
     dealt = (ranked.join(starts, same)
-             .withColumn("__copies", F.floor(F.col("__c") / F.col("__n")).cast("long")
-                         + (F.col("__start") + F.col("__rank") < F.col("__c") % F.col("__n")).cast("long"))
-             .where(F.col("__copies") > 0))
-    single = rows_of(counts.where(F.col("__n") == 1)).withColumn("__copies", F.col("__c"))
-    every = single.select(*docs.columns, "__copies").unionByName(dealt.select(*docs.columns, "__copies"))
-    return every.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+             .withColumn(copies, F.floor(F.col(c) / F.col(n)).cast("long")
+                         + (F.col(start) + F.col(rank) < F.col(c) % F.col(n)).cast("long"))
+             .where(F.col(copies) > 0))
+    single = rows_of(counts.where(F.col(n) == 1)).withColumn(copies, F.col(c))
+    every = single.select(*own_columns(docs), copies).unionByName(dealt.select(*own_columns(docs), copies))
+    return every.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*own_columns(docs))

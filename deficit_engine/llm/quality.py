@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deficit_engine.llm.common import Scratch, ship_package
-from deficit_engine.llm.units import text_slices
+from deficit_engine.llm.units import hold_caches, text_slices
 
 SAMPLE = 30_000
 BINS = 24
@@ -105,6 +105,7 @@ def features(texts: list[str]) -> np.ndarray:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold_caches("quality")
     for batch in batches:
         for part in text_slices(batch, "text"):
             x = features([t or "" for t in part.column("text").to_pylist()])

@@ -41,7 +41,7 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"digest_index_{uuid.uuid4().hex}"
-    index = exact_dedup.DigestIndex(spark, name, Scratch(spark, "index").path(name))
+    index = exact_dedup.DigestIndex(spark, name, Scratch(spark, "index").path(name), temporary=True)
     marked = exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), index)
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
                          F.col("digest").alias("text_sha256"))

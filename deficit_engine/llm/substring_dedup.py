@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deficit_engine.llm.common import Scratch, ship_package
-from deficit_engine.llm.units import CACHE_UNITS, text_slices
+from deficit_engine.llm.units import CACHE_UNITS, hold_caches, text_slices
 
 WINDOW, GRAM = 20, 8
 SHARD_ANCHORS = 5_000      # anchor occurrences of an owner that make one part of its shard
@@ -60,6 +60,11 @@ class WordHashes(dict):
 _WORDS = WordHashes()
 
 
+def hold_words() -> None:
+    """Keep the cache of word hashes in this worker, and no other operator's."""
+    hold_caches("words", _WORDS.clear)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_WORDS) > CACHE_UNITS:
         _WORDS.clear()
@@ -100,6 +105,7 @@ def anchors(words: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold_words()
     for batch in batches:
         for part in text_slices(batch, "text"):
             texts = [(t or "").encode().split() for t in part.column("text").to_pylist()]
@@ -209,6 +215,7 @@ LOCATED = pa.schema([("rid", pa.int64()), ("name", pa.int64()), ("gone", pa.list
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (owner, part), the owner's passages first. Only these are held."""
+    hold_caches("automata")
     shard, own, automata = None, [], None
     out: dict[str, list] = {name: [] for name in LOCATED.names}
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deficit_engine.llm.common import ship_package
-from deficit_engine.llm.units import UnitEncoder, binary_column, text_slices
+from deficit_engine.llm.units import UnitEncoder, binary_column, hold_caches, text_slices
 
 MAGIC, VERSION = b"TIDB", 1
 HEADER = struct.Struct("<4sHHIIIII")    # magic, version, flags, ids, documents, id bound, lanes, crc of the ids
@@ -327,13 +327,14 @@ class WordEncoder(UnitEncoder):
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
 def _write_blocks(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_caches("token_files", word_encoder.cache_clear)
         enc, part = word_encoder(path), TaskContext.get().partitionId()
         docs, missing, counts, ids = [], [], [], []
         held = first = block = 0
@@ -388,6 +389,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, *, id_col: st
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold_caches("token_files", word_encoder.cache_clear)
     for batch in batches:
         for start, payload in zip(batch.column("start").to_pylist(), batch.column("payload")):
             names, none, counts, ids = unpack_block(payload.as_py())
