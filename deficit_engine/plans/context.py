@@ -53,8 +53,10 @@ COHORTS = {"claims": "start", "survey": "window_start"}
 HIT_FOLDERS = ("index_name", "acute_lookback", "chronic_lookback")
 
 
-def _over(found: Slices, search) -> DataFrame:
+def _over(found: Slices | DataFrame, search) -> DataFrame:
     """A search of the bucketed events and of those of heavy persons."""
+    if isinstance(found, DataFrame):
+        found = Slices(None, found)
     parts = [search(part, colocated) for part, colocated in ((found.light, True), (found.heavy, False)) if part is not None]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
@@ -185,23 +187,23 @@ class RunContext:
         """Buckets of the event store and of everything that is joined with it."""
         def count():
             there = open_store(self.spark, self._store_name)
-            return there.buckets if there else bucket_count(self.spark, self._domain_tables().count())
+            return there.buckets if there else bucket_count(self.spark, self.events().count())
         return self._memo(("buckets",), count)
 
     @property
     def store(self) -> EventStore:
         """The events of all domains in buckets by person."""
         return self._memo(("store",), lambda: update_store(
-            self._domain_tables(with_source=True), self._store_name, self.event_inputs, buckets=self.buckets))
+            self.events(with_source=True), self._store_name, self.event_inputs, buckets=self.buckets))
 
-    def events(self, with_source: bool = False, only: str | None = None) -> Slices:
+    def slices(self, with_source: bool = False, only: str | None = None) -> Slices:
         """Events of the store, or of the tables where nothing is materialised."""
         if not self.materialize_tables:
-            return Slices(None, self._domain_tables(with_source, only))
+            return Slices(None, self.events(with_source, only))
         got = self.store.slices()
         return got if only is None else got.where(F.col("domain") == only)
 
-    def _domain_tables(self, with_source: bool = False, only: str | None = None) -> DataFrame:
+    def events(self, with_source: bool = False, only: str | None = None) -> DataFrame:
         t = self.t
         tabs = {"condition": t.condition_occurrence, "observation": t.observation,
                 "procedure": t.procedure_occurrence, "device": t.device_exposure}
@@ -209,10 +211,11 @@ class RunContext:
             tabs = {k: (v if k == only else None) for k, v in tabs.items()}
         return events.domain_events(**tabs, with_source=with_source)
 
-    def search(self, found: Slices, fi: str = "vafi", of: str = "claims", members: DataFrame | None = None,
+    def search(self, found: Slices | DataFrame, fi: str = "vafi", of: str = "claims", members: DataFrame | None = None,
                **kw) -> DataFrame:
         """C1-C11 over a cohort (or some of its ``members``) with the run
-        defaults (date bound, reused windows and categories)."""
+        defaults (date bound, reused windows and categories). ``found``: events
+        of the store, or any others."""
         settings = kw.get("lookbacks") or [(kw.get("acute", 1), kw.get("chronic", 1))]
         # defaults are built lazily: each one may run (small) jobs
         if "date_bound" not in kw:
@@ -258,7 +261,7 @@ class RunContext:
             if self.home and self.materialize_tables:
                 return incremental.refresh_hits(self, of)
             # one folder per (index, window): a report reads only its own slice
-            found = self.events()
+            found = self.slices()
             return self._keep(self.search_all(found, of), f"hits_all_indices_{of}", partition_by=list(HIT_FOLDERS),
                               by_person=True, dealt=found.heavy is None)
         return self._memo(("hits_all", of), build)
@@ -269,7 +272,7 @@ class RunContext:
             h = self.hits_all(of).filter((F.col("index_name") == fi) & (F.col("acute_lookback") == acute)
                                          & (F.col("chronic_lookback") == chronic))
         else:
-            h = self.search(self.events(), fi, of, acute=acute, chronic=chronic, unique_categories=True)
+            h = self.search(self.slices(), fi, of, acute=acute, chronic=chronic, unique_categories=True)
             # A person has at most (categories x scores) deficit rows, so hashing them
             # by person is skew-safe; what follows reuses this one partitioning.
             h = h.repartition("person_id")
@@ -280,7 +283,7 @@ class RunContext:
     def source_events(self) -> DataFrame:
         """C12 rows of the claims cohort, searched and written once."""
         def build():
-            found = self.events(with_source=True)
+            found = self.slices(with_source=True)
             rows = _over(found, lambda part, colocated: events.source_code_search(
                 part, self.cohort, self.t.concept, codes.source_code_set(self.t.source_codes),
                 date_bound=self.date_range(1), colocated=colocated))

@@ -71,7 +71,7 @@ def refresh_hits(c: RunContext, of: str) -> DataFrame:
         return open_table(c.spark, before)
     # years that are not told apart can't be compared
     known = same and "" not in before.inputs and "" not in c.event_inputs
-    hits = _updated(c, of, before, number) if known else c.search_all(c.events(), of)
+    hits = _updated(c, of, before, number) if known else c.search_all(c.slices(), of)
     order = [x for x in hits.columns if x not in HIT_FOLDERS]
     hits = hits.select(*order, *HIT_FOLDERS).repartition(c.buckets, "person_id").distinct()
     folder = new_folder(c.spark, name)

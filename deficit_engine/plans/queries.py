@@ -164,7 +164,7 @@ def _(c: RunContext):
 
 # --- event search --------------------------------------------------------------
 def _domain_hits(c: RunContext, domain: str) -> DataFrame:
-    return c.search(c.events(only=domain), join_now=False)
+    return c.search(c.slices(only=domain), join_now=False)
 
 
 @query("hits_condition")
@@ -194,25 +194,25 @@ def _(c: RunContext):
 @query("hits_all")
 def _(c: RunContext):
     """C8 + C9: all domains, categories attached (multiset)."""
-    return c.search(c.events())
+    return c.search(c.slices())
 
 
 @query("hits_unique")
 def _(c: RunContext):
     """Unique categories, windows (1,1)."""
-    return c.search(c.events(), unique_categories=True)
+    return c.search(c.slices(), unique_categories=True)
 
 
 @query("hits_unique_1_3")
 def _(c: RunContext):
     """C10 with acute 1 / chronic 3 years."""
-    return c.search(c.events(), acute=1, chronic=3, unique_categories=True)
+    return c.search(c.slices(), acute=1, chronic=3, unique_categories=True)
 
 
 @query("hits_by_id_unique")
 def _(c: RunContext):
     """C10 through the id-membership concept form (B3), lookback re-attached."""
-    return c.search(c.events(), unique_categories=True, join_to_concept=False)
+    return c.search(c.slices(), unique_categories=True, join_to_concept=False)
 
 
 @query("deficits_1y")
@@ -565,7 +565,7 @@ def _(c: RunContext):
 @query("posthoc_categories")
 def _(c: RunContext):
     """Concept-level hits with categories attached afterwards."""
-    h = c.search(c.events(), join_now=False)
+    h = c.search(c.slices(), join_now=False)
     return report.attach_categories(h, c.t.code_list)
 
 

@@ -37,7 +37,7 @@ def above_event_scans(df, table):
 
 
 def store_table(c):
-    return c.store.slices().light.inputFiles() and c.events().light._jdf.queryExecution().analyzed().toString().split("published_")[1][:16]
+    return c.store.slices().light.inputFiles() and c.slices().light._jdf.queryExecution().analyzed().toString().split("published_")[1][:16]
 
 
 @pytest.mark.parametrize("broadcast", ["10m", "-1"])
@@ -49,7 +49,7 @@ def test_search_moves_no_events(spark, broadcast):
     try:
         cs = c.code_set_all()
         # the code set is a few rows and told so; the cohort meets the events in their buckets
-        found = c.search(c.events(), windows=F.broadcast(c.windows_all()), categories=F.broadcast(cs.select("concept_id", "index_name", "category", "score")),
+        found = c.search(c.slices(), windows=F.broadcast(c.windows_all()), categories=F.broadcast(cs.select("concept_id", "index_name", "category", "score")),
                          code_set=cs, tag="index_name", lookbacks=[(1, 1), (3, 3)], unique_categories=True)
         path = above_event_scans(found, store_table(c))
         assert path and not [x for x in path if "Exchange" in x]
@@ -66,7 +66,7 @@ def test_store_equals_the_plain_search(spark):
     c = context(spark, SF_SMALL)
     plain = RunContext(spark, SF_SMALL, materialize_tables=False)
     assert rows(c.deficits("vafi", 3, 3)) == rows(plain.deficits("vafi", 3, 3))
-    assert rows(c.search(c.events())) == rows(plain.search(plain.events()))
+    assert rows(c.search(c.slices())) == rows(plain.search(plain.slices()))
     assert rows(c.source_events()) == rows(plain.source_events())
 
 
@@ -88,7 +88,7 @@ def test_a_person_with_a_third_of_all_events(spark, monkeypatch):
     tables, person = heavy_tables(spark, small)
     c = RunContext.from_tables(spark, tables, "a third of all events")
     found = c.store.slices()
-    everything = c._domain_tables(with_source=True).distinct()
+    everything = c.events(with_source=True).distinct()
     n, own = everything.count(), everything.where(F.col("person_id") == person).count()
     assert own > n / 4
     # kept apart, whole, and nobody's events twice
