@@ -299,10 +299,14 @@ def _region_links(members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame
     spread = scratch.write(_with_pivots(large.select("node", "region", "set"), chosen, rule), "spread")
     stars = spread.select("node", F.explode(F.filter(F.transform("to", lambda t, i: F.when(F.get(F.col("hit"), i), t)), lambda x: x.isNotNull())).alias("v"))
     nearest = F.array_min("far")
-    placed = (spread.withColumn("nearest", nearest)
-              .select("node", "region", "set", "nearest", F.posexplode(F.arrays_zip("to", "far", "hit")))
+    # a node beyond the radius of its nearest pivot is compared in that region alone, which holds all
+    # its partners; one inside that radius is compared where it is a guest, beyond the pivot's radius
+    home = (F.array_position("far", F.col("nearest")) - 1).cast("int")
+    placed = (spread.withColumn("nearest", nearest).withColumn("home", home).withColumn("settled", F.get("hit", F.col("home")))
+              .select("node", "region", "set", "nearest", "home", "settled", F.posexplode(F.arrays_zip("to", "far", "hit")))
               .where(F.col("col.far") <= F.col("nearest") + 2 * rule.radius + 1e-9)
-              .select("node", F.xxhash64("region", "col.to").alias("region"), "set", (~F.col("col.hit")).alias("rim"),
+              .select("node", F.xxhash64("region", "col.to").alias("region"), "set",
+                      (~F.col("col.hit") & ((F.col("pos") == F.col("home")) | F.col("settled"))).alias("rim"),
                       F.col("col.far").alias("far")))
     # the join of a region: nodes beyond the radius against all, in blocks
     rows = scratch.write(small_rows.unionByName(placed), "regions")
