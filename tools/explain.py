@@ -23,7 +23,7 @@ def main() -> None:
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     c = context(spark, sf_dir)
     plans = {
-        "event search (all windows)": c.search(c.events(), lookbacks=STANDARD_WINDOWS,
+        "event search (all windows)": c.search(c.slices(), lookbacks=STANDARD_WINDOWS,
                                                unique_categories=True),
         "hit table read": c.deficits("efi", 3, 3),
         "scores + band summary": report.summarize_bands(
