@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_registry():
     names = entry.queries()
     assert [n for n in queries.REGISTRY if n not in names] == []
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.REGISTRY) == list(range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run
     assert set(oracle.ORACLE) <= set(names) and len(corpus_pipeline.STAGES) == 5
 
