@@ -10,12 +10,22 @@ per key afterwards are redistributed on a finer key first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+TASK_ROWS = 250_000     # rows of a task that keeps them all in memory, about
 
 
 def redistribute(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hash ``rows`` on ``keys`` (finer than the join key below): lets AQE split
     that join, and is the partitioning of the aggregates that follow."""
     return rows.repartition(*keys)
+
+
+def task_count(spark: SparkSession, rows: int, per_task: int | None = None) -> int:
+    """Partitions for ``rows`` that are sorted or aggregated whole: as many as
+    shuffles have, more for many rows. AQE never makes more partitions than
+    shuffles start with, so without this a task grows with the input and spills."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / (per_task or TASK_ROWS)))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deficit_engine.constants import ANTIBIOTIC_ANCESTOR_ID
+from deficit_engine.operators.skew import task_count
 from deficit_engine.session import checkpoint_dir
 from deficit_engine.sources.io import files_fingerprint, table_exists
 
@@ -71,8 +72,9 @@ def _i(c):
     return (F.col(c) if isinstance(c, str) else c).cast("int")
 
 
-def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Lazy projections of the driver tables into the OMOP inputs."""
+def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame | int]:
+    """Lazy projections of the driver tables into the OMOP inputs, and the
+    number of tasks (``tasks``) that the line items are dealt over."""
     customer = _read(spark, sf_dir, "customer")
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
@@ -93,8 +95,10 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                           _d("o_orderdate").alias("visit_start_date"))
 
     # One scan/join of the line items feeds every event-like table.
-    lines = (lineitem.join(orders.select("o_orderkey", "o_custkey"),
-                           lineitem.l_orderkey == orders.o_orderkey)
+    tasks, owners = task_count(spark, lineitem.count()), orders.select("o_orderkey", "o_custkey")
+    if tasks > task_count(spark, 0):    # large: a join sorts a bounded number of rows in a task
+        lineitem, owners = lineitem.repartition(tasks, "l_orderkey"), owners.repartition(tasks, "o_orderkey")
+    lines = (lineitem.join(owners, lineitem.l_orderkey == owners.o_orderkey)
              .select(F.col("o_custkey").alias("person_id"), "l_orderkey", "l_partkey",
                      "l_linenumber", _d("l_shipdate").alias("ship_date"), "l_returnflag",
                      "l_quantity", (F.col("l_linenumber") % 4).alias("domain"),
@@ -104,10 +108,10 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ingredient = part.select(brand_no.alias("b")).distinct()
     return {"person": person, "visit_occurrence": visit, "lines": lines, "part": part,
             "ingredient": ingredient, "region": region, "customer": customer,
-            "orders": orders}
+            "orders": orders, "tasks": tasks}
 
 
-def _derived(spark: SparkSession, base: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def _derived(spark: SparkSession, base: dict[str, DataFrame | int]) -> dict[str, DataFrame]:
     lines, part, ingredient, region = base["lines"], base["part"], base["ingredient"], base["region"]
     visit, customer, orders = base["visit_occurrence"], base["customer"], base["orders"]
     out: dict[str, DataFrame] = {"person": base["person"], "visit_occurrence": visit}
@@ -144,7 +148,9 @@ def _derived(spark: SparkSession, base: dict[str, DataFrame]) -> dict[str, DataF
         F.when(q > 45, F.lit(None).cast("int")).when(q == 1, F.lit(-1))
         .when(q == 2, F.lit(0)).otherwise(_i(q)).cast("int").alias("days_supply"))
 
-    out["drug_era"] = lines.groupBy("person_id", "l_partkey").agg(
+    # few lines share a (person, drug): reducing them before the shuffle would
+    # fill and spill a hash table of nearly all lines, and save nothing
+    out["drug_era"] = lines.repartition(base["tasks"], "person_id", "l_partkey").groupBy("person_id", "l_partkey").agg(
         F.min("ship_date").alias("drug_era_start_date"),
         F.date_add(F.max("ship_date"), 30).alias("drug_era_end_date")).select(
         "person_id", _i("l_partkey").alias("drug_concept_id"), "drug_era_start_date",
@@ -260,7 +266,7 @@ def omop_tables(spark: SparkSession, sf_dir: str, *, materialize: bool = True,
         # keep a folder's files few and a person's events together.
         lines_path = f"{root}/_lines"
         if not table_exists(spark, lines_path):
-            (base["lines"].repartitionByRange("domain", "event_year", "person_id")
+            (base["lines"].repartitionByRange(base["tasks"], "domain", "event_year", "person_id")
              .sortWithinPartitions("domain", "event_year", "person_id")
              .write.mode("overwrite").partitionBy("domain", "event_year").parquet(lines_path))
         base["lines"] = spark.read.parquet(lines_path)
