@@ -20,17 +20,17 @@ for the years whose input files changed.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Mapping
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deficit_engine.operators.skew import task_count
 from deficit_engine.sources.io import (
     Manifest, _fs, commit_manifest, latest_manifest, new_folder, open_table, write_bucketed)
 
-BUCKET_ROWS = 20_000_000    # events of a bucket, about
+BUCKET_ROWS = 300_000       # events of a bucket, about: one task searches a bucket, all indices and windows in 0.7 GB
 HEAVY = 1_000_000           # events of a person in a year, beyond which the person is kept apart
 YEAR = "event_year"
 
@@ -46,7 +46,7 @@ class Slices(NamedTuple):
 
 def bucket_count(spark: SparkSession, rows: int) -> int:
     """Buckets of a new store: as many as shuffles have partitions, more for many events."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / BUCKET_ROWS))
+    return task_count(spark, rows, BUCKET_ROWS)
 
 
 def _year_folders(spark: SparkSession, folder: str) -> dict[str, str]:
