@@ -69,28 +69,37 @@ def _islands(spans: DataFrame, within: Sequence[str], days: int) -> DataFrame:
 
 def build_drug_eras(exposures: DataFrame, *, item: str = "ingredient_concept_id",
                     start: str = "drug_exposure_start_date", end: str = "drug_exposure_end_date",
-                    persistence: int = PERSISTENCE_DAYS) -> DataFrame:
+                    persistence: int = PERSISTENCE_DAYS, tasks: int | None = None) -> DataFrame:
     """Drug eras: exposures of one person to one item, merged while the next
     starts at most ``persistence`` days after the latest end so far.
 
     The days that exposures cover may be united in any grouping, so that is done
     twice: first inside a year of start dates, then over what is left of all
     years, where a span still open at the year's end meets the next ones. Spans
-    that are apart by no more than ``persistence`` days then make an era. A person
-    with a third of all exposures is spread over (item, year), after exposures
-    that start on one day were reduced to the longest of them before any shuffle.
+    that are apart by no more than ``persistence`` days then make an era.
+
+    There are two shuffles: by (person, item, year), where exposures that start on
+    one day are reduced to the longest of them and a year's are united, and by
+    (person, item) for the rest, of which each has at most one span a day. So a person with a
+    third of all exposures is spread over (item, year). Both have ``tasks``
+    partitions (as many as shuffles have, if not given): the sorts of a task hold
+    all its rows, so ``tasks`` has to grow with the exposures, see
+    :func:`deficit_engine.operators.skew.task_count`.
 
     An end before its start counts as the start; rows without a person, item
     or start are left out. Output: person_id, ``item``, drug_era_start_date,
     drug_era_end_date, drug_exposure_count, gap_days (days of the era between
     exposures).
     """
+    over = (tasks,) if tasks else ()
     spans = (exposures.where(F.col("person_id").isNotNull() & F.col(item).isNotNull() & F.col(start).isNotNull())
-             .groupBy("person_id", item, F.col(start).alias("start"))
-             .agg(F.greatest(F.max(end), F.col("start")).alias("end"), F.count(F.lit(1)).alias("n"))
+             .select("person_id", item, F.year(start).alias("year"), F.col(start).alias("start"), F.col(end).alias("end"))
+             .repartition(*over, "person_id", item, "year")
+             .groupBy("person_id", item, "year", "start")
+             .agg(F.greatest(F.max("end"), F.col("start")).alias("end"), F.count(F.lit(1)).alias("n"))
              .withColumn("gap", F.lit(0).cast("long")))
-    yearly = _islands(spans.withColumn("year", F.year("start")), ["person_id", item, "year"], 0)
-    eras = _islands(_islands(yearly.drop("year"), ["person_id", item], 0), ["person_id", item], persistence)
+    yearly = _islands(spans, ["person_id", item, "year"], 0).drop("year").repartition(*over, "person_id", item)
+    eras = _islands(_islands(yearly, ["person_id", item], 0), ["person_id", item], persistence)
     return eras.select("person_id", item, F.col("start").alias("drug_era_start_date"), F.col("end").alias("drug_era_end_date"),
                        F.col("n").cast("long").alias("drug_exposure_count"), F.col("gap").cast("long").alias("gap_days"))
 

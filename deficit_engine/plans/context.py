@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from deficit_engine.constants import AGE_BREAKS_CLAIMS, AGE_BREAKS_RESEARCH
 from deficit_engine.operators import codes, cohort, drugs, events
 from deficit_engine.operators.events import check_index
+from deficit_engine.operators.skew import task_count
 from deficit_engine.plans import incremental
 from deficit_engine.sources.event_store import EventStore, Slices, bucket_count, open_store, update_store
 from deficit_engine.sources.fixtures import OmopTables, input_fingerprint, omop_tables
@@ -313,6 +314,11 @@ class RunContext:
                                       ingredient_map=self.ingredient_map(),
                                       exclusions=self.exclusions())
 
+    def built_eras(self, exposures: DataFrame) -> DataFrame:
+        """D5 eras of rebuilt exposures, in tasks that do not grow with them."""
+        tasks = self._memo(("era_tasks",), lambda: task_count(self.spark, self.t.drug_exposure.count()))
+        return drugs.build_drug_eras(exposures, tasks=tasks)
+
     def in_window(self, strict_supply: bool = False, of: str = "claims") -> DataFrame:
         """D2 exposures in the one-year window, materialised once (the
         persisted polypharmacy input of the original workflow). The survey

@@ -308,15 +308,15 @@ def _(c: RunContext):
 @query("drug_era_built")
 def _(c: RunContext):
     """Drug eras of all rebuilt exposures: ingredients merged over gaps of up to 30 days."""
-    return drugs.build_drug_eras(c.drug_era())
+    return c.built_eras(c.drug_era())
 
 
 @query("polypharmacy_era_built")
 def _(c: RunContext):
     """D5 on built eras: duration > 1 day, no exclusions, threshold 5."""
     t = c.t
-    eras = drugs.build_drug_eras(drugs.rebuild_drug_era(t.drug_exposure, t.concept, t.concept_ancestor, exclude=False,
-                                                        ingredient_map=c.ingredient_map()))
+    eras = c.built_eras(drugs.rebuild_drug_era(t.drug_exposure, t.concept, t.concept_ancestor, exclude=False,
+                                               ingredient_map=c.ingredient_map()))
     w = drugs.exposures_in_window(eras, c.cohort, start="drug_era_start_date", end="drug_era_end_date", strict=True,
                                   **c.exposure_bounds())
     return drugs.polypharmacy(w, c.cohort, 5)

@@ -146,3 +146,15 @@ def test_eras_of_a_heavy_person_equal_a_plain_merge(spark):
                 last, n = max(last, e), n + 1
         want.append((*key, str(first), str(last), n, gap))
     assert _eras(spark, rows) == sorted(want)
+
+
+def test_eras_are_built_in_as_many_tasks_as_asked(spark):
+    rows = [(p, i, f"{y}-{m:02d}-01", f"{y}-{m:02d}-04") for p in range(30) for i in (5, 6) for y in (2019, 2020) for m in (1, 2, 6, 7)]
+    df = spark.createDataFrame([(p, i, D.fromisoformat(s), D.fromisoformat(e)) for p, i, s, e in rows],
+                               "person_id long, ingredient_concept_id int, drug_exposure_start_date date, drug_exposure_end_date date")
+    eras = drugs.build_drug_eras(df, tasks=40)
+    plan = eras._jdf.queryExecution().executedPlan().toString()
+    # two shuffles, of the given width; the sorts and sums above them move nothing
+    assert plan.count("Exchange hashpartitioning(") == 2 and plan.count(", 40), REPARTITION_BY_NUM") == 2
+    assert eras.rdd.getNumPartitions() == 40
+    assert _eras(spark, rows, tasks=40) == _eras(spark, rows)
