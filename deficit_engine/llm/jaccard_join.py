@@ -11,6 +11,9 @@ into clusters that no link crosses:
      the contents of a bucket are hashed to a key. A document with N filled
      buckets shares at least N - k keys with any partner, so one with fewer
      recurring keys is out. The rest, joined by shared keys, forms clusters.
+     A large cluster is cut again by whole shingles: linked sets share one of
+     the shingles that are left in each when its most frequent ones, one less
+     than a partner must share, are set aside.
   3. In a cluster the document whose keys recur most is the pivot p. Whoever is
      within the radius r = 1-t of p is linked to it, and pairs of those need no
      further look. A pair x, y beyond it is possible only in the window
@@ -78,6 +81,10 @@ class Rule:
     def linked(self, common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return 100 * common >= self.percent * (n + m - common)
 
+    def shared(self, n: int) -> int:
+        """Fewest shingles that a set of size n shares with a partner."""
+        return -(-self.percent * n // 100)
+
     def differing(self, ring: int) -> int:
         """Most shingles in which two linked sets of a ring can differ."""
         return (100 - self.percent) * 2 * (self.edges[ring + 1] - 1) // (100 + self.percent)
@@ -145,6 +152,18 @@ def _sets(rule: Rule):
     return run
 
 
+def _set_shingles(rule: Rule):
+    """One row per shingle of a set, with the number of them that a partner must share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, own in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist()):
+                s = np.frombuffer(own, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(s), node, np.int64)), pa.array(np.full(len(s), rule.shared(len(s)), np.int32)), pa.array(s)],
+                    ["node", "need", "shingle"])
+    return run
+
+
 def common_counts(a: np.ndarray, values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     """|a & z| for n sets z, given by all their sorted values and whose each is."""
     low, high = np.searchsorted(values, a, "left"), np.searchsorted(values, a, "right")
@@ -270,6 +289,54 @@ def _with_pivots(rows: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(pivots, "region").select("node", "region", "set", "pivots").mapInArrow(_measure(rule), MEASURED)
 
 
+def _cut_clusters(members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """``members`` with every cluster that is too large for one region cut into
+    finer ones; nodes that can have no partner go.
+
+    With the shingles of a set in order of their frequency in the large clusters,
+    a partner shares ``need`` of them, so the rarest shared one stands before the
+    last need - 1 of both sets. Nodes meet in those shingles alone."""
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("set") / 8).alias("weight"))
+    # each of these clusters has a share of the nodes or of the shingles, so they are few
+    large = scratch.write(sizes.where((F.col("n") > REGION) | (F.col("weight") > REGION_SHINGLES)).select("cluster"), "large")
+    if not large.limit(1).count():
+        return members
+    rows = (members.join(F.broadcast(large), "cluster").select("node", "set")
+            .mapInArrow(_set_shingles(rule), "node long, need int, shingle long"))
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # shingles of one node alone are its rarest, so ranks from the most frequent one down need only the others
+    down = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("shingle"))
+    rare = scratch.write(rows.join(often, "shingle").withColumn("place", F.row_number().over(down)).where("place >= need")
+                         .select("node", "shingle"), "rare")
+    met = rare.groupBy("shingle").agg(F.min("node").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = rare.join(met, "shingle").select(F.col("node").alias("u"), F.col("lo").alias("v"))
+    finer = components(edges, scratch, "finer")
+    cut = (members.join(F.broadcast(large), "cluster").drop("cluster")
+           .join(finer.withColumnRenamed("component", "cluster"), "node").select(members.columns))
+    out = scratch.write(members.join(F.broadcast(large), "cluster", "left_anti").select(members.columns).unionByName(cut), "cut")
+    scratch.drop("members", "large", "rare", "finer_components")
+    return out
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Regions (node, region, set, rim, far) cut into blocks (region, i, j): some of its nodes beyond the
+    radius (rim) and some of all its nodes. A join deals rows by region, which would do for blocks as well
+    and put all of a region's into one task, so they are dealt again."""
+    load = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_if("rim").alias("n_rim"), F.sum(F.length("set") / 8).alias("weight"))
+    mean = F.greatest(F.lit(1.0), F.col("weight") / F.col("n"))
+    per_block = F.greatest(F.lit(1.0), F.least(F.lit(float(REGION)), F.lit(float(REGION_SHINGLES)) / mean))
+    load = load.where("n_rim > 0").select(F.col("region").alias("of"), F.ceil(F.col("n") / per_block).cast("int").alias("all_blocks"),
+                                          F.ceil(F.col("n_rim") / per_block).cast("int").alias("rim_blocks"))
+    cut = rows.join(load, F.col("region") == F.col("of"))
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = cut.where("rim").withColumn("i", block("rim_blocks")).withColumn("j", each("all_blocks"))
+    z = cut.withColumn("j", block("all_blocks")).withColumn("i", each("rim_blocks"))
+    columns = ["region", "i", "j", "node", "far", "set"]
+    return (a.select(*columns, F.lit(True).alias("rim")).unionByName(z.select(*columns, F.lit(False).alias("rim")))
+            .repartition("region", "i", "j"))
+
+
 def _region_links(members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Links (u, v) among the nodes (node, cluster, weight, set) of each cluster that give its components."""
     nodes = members.select("node", F.col("cluster").alias("region"), "set")
@@ -311,20 +378,8 @@ def _region_links(members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame
     # the join of a region: nodes beyond the radius against all, in blocks
     rows = scratch.write(small_rows.unionByName(placed), "regions")
     stars = scratch.write(star.unionByName(stars.select(F.col("node").alias("u"), "v")), "stars")
-    scratch.drop("members", "measured", "spread")
-    load = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_if("rim").alias("n_rim"), F.sum(F.length("set") / 8).alias("weight"))
-    mean = F.greatest(F.lit(1.0), F.col("weight") / F.col("n"))
-    per_block = F.greatest(F.lit(1.0), F.least(F.lit(float(REGION)), F.lit(float(REGION_SHINGLES)) / mean))
-    load = load.where("n_rim > 0").select(F.col("region").alias("of"), F.ceil(F.col("n") / per_block).cast("int").alias("all_blocks"),
-                                          F.ceil(F.col("n_rim") / per_block).cast("int").alias("rim_blocks"))
-    cut = rows.join(load, F.col("region") == F.col("of"))
-    block = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = cut.where("rim").withColumn("i", block("rim_blocks")).withColumn("j", each("all_blocks"))
-    z = cut.withColumn("j", block("all_blocks")).withColumn("i", each("rim_blocks"))
-    columns = ["region", "i", "j", "node", "far", "set"]
-    found = (a.select(*columns, F.lit(True).alias("rim")).unionByName(z.select(*columns, F.lit(False).alias("rim")))
-             .groupBy("region", "i", "j").applyInArrow(_blocks(rule), "u long, v long"))
+    scratch.drop("members", "cut", "measured", "spread")
+    found = _dealt(rows).groupBy("region", "i", "j").applyInArrow(_blocks(rule), "u long, v long")
     links = scratch.write(stars.unionByName(found).where("u <> v"), "links")
     scratch.drop("regions", "stars")
     return links
@@ -362,7 +417,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col
     members = scratch.write(rows.join(bearer.select("rid", "node", F.col("component").alias("cluster"), "weight"), "rid")
                             .select("node", "cluster", "weight", "text").mapInArrow(_sets(rule), "node long, cluster long, weight long, set binary")
                             .groupBy("node", "cluster", "weight").agg(F.first("set").alias("set")), "members")
-    linked = components(_region_links(members, rule, scratch), scratch, "linked")
+    linked = components(_region_links(_cut_clusters(members, rule, scratch), rule, scratch), scratch, "linked")
     ids = base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     named = ids.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

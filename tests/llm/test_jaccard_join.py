@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,6 +94,53 @@ def test_large_regions_are_split(spark, monkeypatch):
     assert run(spark, rows, 3, 90) == brute(rows, 3, 90)
 
 
+def test_clusters_of_shared_passages_are_cut(spark, monkeypatch):
+    """Texts that share a passage meet in keys; with too few shingles in common for a link they are not one cluster."""
+    monkeypatch.setattr(jj, "REGION", 12)
+    passage = [f"p{k}" for k in range(300)]
+    rows = [(i, " ".join(passage + [f"d{i}w{k}" for k in range(150)])) for i in range(40)]
+    rows += [(100 + i, t + " end") for i, t in rows[:5]]
+    seen, whole, links = {}, jj._cut_clusters, jj._region_links
+
+    def largest(members):
+        return members.groupBy("cluster").count().agg({"count": "max"}).first()[0]
+
+    def cut(members, *rest):
+        seen["before"] = largest(members)
+        return whole(members, *rest)
+
+    def region_links(members, *rest):
+        seen["after"] = largest(members)
+        return links(members, *rest)
+
+    monkeypatch.setattr(jj, "_cut_clusters", cut)
+    monkeypatch.setattr(jj, "_region_links", region_links)
+    assert run(spark, rows, 3, 80) == brute(rows, 3, 80)
+    assert seen["before"] > 12 and seen["after"] == 2
+
+
+def test_blocks_of_a_region_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "REGION", 10)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(60).selectExpr("id node", "7L region", "cast('abcdefgh' as binary) set", "id % 2 = 0 rim", "0.9D far")
+        dealt = jj._dealt(rows).groupBy("region", "i", "j").applyInArrow(_task, "i int, j int, n long, task int").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({(r["i"], r["j"]) for r in dealt}) == 18 and sum(r["n"] for r in dealt) == 30 * 6 + 60 * 3
+    assert len({r["task"] for r in dealt}) > 3
+
+
+def _task(block):
+    from pyspark import TaskContext
+    return pa.table({"i": block["i"][:1], "j": block["j"][:1], "n": [block.num_rows],
+                     "task": pa.array([TaskContext.get().partitionId()], pa.int32())})
+
+
 def test_keep_one(spark):
     rows = corpus(4, 120, 0.03) + EDGES
     kept = jj.keep_one(frame(spark, rows), width=5, percent=80)
