@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,14 +14,22 @@ SLICE_BYTES = 4 << 20       # text handled at once
 CACHE_UNITS = 450_000       # distinct units kept by a worker (about 100 MB); the cache restarts beyond
 
 _HELD: dict[str, Callable[[], None]] = {}
+# glibc keeps freed memory of small objects until it is asked for it
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
 def hold_caches(owner: str, release: Callable[[], None] = lambda: None) -> None:
     """Worker processes are used again by later stages. The caches of one
     operator are kept from task to task; when another operator starts in the
-    process they are released, so that they never add up."""
-    for other in [name for name in _HELD if name != owner]:
+    process they are released, so that they never add up, and the memory goes
+    back to the system: an idle worker would hold it beside its JVM."""
+    others = [name for name in _HELD if name != owner]
+    for other in others:
         _HELD.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _trim(0)
     _HELD[owner] = release
 
 

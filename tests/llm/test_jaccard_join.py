@@ -1,6 +1,9 @@
 """Components of the Jaccard join against brute force."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,8 @@ from deficit_engine.llm import jaccard_join as jj
 from deficit_engine.llm.components import components
 from deficit_engine.llm.common import Scratch
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 def sets_of(text, width):
     words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
@@ -197,3 +202,24 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "x").collect()
     assert {tuple(r) for r in got} == {(x, root(x)) for e in edges if e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t"), "x").count() == 0
+
+
+def test_memory_goes_back_when_another_operator_starts():
+    """Freed small objects are returned to the system, not held by an idle worker."""
+    program = """
+from deficit_engine.llm.units import hold_caches
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+held, last = {}, []
+hold_caches("words", held.clear)
+before = resident()
+for k in range(50_000):
+    held[k] = bytes(2000)
+last.append(bytes(2000))     # stands behind what is freed
+full = resident()
+hold_caches("bpe")
+print(before, full, resident())
+"""
+    out = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, check=True, cwd=ROOT).stdout
+    before, full, after = map(int, out.split())
+    assert full - before > 60 and after - before < (full - before) / 4, out
