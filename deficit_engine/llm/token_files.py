@@ -31,7 +31,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
+from unicodedata import category, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,8 @@ _U = np.uint64
 _TOP, _LOW = _U(1 << 48), _U(1 << 32)
 _W, _HIGH = _U(16), _U(48)
 _MASK = _U((1 << 32) - 1)
+# next confidence after a miss (0 to 15) and a hit (16 to 31)
+_SURER = np.array([*(max(s, 1) - 1 for s in range(16)), *(min(s + 1, 15) for s in range(16))], np.uint8)
 
 
 class _Model:
@@ -66,6 +68,14 @@ class _Model:
         self.seen = np.ones(bound, np.int64)
         self.bound = bound
         self._sum()
+        self._shares()
+
+    def _shares(self) -> None:
+        """Start and size of each outcome's share of the range, and all of it, for every context."""
+        size = self.mix.astype(_U)
+        self.total, self.size = size.sum(1), size.reshape(-1)
+        self.upto = np.cumsum(size, 1, dtype=_U)
+        self.start = (self.upto - size).reshape(-1)
 
     def _sum(self) -> None:
         self.below = np.zeros(self.bound + 1, np.int64)
@@ -77,15 +87,17 @@ class _Model:
         p2, s2, p1, s1 = self.next2[at2], self.sure2[at2], self.next1[last], self.sure1[last]
         return at2, p2, s2, p1, s1, s2.astype(np.int64) * 16 + s1
 
-    def learn(self, ids, last, state, outcome) -> None:
-        at2, p2, s2, p1, s1, context = state
+    def learn(self, ids, last, state, drawn) -> None:
+        """``drawn``: three times the mixing context, and the outcome."""
+        at2, p2, s2, p1, s1, _ = state
         for table, sure, at, p, s in ((self.next2, self.sure2, at2, p2, s2), (self.next1, self.sure1, last, p1, s1)):
             hit = ids == p
             table[at] = np.where(hit | (s > 0), p, ids)
-            sure[at] = np.where(hit, np.minimum(s + 1, 15), np.maximum(s, 1) - 1)
-        self.mix += 8 * np.bincount(context * 3 + outcome, minlength=768).reshape(256, 3)
+            sure[at] = _SURER[s + (hit.view(np.uint8) << 4)]
+        self.mix += 8 * np.bincount(drawn, minlength=768).reshape(256, 3)
         if self.mix.max() > 1 << 22:
             self.mix = (self.mix >> 1) + 1
+        self._shares()
         self.seen += 8 * np.bincount(ids, minlength=self.bound)
         if self.below[-1] + 8 * len(ids) > 1 << 23:
             self.seen = (self.seen + 1) >> 1
@@ -137,14 +149,13 @@ def encode_ids(ids: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
         own = grid[step, :active]
         state = model.predict(last, before)
         outcome = np.where(own == state[1], 0, np.where(own == state[3], 1, 2))
-        f = model.mix[state[5]]
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, f[:, 0], f[:, 0] + f[:, 1]))
-        narrow(slice(0, active), start.astype(_U), f[np.arange(active), outcome].astype(_U), f.sum(1).astype(_U))
+        drawn = state[5] * 3 + outcome
+        narrow(slice(0, active), model.start[drawn], model.size[drawn], model.total[state[5]])
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
             k = own[rest]
             narrow(rest, model.below[k].astype(_U), model.seen[k].astype(_U), _U(model.below[-1]))
-        model.learn(own, last, state, outcome)
+        model.learn(own, last, state, drawn)
         before, last = last, own
     end = ((low + _MASK) >> _U(32))
     every = np.arange(lanes).astype(np.uint16)
@@ -196,14 +207,12 @@ def decode_ids(words: np.ndarray, counts: np.ndarray, n: int, bound: int) -> np.
             last, before = last[:active], before[:active]
         which = slice(0, active)
         state = model.predict(last, before)
-        f = model.mix[state[5]]
-        total = f.sum(1).astype(_U)
+        total = model.total[state[5]]
         r = span[which] // total
-        value = np.minimum((code[which] - low[which]) // r, total - _U(1)).astype(np.int64)
-        one, two = f[:, 0], f[:, 0] + f[:, 1]
-        outcome = (value >= one).astype(np.int64) + (value >= two)
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, one, two))
-        narrow(which, r, start.astype(_U), f[np.arange(active), outcome].astype(_U))
+        value = np.minimum((code[which] - low[which]) // r, total - _U(1))
+        outcome = (value >= model.upto[:, 0][state[5]]).astype(np.int64) + (value >= model.upto[:, 1][state[5]])
+        drawn = state[5] * 3 + outcome
+        narrow(which, r, model.start[drawn], model.size[drawn])
         own = np.where(outcome == 0, state[1], state[3]).astype(np.int64)
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
@@ -213,7 +222,7 @@ def decode_ids(words: np.ndarray, counts: np.ndarray, n: int, bound: int) -> np.
             k = np.searchsorted(model.below, value, "right") - 1
             narrow(rest, r, model.below[k].astype(_U), model.seen[k].astype(_U))
             own[rest] = k
-        model.learn(own, last, state, outcome)
+        model.learn(own, last, state, drawn)
         grid[step, :active] = own
         before, last = last, own
     return grid.T.reshape(-1)[:n]
@@ -256,6 +265,27 @@ def unpack_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return doc_ids, missing.astype(bool), counts, ids
 
 
+def _kind(char: str) -> int:
+    """1 space, 2 letter, 3 number, 4 other sign; 0 where case, contractions, special tokens or white space need the library alone."""
+    if char in "'<\u0130" or category(char)[0] in "CZ" and char != " ":
+        return 0
+    return {"Z": 1, "L": 2, "N": 3}.get(category(char)[0], 4)
+
+
+# below U+0250 no character is changed by or combines under NFC
+_KINDS = np.array([*map(_kind, map(chr, range(0x250))), 0], np.uint8)
+
+
+def _pieces(text: str, units: int) -> np.ndarray:
+    """Number of pieces that the vocabulary's pattern cuts each unit of a text into; 0 where it can't be told here."""
+    kinds = _KINDS[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x250)]
+    unit = np.cumsum(kinds == 1)
+    first = (kinds > 1) & ((kinds == 3) | (kinds != np.concatenate([[1], kinds[:-1]])))
+    pieces = np.bincount(unit[first], minlength=units)
+    pieces[unit[kinds == 0]] = 0
+    return pieces
+
+
 class WordEncoder(UnitEncoder):
     """Ids as the tokenizers library gives them. Its vocabulary drops white
     space and never joins across it, so words between ASCII white space are
@@ -280,35 +310,43 @@ class WordEncoder(UnitEncoder):
         suffix = spec["model"]["end_of_word_suffix"]
         self.ends_word = np.zeros(self.library.get_vocab_size() + 1, bool)
         self.ends_word[[i for t, i in spec["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
-        self.mark = {m: self.library.encode(m, add_special_tokens=False).ids for m in ".,"}
         super().__init__()
 
     def units(self, text: str) -> list[bytes]:
         raw = text.encode()
-        # the vocabulary is in lower case; only the strings of special tokens are told apart by case
-        return (raw if any(t in raw.lower() for t in self.special) else raw.lower()).split()
-
-    def encode_units(self, units: list[bytes]) -> list[list[int]]:
-        """A stop or comma after a letter is a piece of its own, so it is split
-        off, and the library sees each remaining word once; the remaining words
-        become units too."""
-        words = [u.decode() for u in units]
-        stems = [w[:-1] if w[-1] in ".," and normalize("NFC", w[-2:-1]).lower().isalpha() else w for w in words]
-        known, fresh = {}, []
-        for s in dict.fromkeys(stems):
-            code = self.codes.get(s.encode(), self.known)
-            if code < self.known:
-                known[s] = self.flat[self.offsets[code]:self.offsets[code + 1]].tolist()
-            else:
-                fresh.append(s)
-        known.update(self.library_ids(fresh))
-        out = [known[s] if len(s) == len(w) else known[s] + self.mark[w[-1]] for w, s in zip(words, stems)]
-        for s in fresh:
-            own = s.encode()
-            if own not in self.codes:
-                self.codes[own]  # noqa: B018  (numbers it, at the end of the new units)
-                out.append(known[s])
-        return out
+        # the vocabulary is in lower case; only the strings of special tokens are told apart by case, and
+        # capitals under combining marks (lead byte CC): some form one character in lower case alone
+        low = raw.lower()
+        return (raw if b"\xcc" in raw or any(t in low for t in self.special) else low).split()
+
+    def encode_new(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library sees many units as one text. Each piece of a unit (letters,
+        one digit, other characters) ends with an id that ends a word, so the ids
+        are dealt to the units by their numbers of pieces, where these are plain."""
+        found = []
+        for at in range(0, len(units), 2000):
+            some = units[at:at + 2000]
+            pieces = _pieces(b" ".join(some).decode(), len(some))
+            plain = np.flatnonzero(pieces)
+            text = " ".join([some[i].decode() for i in plain])
+            ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = np.array(ids, np.int32)
+            ends, upto = np.flatnonzero(self.ends_word[ids]) + 1, np.cumsum(pieces[plain])
+            if not len(plain) or len(ends) != upto[-1]:
+                plain, ids = plain[:0], ids[:0]
+            own = np.zeros(len(some), np.int64)
+            own[plain] = np.diff(ends[upto - 1], prepend=0) if len(plain) else 0
+            other = np.ones(len(some), bool)
+            other[plain] = False
+            if other.any():
+                words = [some[i].decode() for i in np.flatnonzero(other)]
+                by_word = self.library_ids(words)
+                own[other] = [len(by_word[w]) for w in words]
+                both, where = np.empty(own.sum(), np.int32), np.repeat(other, own)
+                both[~where], both[where] = ids, [i for w in words for i in by_word[w]]
+                ids = both
+            found.append((ids, own))
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([own for _, own in found])
 
     def library_ids(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each word. Words of letters alone are one piece each, whose

@@ -70,34 +70,60 @@ class UnitEncoder:
     def encode_units(self, units: list) -> list[list[int]]:
         raise NotImplementedError
 
+    def encode_new(self, units: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after another, and the number of ids of each."""
+        new = self.encode_units(units)
+        return np.fromiter((i for unit in new for i in unit), np.int32), np.fromiter(map(len, new), np.int64, len(new))
+
     def reset(self) -> None:
         self.codes = UnitCodes()
         self.flat = np.zeros(1 << 20, np.int32)
         self.offsets = np.zeros(1 << 16, np.int64)
         self.known = 0
+        self.used = np.zeros(0, np.int64)
+
+    def make_room(self) -> None:
+        """Called when the cache is full: of the units used more than once since
+        the last time, the most used ones stay, at most half of the cache."""
+        again = np.flatnonzero(self.used > 1)
+        if len(again) > CACHE_UNITS // 2:
+            again = np.sort(again[np.argsort(-self.used[again], kind="stable")[:CACHE_UNITS // 2]])
+        units, ids = list(self.codes), gather(self.flat, self.offsets, again).copy()
+        ends = np.cumsum(self.offsets[again + 1] - self.offsets[again])
+        self.reset()
+        self.codes.update(zip([units[i] for i in again.tolist()], range(len(again))))
+        self.add(ids, ends)
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keep the ids of further units, which end at ``ends``."""
+        if not len(ends):
+            return
+        ends = self.offsets[self.known] + ends
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.known + len(ends) + 1 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        self.flat[self.offsets[self.known]:ends[-1]] = ids
+        self.offsets[self.known + 1:self.known + len(ends) + 1] = ends
+        self.known += len(ends)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each."""
         if len(self.codes) > CACHE_UNITS:
-            self.reset()
+            self.make_room()
         counts, codes = [], []
         for text in texts:
             own = self.units(text) if text else []
             counts.append(len(own))
             codes.append(np.fromiter(map(self.codes.__getitem__, own), np.int64, len(own)))
-        new = self.encode_units(self.codes.new) if self.codes.new else []
-        self.codes.new = []
-        if new:
-            ids = np.fromiter((i for unit in new for i in unit), np.int32)
-            ends = self.offsets[self.known] + np.cumsum([len(u) for u in new])
-            while ends[-1] > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.known + len(new) + 1 > len(self.offsets):
-                self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            self.flat[self.offsets[self.known]:ends[-1]] = ids
-            self.offsets[self.known + 1:self.known + len(new) + 1] = ends
-            self.known += len(new)
+        if self.codes.new:
+            ids, new = self.encode_new(self.codes.new)
+            self.codes.new = []
+            self.add(ids, np.cumsum(new))
         rows = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        used = np.bincount(rows, minlength=self.known)
+        used[:len(self.used)] += self.used
+        self.used = used
         out = gather(self.flat, self.offsets, rows)
         lengths = np.concatenate([[0], np.cumsum(self.offsets[rows + 1] - self.offsets[rows])])
         ends = np.cumsum(counts)

@@ -1,5 +1,6 @@
 """Token-id files: exact round trips, damage, and the read-back table."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from deficit_engine.llm import token_files as tf
+from deficit_engine.llm import units
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -64,3 +66,40 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     tf.write_token_blocks(docs, str(tmp_path / "blocks"), PATH)
     assert tf.read_token_blocks(spark, str(tmp_path / "blocks")).count() == 0
+
+
+def library_ids(texts):
+    library = Tokenizer.from_file(PATH)
+    return [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def split(ids, counts):
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abthesAÉé'sldrevm.,!$#<|>07²½ \t\n\x85\xa0\xad\x1c\u0130ǅ\u0301ñ漢🙂"), max_size=30), min_size=1, max_size=6))
+def test_units_as_the_library(texts):
+    assert split(*ENCODER.encode(texts)) == library_ids(texts)
+
+
+ENCODER = tf.WordEncoder(PATH)
+
+
+def test_pieces_of_every_plain_sign():
+    """Each character that is told apart here is cut as the library cuts it."""
+    signs = [c for c in map(chr, range(33, 0x250)) if tf._KINDS[ord(c)] > 1]
+    texts = [x for c in signs for x in (f"a{c}b", f"{c}{c}", f"7{c}.", c.upper(), unicodedata.normalize("NFD", c))]
+    assert split(*ENCODER.encode(texts)) == library_ids(texts)
+
+
+def test_full_cache_keeps_used_units(monkeypatch):
+    """Frequent words are not encoded anew each time that rare ones have filled the cache."""
+    monkeypatch.setattr(units, "CACHE_UNITS", 200)
+    encoder, seen, whole = tf.WordEncoder(PATH), [], tf.WordEncoder.encode_new
+    monkeypatch.setattr(tf.WordEncoder, "encode_new", lambda self, new: seen.extend(new) or whole(self, new))
+    texts = ["the cat and the dog, the cat. " + " ".join(f"r{k}x{j}" for j in range(60)) for k in range(30)]
+    for text in texts:
+        assert split(*encoder.encode([text])) == library_ids([text])
+    assert seen.count(b"the") == 1
+    assert len(encoder.codes) <= 300
